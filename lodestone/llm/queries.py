@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from lodestone.llm.line_dedup import OP1_SQL, op1_line_dedup
+from lodestone.llm.simhash import op7_simhash
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLE_SQL = {
