@@ -47,11 +47,14 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, memoryview]:
 
 @dataclass
 class Words:
-    """Words of a batch: their bytes without gaps, where each begins, and where each text's words begin."""
+    """Words of a batch: their bytes without gaps, where each begins there, and where each text's words
+    begin; ``starts`` and ``ends`` are the words' places in the bytes of all texts, one after another."""
 
     data: np.ndarray
     begins: np.ndarray
     texts: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
 
     def __len__(self) -> int:
         return len(self.begins) - 1
@@ -91,4 +94,4 @@ def words_of(texts: pa.Array, table: bytes) -> Words:
     ends = np.flatnonzero(is_word & ~after) + 1
     begins = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=begins[1:])
-    return Words(data[is_word], begins, np.searchsorted(starts, offsets))
+    return Words(data[is_word], begins, np.searchsorted(starts, offsets), starts, ends)
