@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm.bpe import op10_bpe
 from lodestone.llm.decontaminate import OP2_SQL, op2_decontaminate
 from lodestone.llm.line_dedup import OP1_SQL, op1_line_dedup
 from lodestone.llm.quality_rules import OP4_SQL, op4_quality_rules
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op7_simhash": op7_simhash,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL = {
