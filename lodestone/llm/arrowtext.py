@@ -7,6 +7,7 @@ words that a regular expression over code points would give.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +46,27 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, memoryview]:
     return offsets - offsets[0], whole[offsets[0] : offsets[-1]]
 
 
+def pieces(batches: Iterable[pa.RecordBatch], at: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about ``max_bytes`` bytes of the text in column ``at``, or of one longer text.
+
+    numpy's arrays of words take a multiple of the text; this bounds it.
+    """
+    for batch in batches:
+        offsets, _ = text_buffers(batch.column(at))
+        begin = 0
+        while begin < batch.num_rows:
+            end = int(np.searchsorted(offsets, offsets[begin] + max_bytes, "right")) - 1
+            end = min(max(end, begin + 1), batch.num_rows)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its count."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
+
+
 @dataclass
 class Words:
     """Words of a batch: their bytes without gaps, where each begins there, and where each text's words

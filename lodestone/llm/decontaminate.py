@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.arrowtext import ALNUM, Words, text_buffers, words_of
-from lodestone.llm.shared import unused
+from lodestone.llm.arrowtext import ALNUM, Words, pieces, text_buffers, words_of
 from lodestone.llm.suffix_automaton import ItemIndex
 
 #: Fixed value of the query's contract.
@@ -113,7 +112,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     indexes = item_indexes(benchmark, window, block_words)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             words, hit, found = hits(batch.column(1), indexes)
             n_hit = per_text(words, hit)
             items = [sorted(found.get(i, ())) for i in range(batch.num_rows)]
@@ -134,7 +133,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     at = documents.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             words, hit, _ = hits(batch.column(at), indexes)
             n_hit, n_words = per_text(words, hit), np.diff(words.texts)
             columns = batch.columns

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.arrowtext import text_buffers
+from lodestone.llm.arrowtext import pieces, text_buffers
 from lodestone.llm.shared import unused, written
 
 #: Fixed values of the query's contract.
@@ -63,7 +63,7 @@ def document_keys(df: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text) -> (doc_id, h1, h2): each long key of each row, once."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             lines, begins = split_lines(batch.column(1))
             which, hashes = long_keys(lines, min_chars)
             row = np.searchsorted(begins, which, "right") - 1
@@ -202,7 +202,7 @@ def dedup_lines(
     at_text, at_keys = rows.columns.index("text"), rows.columns.index(keys)
 
     def drop(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in pieces(parts, at_text):
             texts, sets = part.column(at_text), part.column(at_keys)
             totals = np.empty(len(texts), np.int64)
             lines, begins = split_lines(texts)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.arrowtext import NONSPACE, Words, words_of
+from lodestone.llm.arrowtext import NONSPACE, Words, pieces, ragged, words_of
 from lodestone.llm.graph import components
 from lodestone.llm.shared import written
 
@@ -46,12 +46,6 @@ SEED = 42
 SPREAD = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], np.uint64)
 
 
-def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each start, as many as its count."""
-    before = np.cumsum(counts) - counts
-    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
-
-
 def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of every shingle, repeats included, and how many each text has."""
     joined, begins, ends = words.joined()
@@ -84,7 +78,7 @@ def fingerprints(df: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame
     """(doc_id, text) -> (doc_id, fp): one row per row."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             fp = majority_bits(*shingle_hashes(words_of(batch.column(1), NONSPACE), shingle_words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
