@@ -7,12 +7,14 @@ from lodestone.llm.decontaminate import OP2_SQL, op2_decontaminate
 from lodestone.llm.line_dedup import OP1_SQL, op1_line_dedup
 from lodestone.llm.quality_rules import OP4_SQL, op4_quality_rules
 from lodestone.llm.simhash import op7_simhash
+from lodestone.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op7_simhash": op7_simhash,
+    "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }
 
@@ -20,4 +22,5 @@ ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op4_quality_rules": OP4_SQL,
+    "op9_warc": OP9_SQL,
 }
