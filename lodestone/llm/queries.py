@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lodestone.llm.bpe import op10_bpe
 from lodestone.llm.decontaminate import OP2_SQL, op2_decontaminate
+from lodestone.llm.html_text import op3_html_text
 from lodestone.llm.line_dedup import OP1_SQL, op1_line_dedup
 from lodestone.llm.quality_rules import OP4_SQL, op4_quality_rules
 from lodestone.llm.simhash import op7_simhash
@@ -12,6 +13,7 @@ from lodestone.llm.warc import OP9_SQL, op9_warc
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_html_text": op3_html_text,
     "op4_quality_rules": op4_quality_rules,
     "op7_simhash": op7_simhash,
     "op9_warc": op9_warc,
