@@ -7,7 +7,9 @@ from lodestone.llm.decontaminate import OP2_SQL, op2_decontaminate
 from lodestone.llm.html_text import op3_html_text
 from lodestone.llm.line_dedup import OP1_SQL, op1_line_dedup
 from lodestone.llm.quality_rules import OP4_SQL, op4_quality_rules
+from lodestone.llm.sharding import OP6_SQL, op6_sharding
 from lodestone.llm.simhash import op7_simhash
+from lodestone.llm.toxicity import op5_toxicity
 from lodestone.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
@@ -15,6 +17,8 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_html_text": op3_html_text,
     "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
+    "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
@@ -24,5 +28,6 @@ ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op4_quality_rules": OP4_SQL,
+    "op6_sharding": OP6_SQL,
     "op9_warc": OP9_SQL,
 }
