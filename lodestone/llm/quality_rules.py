@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import unused
 
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = r"[#*$%&|<>]"
-CAPITALS = r"\p{Lu}"
-LETTERS = r"\p{L}"
+SYMBOLS = r"[#*$%&|<>]+"
+CAPITALS = r"\p{Lu}+"
+LETTERS = r"\p{L}+"
 
 #: Frequent function words of four languages.
 STOP_WORDS = (
@@ -69,24 +69,38 @@ RULES = [
 ]
 
 
-def repeated_words(grams: Column) -> Column:
-    """How many words the windows cover that are found more than once. ``grams``: a hash for each window of three.
+def tail(array: Column) -> Column:
+    return F.slice(array, F.lit(2), F.greatest(F.size(array) - 1, F.lit(0)))
 
-    Sorting the hashes with their places brings equal windows together; each
-    place then covers three words, less what the place before it has covered.
+
+def repeated_windows(df: DataFrame, grams: str, ordered: str, twice: str, places: str) -> DataFrame:
+    """``df`` with ``places``: where the windows begin that are found more than once (null: there are none).
+
+    ``grams`` has a hash for each window. Sorting the hashes brings equal ones
+    together. The few that are found twice are then looked for; where they are
+    many, the hashes are sorted with their places instead. Each step is a column
+    of its own, so that nothing is computed twice.
     """
-    placed = F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    tail = lambda a: F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))
-    equal = F.zip_with(placed, tail(placed), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    places = F.sort_array(F.array_distinct(F.flatten(equal)))
+    g, few = F.col(grams), 64
+    df = df.withColumn(ordered, F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(g)))
+    df = df.withColumn(twice, F.array_distinct(F.array_compact(F.zip_with(ordered, tail(F.col(ordered)), lambda a, b: F.when(a == b, a)))))
+    placed = F.when(F.size(twice) > few, F.array_sort(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    df = df.withColumn(ordered, placed)
+    pairs = F.zip_with(ordered, tail(F.col(ordered)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    found = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_contains(F.col(twice), F.get(g, i)))
+    return df.withColumn(places, F.when(F.size(twice) > few, F.sort_array(F.array_distinct(F.flatten(F.array_compact(pairs))))).when(F.size(twice) > 0, found))
+
+
+def covered_words(places: Column) -> Column:
+    """How many words windows of three at these ascending places cover: three each, less what the place before has covered."""
     steps = F.zip_with(places, tail(places), lambda p, q: F.least(F.lit(3), F.coalesce(q - p, F.lit(3))))
-    return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda total, x: total + x), F.lit(0))
 
 
 def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """``df`` with a column for each measure, and the columns' names by measure."""
     names = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_capitals n_letters n_stop_words n_dotted_lines n_bullet_lines one".split()
-    helpers = ["t", "words", "lines", "grams"]
+    helpers = ["t", "words", "lines", "grams", "ordered", "twice", "places"]
     at = dict(zip(names + helpers, unused(df, *names, *helpers), strict=True))
     c = {k: F.col(v) for k, v in at.items()}
     df = df.withColumn(at["t"], F.coalesce(F.col(text), F.lit("")))
@@ -100,17 +114,18 @@ def measured(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, st
         at["grams"],
         F.when(F.size(c["words"]) >= 3, F.transform(F.sequence(F.lit(0), F.size(c["words"]) - 3), lambda i: F.xxhash64(F.get(c["words"], i), F.get(c["words"], i + 1), F.get(c["words"], i + 2)))).otherwise(F.array().cast("array<bigint>")),
     )
+    df = repeated_windows(df, at["grams"], at["ordered"], at["twice"], at["places"])
     long = lambda x: x.cast("bigint")
     df = df.withColumns(
         {
             at["n_words"]: long(F.size(c["words"])),
             at["word_chars"]: long(F.length(F.regexp_replace(c["t"], SPACE, ""))),
-            at["n_symbols"]: long(F.regexp_count(c["t"], F.lit(SYMBOLS))),
+            at["n_symbols"]: long(F.length(c["t"]) - F.length(F.regexp_replace(c["t"], SYMBOLS, ""))),
             at["n_dup_lines"]: long(F.size(c["lines"]) - F.size(F.array_distinct(c["lines"]))),
-            at["n_repeat_words"]: long(F.when(F.size(F.array_distinct(c["grams"])) < F.size(c["grams"]), repeated_words(c["grams"])).otherwise(0)),
+            at["n_repeat_words"]: long(covered_words(c["places"])),
             at["n_lines"]: long(F.size(c["lines"])),
-            at["n_capitals"]: long(F.regexp_count(c["t"], F.lit(CAPITALS))),
-            at["n_letters"]: long(F.regexp_count(c["t"], F.lit(LETTERS))),
+            at["n_capitals"]: long(F.length(c["t"]) - F.length(F.regexp_replace(c["t"], CAPITALS, ""))),
+            at["n_letters"]: long(F.length(c["t"]) - F.length(F.regexp_replace(c["t"], LETTERS, ""))),
             at["n_stop_words"]: long(F.size(F.filter(c["words"], lambda w: w.isin(*STOP_WORDS)))),
             at["n_dotted_lines"]: long(F.size(F.filter(c["lines"], lambda x: x.rlike(r"(?:\.\.\.|…)[\x20\x09-\x0D]*$")))),
             at["n_bullet_lines"]: long(F.size(F.filter(c["lines"], lambda x: x.rlike(r"^[\x20\x09-\x0D]*[•●*-][\x20\x09-\x0D]")))),
