@@ -6,6 +6,7 @@ from lodestone.llm.bpe import op10_bpe
 from lodestone.llm.decontaminate import OP2_SQL, op2_decontaminate
 from lodestone.llm.html_text import op3_html_text
 from lodestone.llm.line_dedup import OP1_SQL, op1_line_dedup
+from lodestone.llm.pii import op8_pii
 from lodestone.llm.quality_rules import OP4_SQL, op4_quality_rules
 from lodestone.llm.sharding import OP6_SQL, op6_sharding
 from lodestone.llm.simhash import op7_simhash
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
+    "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_bpe": op10_bpe,
 }
