@@ -19,9 +19,9 @@ text; rows are encoded one by one, so repeated rows give equal ids.
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -60,11 +60,11 @@ def explicit_spaces(pattern: str) -> str:
 class MergeReplay:
     """Encodes and decodes by the ranks of a tiktoken file's content."""
 
-    def __init__(self, content: bytes, pattern: str, keep_words: int = 300_000):
+    def __init__(self, content: bytes, pattern: str, keep_words: int = 150_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a}
         self.find = regex.compile(explicit_spaces(pattern)).findall
         self.keep_words = keep_words
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}  # ids as bytes of int32
         self.end = max(self.ranks.values()) + 1  # stands between words, merges with nothing
         self.stride = self.end + 1
         #: each way to cut a token in two tokens -> the token, as sorted keys and their values
@@ -79,12 +79,6 @@ class MergeReplay:
         #: ranks after whose merge a pair of a lower rank can stand
         self.unruly = {x for k, v in merged.items() for x in divmod(k, self.stride) if v < x}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        tokens = [b""] * self.end
-        for token, rank in self.ranks.items():
-            tokens[rank] = token
-        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.token_sizes = np.array([len(t) for t in tokens], np.int64)
-        self.token_begins = np.cumsum(self.token_sizes) - self.token_sizes
 
     def pair_ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The id of the merge of each pair of ids; ``end`` where there is none."""
@@ -92,8 +86,8 @@ class MergeReplay:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_values[at], self.end)
 
-    def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each word, all words merged together in rank order.
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as bytes of int32, all words merged together in rank order.
 
         All places of a rank are merged at once; where places overlap, from the
         left. Only for a rank after whose merge a lower rank can come up, one
@@ -158,10 +152,11 @@ class MergeReplay:
             )
         flat = tok[tok != gone]
         bounds = np.concatenate([[0], np.flatnonzero(flat == end) + 1]).tolist()
-        ids = flat.tolist()
-        return [tuple(ids[x : y - 1]) for x, y in zip(bounds, bounds[1:])]
+        ids = flat.astype(np.int32).tobytes()
+        return [ids[4 * x : 4 * y - 4] for x, y in zip(bounds, bounds[1:])]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes of int32."""
         split = [self.find(t) for t in texts]
         new = {w for ws in split for w in ws if w not in self.words}
         if new:
@@ -172,13 +167,24 @@ class MergeReplay:
             for w in new:
                 raw = w.encode()
                 if (rank := self.ranks.get(raw)) is not None:
-                    self.words[w] = (rank,)
+                    self.words[w] = rank.to_bytes(4, sys.byteorder)
                 else:
                     whole.append(w)
                     parts.append(raw)
             self.words.update(zip(whole, self.replay(parts)))
         ids = self.words.__getitem__
-        return [list(chain.from_iterable(map(ids, ws))) for ws in split]
+        return [b"".join(map(ids, ws)) for ws in split]
+
+
+class Vocabulary:
+    """The bytes of each id of a tiktoken file's content."""
+
+    def __init__(self, content: bytes, pattern: str):
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, content.splitlines()) if a}
+        tokens = [ranks.get(k, b"") for k in range(max(ranks) + 1)]
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.token_sizes = np.array([len(t) for t in tokens], np.int64)
+        self.token_begins = np.cumsum(self.token_sizes) - self.token_sizes
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.token_bytes[ragged(self.token_begins[ids], self.token_sizes[ids])].tobytes()
@@ -187,17 +193,18 @@ class MergeReplay:
 class Tokenizer:
     """A vocabulary as executors get it: broadcast content (of a fixed size), built once for each worker."""
 
-    built: dict[int, MergeReplay] = {}
+    built: dict[tuple, object] = {}
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         with open(path, "rb") as f:
             self.content = spark.sparkContext.broadcast((f.read(), pattern))
 
-    def get(self) -> MergeReplay:
+    def get(self, kind):
+        """A MergeReplay or a Vocabulary of the content."""
         content, pattern = self.content.value
-        key = hash((content, pattern))
+        key = (kind.__name__, hash((content, pattern)))
         if key not in Tokenizer.built:
-            Tokenizer.built = {key: MergeReplay(content, pattern)}
+            Tokenizer.built = {key: kind(content, pattern)}
         return Tokenizer.built[key]
 
 
@@ -210,11 +217,11 @@ def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer.get()
-        for batch in pieces(batches, at, 8 << 20):
-            lists = bpe.encode(batch.column(at).fill_null("").to_pylist())
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            flat = pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1])))
+        bpe = tokenizer.get(MergeReplay)
+        for batch in pieces(batches, at):
+            coded = bpe.encode(batch.column(at).fill_null("").to_pylist())
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
             columns = [c if k != at else pa.ListArray.from_arrays(pa.array(offsets), flat) for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, [x if k != at else ids for k, x in enumerate(batch.schema.names)])
 
@@ -227,13 +234,13 @@ def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", out: str = "de
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer.get()
+        words = tokenizer.get(Vocabulary)
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
                 lists = part.column(at)
                 offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-                raw = [bpe.decode(flat[a:b]) for a, b in zip(offsets, offsets[1:])]
+                raw = [words.decode(flat[a:b]) for a, b in zip(offsets, offsets[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*part.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
