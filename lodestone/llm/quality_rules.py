@@ -155,10 +155,17 @@ def judge(df: DataFrame, rules: list[Rule] = RULES, base: list[Rule] = BASE_RULE
 
 
 def keep_good(documents: DataFrame, rules: list[Rule] = RULES, base: list[Rule] = BASE_RULES) -> DataFrame:
-    """The rows of ``documents`` that no rule rejects, with the same columns."""
+    """The rows of ``documents`` that no rule rejects, with the same columns.
+
+    A filter is pushed below deterministic projections by writing their
+    expressions into it, which would compute each measure once for every use.
+    The row number, which the filter refers to, keeps it above them.
+    """
     judged = judge(documents, rules, base)
     kept = judged.columns[-1]
-    return judged.where(F.col(kept)).select(*documents.columns)
+    (number,) = unused(judged, "number")
+    numbered = judged.withColumn(number, F.monotonically_increasing_id())
+    return numbered.where(F.col(kept) & (F.col(number) >= 0)).select(*documents.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
