@@ -49,9 +49,12 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, memoryview]:
 def pieces(batches: Iterable[pa.RecordBatch], at: int, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches' rows in slices of about ``max_bytes`` bytes of the text in column ``at``, or of one longer text.
 
-    numpy's arrays of words take a multiple of the text; this bounds it.
+    numpy's arrays of words take a multiple of the text; this bounds it. What
+    Arrow has freed goes back to the system after each batch, as idle workers
+    stay beside the next stage's.
     """
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         offsets, _ = text_buffers(batch.column(at))
         begin = 0
         while begin < batch.num_rows:
@@ -59,6 +62,8 @@ def pieces(batches: Iterable[pa.RecordBatch], at: int, max_bytes: int = 4 << 20)
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -224,6 +224,7 @@ def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "
             flat = pa.array(np.frombuffer(b"".join(coded), np.int32))
             columns = [c if k != at else pa.ListArray.from_arrays(pa.array(offsets), flat) for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, [x if k != at else ids for k, x in enumerate(batch.schema.names)])
+        bpe.words = {}  # an idle worker keeps the tables only
 
     schema = T.StructType([f if k != at else T.StructField(ids, T.ArrayType(T.IntegerType())) for k, f in enumerate(df.schema.fields)])
     return df.mapInArrow(run, schema)

@@ -161,8 +161,9 @@ def near_duplicate_groups(documents: DataFrame, shingle_words: int = SHINGLE_WOR
     prints = written(fingerprints(documents.select("doc_id", "text"), shingle_words), "fingerprints")
     fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct_fingerprints")
     roots = components(links(fps.select("fp"), distance, segments, hot_bucket))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    rooted = written(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    # a table of its own, so that the join can split the rows of one large component
+    least = written(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")), "component_least")
     named = written(rooted.join(least, "root").select("fp", "component_id"), "component_ids")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
