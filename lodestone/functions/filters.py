@@ -90,7 +90,11 @@ def validate_supported(node: Filter, supported: set[str], backend: str) -> None:
 
 
 def path_of(field: str) -> str:
-    return "$['" + field.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    """The variant path of a top-level field, whose name may hold dots and one kind of quotes."""
+    quote = '"' if "'" in field else "'"
+    if quote in field:
+        raise UnsupportedFilter(f"a field name with both kinds of quotes: {field!r}")
+    return f"$[{quote}{field}{quote}]"
 
 
 def equal(v: Column, value: object) -> Column:

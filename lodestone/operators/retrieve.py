@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.ids import collapse
 from lodestone.functions.vectors import similarity
@@ -48,6 +49,7 @@ def batch_top_k(records: DataFrame, queries: DataFrame, k: int = 10, metric: str
     spark = records.sparkSession
     total = queries.count()
     parts = None
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
     types = T.StructType([queries.schema["query_id"], records.schema["id"], T.StructField("score", T.DoubleType())])
     plain = records.select("id", F.col("vector").cast("array<double>").alias("vector"))
     for n in range(-(-total // block)):
@@ -60,7 +62,6 @@ def batch_top_k(records: DataFrame, queries: DataFrame, k: int = 10, metric: str
 
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
-            kind = pa.array(names).type
             for batch in batches:
                 vectors = batch.column(1)
                 flat = vectors.flatten().to_numpy(zero_copy_only=False)
