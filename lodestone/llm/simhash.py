@@ -41,6 +41,8 @@ BITS = 64
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
 SEED = 42
+#: An odd number whose bits look random: the golden ratio's.
+MIXER = np.uint64(0x9E3779B97F4A7C15)
 
 #: Byte b -> the eight bits of b as eight counters of one byte each.
 SPREAD = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], np.uint64)
@@ -74,15 +76,23 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").view(np.int64).ravel()
 
 
-def fingerprints(df: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp): one row per row."""
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles: a multiplication and a shift mix all bits anew."""
+    mixed = hashes * MIXER
+    return (mixed ^ (mixed >> np.uint64(32))) * MIXER
+
+
+def fingerprints(df: DataFrame, shingle_words: int = SHINGLE_WORDS, second: bool = False) -> DataFrame:
+    """(doc_id, text) -> (doc_id, fp), and fp2 where a second fingerprint is asked for: one row per row."""
+    names = ["fp", "fp2"] if second else ["fp"]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            fp = majority_bits(*shingle_hashes(words_of(batch.column(1), NONSPACE), shingle_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            hashes, counts = shingle_hashes(words_of(batch.column(1), NONSPACE), shingle_words)
+            found = [majority_bits(hashes, counts)] + ([majority_bits(remixed(hashes), counts)] if second else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], ["doc_id", *names])
 
-    return df.mapInArrow(prints, T.StructType([T.StructField("doc_id", df.schema[0].dataType), T.StructField("fp", T.LongType())]))
+    return df.mapInArrow(prints, T.StructType([T.StructField("doc_id", df.schema[0].dataType), *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def segment_plan(segments: int, distance: int) -> list[tuple[int, int, int]]:
@@ -103,19 +113,18 @@ def balls(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
-def probes(fps: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
-    """(key, fp) for each value in the ball of each segment."""
+def entries(fps: DataFrame, plan: list[tuple[int, int, int]], asks: bool) -> DataFrame:
+    """``fps`` with a row for each key: the values in a ball around each segment.
+
+    Two segments that differ in at most r bits have a value between them: the
+    side that asks enumerates a ball of radius ceil(r / 2), and the table holds
+    one of floor(r / 2), which are far fewer rows than a ball of r on one side.
+    """
     parts = []
     for seg, (offset, width, radius) in enumerate(plan):
-        masks = ", ".join(f"{m}L" for m in balls(width, radius))
+        masks = ", ".join(f"{m}L" for m in balls(width, -(-radius // 2) if asks else radius // 2))
         parts.append(f"transform(array({masks}), m -> ((shiftrightunsigned(fp, {offset}) & {(1 << width) - 1}L) ^ m) | ({seg}L << 40))")
-    return fps.select("fp", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("key"))
-
-
-def table(fps: DataFrame, plan: list[tuple[int, int, int]]) -> DataFrame:
-    """(key, fp) for each segment's own value."""
-    parts = [f"(shiftrightunsigned(fp, {o}) & {(1 << w) - 1}L) | ({s}L << 40)" for s, (o, w, _) in enumerate(plan)]
-    return fps.select("fp", F.explode(F.expr(f"array({', '.join(parts)})")).alias("key"))
+    return fps.withColumn("key", F.explode(F.expr(f"concat({', '.join(parts)})")))
 
 
 def half_way(fps: DataFrame, distance: int) -> DataFrame:
@@ -132,35 +141,49 @@ def half_way(fps: DataFrame, distance: int) -> DataFrame:
     return both.join(least, "point").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def links(fps: DataFrame, distance: int = MAX_DISTANCE, segments: int | None = None, hot_bucket: int = 4096) -> DataFrame:
+def links(fps: DataFrame, distance: int = MAX_DISTANCE, segments: int | None = None, hot_bucket: int = 4096, total: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fps`` (fp) whose connected components are those
     of all pairs that differ in at most ``distance`` bits. Outside hot buckets, all these pairs.
 
     ``segments``: by default four, three beyond 2**19 fingerprints and two
     beyond 2**24, so that a segment has about as many values as there are
     fingerprints. The links are the same for any number.
+
+    ``total``: with a second fingerprint ``fp2``, how many bits of both may
+    differ; at any corpus size this leaves out pairs that are near by chance.
+    Then, and where half-way balls would have a radius above three, hot buckets
+    are joined like any other, and large ones are split by Spark's skew join.
     """
     if segments is None:
         n = fps.count()
         segments = 4 if n <= 1 << 19 else 3 if n <= 1 << 24 else 2
     plan = segment_plan(segments, distance)
-    entries = table(fps, plan)
-    hot = written(entries.groupBy("key").count().where(F.col("count") > hot_bucket).select("key"), "hot_segments")
-    close = F.expr(f"a < b AND bit_count(a ^ b) <= {distance}")
-    asks, has = probes(fps, plan).withColumnRenamed("fp", "a"), entries.withColumnRenamed("fp", "b")
+    close = f"a < b AND bit_count(a ^ b) <= {distance}"
+    asks, has = entries(fps, plan, True).withColumnRenamed("fp", "a"), entries(fps, plan, False).withColumnRenamed("fp", "b")
+    if total is not None:
+        asks, has = asks.withColumnRenamed("fp2", "a2"), has.withColumnRenamed("fp2", "b2")
+        close += f" AND bit_count(a ^ b) + bit_count(a2 ^ b2) <= {total}"
+    if total is not None or distance > 6:
+        return asks.join(has, "key").where(close).select("a", "b").distinct()
+    hot = written(has.groupBy("key").count().where(F.col("count") > hot_bucket).select("key"), "hot_segments")
     if hot.isEmpty():
         return asks.join(has, "key").where(close).select("a", "b").distinct()
-    # hot keys are at most entries / hot_bucket; both sides lose them, and their fingerprints go the other way
+    # both sides lose the hot keys, and the fingerprints on either side of them go the other way
     pairs = asks.join(hot, "key", "left_anti").join(has.join(hot, "key", "left_anti"), "key").where(close).select("a", "b")
-    crowd = probes(fps, plan).join(hot, "key", "left_semi").select("fp").distinct()
-    return pairs.unionByName(half_way(written(crowd, "hot_fingerprints"), distance)).distinct()
-
-
-def near_duplicate_groups(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, segments: int | None = None, hot_bucket: int = 4096) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``documents`` (doc_id, text)."""
-    prints = written(fingerprints(documents.select("doc_id", "text"), shingle_words), "fingerprints")
-    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct_fingerprints")
-    roots = components(links(fps.select("fp"), distance, segments, hot_bucket))
+    sides = asks.select("key", F.col("a").alias("fp")).unionByName(has.select("key", F.col("b").alias("fp")))
+    crowd = written(sides.join(hot, "key", "left_semi").select("fp").distinct(), "hot_fingerprints")
+    return pairs.unionByName(half_way(crowd, distance)).distinct()
+
+
+def near_duplicate_groups(
+    documents: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, segments: int | None = None, hot_bucket: int = 4096, total: int | None = None
+) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``documents`` (doc_id, text). ``total``: see ``links``."""
+    second = total is not None
+    prints = written(fingerprints(documents.select("doc_id", "text"), shingle_words, second), "fingerprints")
+    more = [F.min("fp2").alias("fp2")] if second else []
+    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), *more), "distinct_fingerprints")
+    roots = components(links(fps.drop("first_doc"), distance, segments, hot_bucket, total))
     rooted = written(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     # a table of its own, so that the join can split the rows of one large component
     least = written(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")), "component_least")

@@ -74,7 +74,8 @@ def test_run_equals_brute_force(spark, corpus):
         if lines:
             kept.append((i, "\n".join(lines)))
     kept = sorted(set(kept))
-    group = brute_groups([fingerprint(t, corpus_pipeline.SHINGLE_WORDS) for _, t in kept], corpus_pipeline.DISTANCE)
+    prints = [[fingerprint(t, corpus_pipeline.SHINGLE_WORDS, mix) for mix in (False, True)] for _, t in kept]
+    group = brute_groups(prints, corpus_pipeline.DISTANCE, corpus_pipeline.TOTAL)
     kept = [x for n, x in enumerate(kept) if group[n] == n]
     kept = [(i, without_items(t, items)) for i, t in kept if brute_hits(t, items, WINDOW)[1] <= 0.8 * brute_hits(t, items, WINDOW)[0]]
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:

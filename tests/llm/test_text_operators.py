@@ -158,13 +158,17 @@ def test_quality_keeps_good_and_rejects_junk(spark):
     assert kept.columns == ["doc_id", "text", "n_lines", "kept"]
 
 
-def fingerprint(t, k=4):
+def fingerprint(t, k=4, mix=False):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + k]).encode(), 42) for i in range(max(1, len(w) - k + 1))] if w else []
+    if mix:
+        m, most = 0x9E3779B97F4A7C15, 2**64
+        h = [((x * m % most) ^ (x * m % most >> 32)) * m % most for x in h]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_groups(prints, distance):
+def brute_groups(prints, distance, total=None):
+    prints = [p if isinstance(p, list) else [p] for p in prints]
     root = list(range(len(prints)))
 
     def find(x):
@@ -174,13 +178,14 @@ def brute_groups(prints, distance):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= distance:
+            apart = [(x ^ y).bit_count() for x, y in zip(prints[i], prints[j])]
+            if apart[0] <= distance and (total is None or sum(apart) <= total):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(prints))]
 
 
-@pytest.mark.parametrize("distance,segments,hot", [(4, 3, 4096), (4, None, 4096), (4, 4, 2), (3, 2, 1), (7, 4, 4096)])
+@pytest.mark.parametrize("distance,segments,hot", [(4, 3, 4096), (4, None, 4096), (4, 4, 2), (3, 2, 1), (7, 4, 4096), (6, 4, 2), (9, 4, 4096)])
 def test_simhash_groups(spark, distance, segments, hot):
     r = random.Random(11)
     base = [[f"w{r.randrange(5000)}" for _ in range(120)] for _ in range(6)]
