@@ -24,7 +24,6 @@ from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -209,6 +208,8 @@ class Tokenizer:
 
 
 def default_tokenizer(spark: SparkSession) -> Tokenizer:
+    import public_tokenizers  # only the driver needs it: executors get the content
+
     return Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -40,6 +40,10 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
+#: The words of a class or id: runs of letters, cut where a capital follows a small letter.
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe noframes noembed xmp svg math object audio video canvas".split())
@@ -65,7 +69,7 @@ ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.it
 OUT_TAGS = frozenset("nav aside footer form button select input label fieldset menu dialog head script style noscript template datalist".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside rail menu submenu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion widget widgets toolbar pagination pager login search searchbox masthead skip topbar hidden".split()
+    "ad ads adbox adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav aside rail menu mainmenu navmenu submenu nav topnav subnav navbar navigation breadcrumb breadcrumbs footer cookie cookies cookiebar consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion widget widgets toolbar pagination pager login search searchbox masthead skip topbar hidden".split()
 )
 HEADER_WORDS = frozenset("header pageheader siteheader".split())
 KEPT_TAGS = frozenset("html body main".split())
@@ -95,14 +99,14 @@ def is_out(tag: str, rest: str, inside: Node) -> bool:
     if tag in KEPT_TAGS or not rest:
         return False
     for name, a, b, c in ATTRIBUTE.findall(rest):
-        name, value = name.lower(), (a or b or c).lower()
+        name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = set(re.findall(r"[a-z0-9]+", value))
+            words = {w.lower() for w in WORD.findall(value)}
             if words & OUT_WORDS or not in_article and words & HEADER_WORDS:
                 return True
-        elif name == "role" and value in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        elif name == "role" and value.lower() in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        elif name == "style" and HIDDEN.search(value):
             return True
     return False
 
