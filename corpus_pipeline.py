@@ -18,7 +18,7 @@ from lodestone.llm.shared import unused, written
 #: fingerprints of which a share acos(2 s / (1 + s)) / pi of the bits differs: for 0.8, 19.4 of 128. Two 64-bit
 #: fingerprints are held against this; the first alone is searched, up to the distance its search can reach.
 SHINGLE_WORDS = 5
-DISTANCE = 9
+DISTANCE = 7
 TOTAL = 20
 
 
