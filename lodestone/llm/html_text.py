@@ -1,7 +1,8 @@
 """HTML extraction by composite text density.
 
 A page becomes a tree of its elements. Menus, forms, notices and the like are
-taken out where tag, role, class or id say so. Every other node then gets its
+taken out where tag or role say so, or a whole class or id name, unless such an
+element holds an article, a heading with paragraphs or the core. Every other node then gets its
 composite text density: characters for each tag, adjusted by what part of them
 is in links, against the body's part (the logarithm's base is kept at e or more,
 where the published formula has a pole for pages without links). A node's density sum is that of its
@@ -76,39 +77,44 @@ KEPT_TAGS = frozenset("html body main".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "chars", "links", "tags", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "parts", "out", "chars", "links", "tags", "link_tags", "density", "sum", "marked")
 
     def __init__(self, tag: str, parent: Node | None, out: bool = False):
         self.tag, self.parent, self.out = tag, parent, out
+        self.marked = False
         self.parts: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def is_out(tag: str, rest: str, inside: Node) -> bool:
-    """Whether an element is no part of an article by its tag, role, class, id or being hidden."""
+def marks(tag: str, rest: str, inside: Node) -> tuple[bool, bool]:
+    """Whether an element is no part of an article by its tag, role or being hidden, and whether a class or id says so.
+
+    A class or the id says so if all words of a whole name do: cookie-notice does, with-sidebar does not.
+    """
     if tag in OUT_TAGS:
-        return True
+        return True, False
     in_article = False
     if tag == "header" or "header" in rest.lower():
         at: Node | None = inside
         while at is not None and not in_article:
             in_article, at = at.tag in ("article", "main"), at.parent
         if tag == "header" and not in_article:
-            return True
+            return True, False
     if tag in KEPT_TAGS or not rest:
-        return False
+        return False, False
+    marked = False
     for name, a, b, c in ATTRIBUTE.findall(rest):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = {w.lower() for w in WORD.findall(value)}
-            if words & OUT_WORDS or not in_article and words & HEADER_WORDS:
-                return True
+            for token in value.split():
+                words = {w.lower() for w in WORD.findall(token)}
+                marked |= bool(words) and words <= (OUT_WORDS if in_article else OUT_WORDS | HEADER_WORDS)
         elif name == "role" and value.lower() in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         elif name == "style" and HIDDEN.search(value):
-            return True
-    return False
+            return True, False
+    return False, marked
 
 
 def tree(html: str) -> Node:
@@ -161,7 +167,8 @@ def tree(html: str) -> Node:
                 if node.tag in names:
                     at = node.parent
                 node = node.parent
-        child = Node(tag, at, is_out(tag, rest, at))
+        child = Node(tag, at)
+        child.out, child.marked = marks(tag, rest, at)
         at.parts.append(child)
         at = child
     if place < len(html):
@@ -204,10 +211,39 @@ def weigh(root: Node) -> list[Node]:
     return nodes
 
 
+def densest(nodes: list[Node], root: Node) -> Node:
+    """The container of the largest density sum."""
+    return max((n for n in nodes if n.tag in CONTAINERS), key=lambda n: n.sum, default=root)
+
+
+def spare(root: Node) -> None:
+    """Take marked elements out, but for those that hold an article or main element, a heading with paragraphs, or the core of the page."""
+    nodes = in_order(root)
+    if not any(n.marked for n in nodes):
+        return
+    weigh(root)
+    held: set[Node] = set()
+    node: Node | None = densest(nodes, root)
+    while node is not None:
+        held.add(node)
+        node = node.parent
+    holds: dict[Node, tuple[bool, bool, int]] = {}
+    for node in reversed(nodes):
+        own = [holds[x] for x in node.parts if isinstance(x, Node) and not x.out]
+        named, heading, paragraphs = any(x[0] for x in own), any(x[1] for x in own), sum(x[2] for x in own)
+        node.out = node.marked and not (named or node.tag == "article" or heading and paragraphs > 1 or node in held)
+        filled = node.chars > 0
+        holds[node] = (named or filled and node.tag in ("article", "main"), heading or filled and node.tag in HEADINGS, paragraphs + (filled and node.tag == "p"))
+    for node in nodes:
+        node.chars = node.links = node.tags = node.link_tags = 0
+        node.density = node.sum = 0.0
+
+
 def article(root: Node) -> list[Node]:
     """The nodes whose text is the article, in page order."""
+    spare(root)
     nodes = weigh(root)
-    core = max((n for n in nodes if n.tag in CONTAINERS), key=lambda n: n.sum, default=root)
+    core = densest(nodes, root)
     for names in (("article",), ("main",)):
         if named := [n for n in nodes if n.tag in names and n.chars]:
             path: Node | None = core
