@@ -8,8 +8,8 @@ is in links, against the body's part (the logarithm's base is kept at e or more,
 where the published formula has a pole for pages without links). A node's density sum is that of its
 children. The node of the largest sum is the core of the article; the least
 density on its path to the body is the threshold. The article is the core,
-widened to the ``article`` or ``main`` element around it, or else to its
-ancestors' other children that reach the threshold, and headings among them.
+widened to the ``article`` or ``main`` element around it and articles beside it
+that reach the threshold, or else to its ancestors' other children that reach the threshold, and headings among them.
 
 Inside the article nothing more is dropped. Text is cut into blocks by block
 elements; a line break is white space; character references are decoded; white
@@ -244,25 +244,39 @@ def article(root: Node) -> list[Node]:
     spare(root)
     nodes = weigh(root)
     core = densest(nodes, root)
-    for names in (("article",), ("main",)):
-        if named := [n for n in nodes if n.tag in names and n.chars]:
-            path: Node | None = core
-            while path is not None and path.tag not in names:
-                path = path.parent
-            return [path if path is not None else max(named, key=lambda n: n.chars - n.links)]
     threshold, node = core.density, core.parent
     while node is not None:
         threshold, node = min(threshold, node.density), node.parent
+    good = lambda x: x.tag in HEADINGS or x.density >= threshold and 2 * x.links <= x.chars and x.chars
+    for name in ("article", "main"):
+        path: Node | None = core
+        while path is not None and path.tag != name:
+            path = path.parent
+        if path is not None:
+            if name == "main" or path.parent is None:
+                return [path]
+            return [x for x in path.parent.parts if x is path or isinstance(x, Node) and not x.out and x.tag == name and good(x)]
+        # a core around such elements is they themselves, if most of its text is theirs
+        outer = [n for n in in_order(core) if n.tag == name and n.chars]
+        ids = set(outer)
+        outer = [n for n in outer if not any(p in ids for p in ancestors(n))]
+        if 2 * sum(n.chars - n.links for n in outer) > core.chars - core.links:
+            most = max(outer, key=lambda n: n.chars - n.links)
+            return [n for n in outer if n is most or good(n)]
     chosen, node = [core], core
     while node.parent is not None:
         siblings = [x for x in node.parent.parts if isinstance(x, Node) and not x.out]
         at = siblings.index(node)
-        good = lambda x: x.tag in HEADINGS or x.density >= threshold and 2 * x.links <= x.chars and x.chars
         chosen = [*filter(good, siblings[:at]), *chosen, *filter(good, siblings[at + 1 :])]
         node = node.parent
     return chosen
 
 
+def ancestors(node: Node) -> Iterator[Node]:
+    while (node := node.parent) is not None:
+        yield node
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     """The text of each block, white space made one space; empty blocks are none."""
     out: list[str] = []

@@ -14,3 +14,9 @@ def test_class_names_do_not_take_out_the_article():
             assert main_text(page) == f"T\n{TEXT}", (tag, attributes)
     assert main_text(f'<body><div class="widget"><article>{STORY}</article></div></body>') == TEXT
     assert main_text(f'<body><div class="share">{STORY}</div><p>x</p></body>').startswith(TEXT)
+
+
+def test_articles_beside_the_core():
+    teaser = "<article><p>Read another story.</p></article>"
+    assert main_text(f"<body><div>{STORY}</div>{teaser}</body>").startswith(TEXT)
+    assert main_text(f"<body><div><article>{STORY}</article><article>{STORY}<p>{P}</p></article></div></body>") == f"{TEXT}\n{TEXT}\n{P}"
