@@ -110,18 +110,19 @@ def telling_terms(documents: DataFrame, found: DataFrame, context: int, support:
     entity = F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value"))
     before = F.expr(f"substring(text, greatest(s.start - {context}, 0) + 1, least(s.start, {context}))")
     near = F.concat_ws(" ", before, F.expr(f"substring(text, s.end + 1, {context})"))
-    held = held.select("key", entity.alias("entity"), terms_in(near).alias("terms"))
-    # one row for each entity, text and term: copies are one text
-    each = held.groupBy("entity", "key").agg(F.count(F.lit(1)).alias("n_rows"), F.first("terms").alias("terms"))
-    each = written(each, "pii_contexts")
-    entities = each.groupBy("entity").agg(F.sum("n_rows").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    pairs = each.select("entity", "n_rows", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("n_rows").alias("n_te"), F.count(F.lit(1)).alias("texts"))
+    # one row for each entity, text and term, of all places of the entity: copies are one text, and count as documents
+    held = held.select("key", entity.alias("entity"), F.explode_outer(terms_in(near)).alias("term"))
+    each = written(held.distinct(), "pii_contexts")
+    rows = found.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
+    count = [F.sum("n_rows"), F.count(F.lit(1)).alias("texts")]
+    entities = each.select("entity", "key").distinct().join(rows, "key").groupBy("entity").agg(count[0].alias("n_e"), count[1]).where(F.col("texts") >= support)
+    pairs = each.where("term is not null").join(rows, "key").groupBy("entity", "term").agg(count[0].alias("n_te"), count[1])
     pairs = written(pairs.where(F.col("texts") >= support).join(entities.select("entity", "n_e"), "entity"), "pii_pairs")
     candidates = pairs.select("term").distinct()
     small = candidates.limit(broadcast_rows + 1).count() <= broadcast_rows
     side = F.broadcast(candidates) if small else candidates
     words = documents.select(F.explode(terms_in(F.coalesce("text", F.lit("")))).alias("term"))
-    totals = words.join(side, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    totals = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(side, "term")
     bits = F.log2(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0)) * n / F.col("n_e"))
     return pairs.join(totals, "term").where((F.col("n_e") < n) & (bits >= disclosure * F.log2(n / F.col("n_e")))).select("entity", "term")
 

@@ -1,5 +1,8 @@
 """Places where operators once did less than the whole job."""
 
+import random
+
+from lodestone.llm import pii
 from lodestone.llm.html_text import main_text
 
 P = "A long story that goes on with many words, sentence after sentence, until it ends here."
@@ -20,3 +23,13 @@ def test_articles_beside_the_core():
     teaser = "<article><p>Read another story.</p></article>"
     assert main_text(f"<body><div>{STORY}</div>{teaser}</body>").startswith(TEXT)
     assert main_text(f"<body><div><article>{STORY}</article><article>{STORY}<p>{P}</p></article></div></body>") == f"{TEXT}\n{TEXT}\n{P}"
+
+
+def test_all_places_of_an_entity_tell(spark):
+    r = random.Random(6)
+    filler = lambda n: " ".join(r.choices(["river", "stone", "cloud", "table", "green"], k=n))
+    texts = [filler(60) for _ in range(30)]
+    texts += [f"zebulon zeb@mail.example.com {filler(60)} zeb@mail.example.com {filler(60)} zeb@mail.example.com omega {filler(60)} {n} " + "zeb@mail.example.com " * 20 for n in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {s.value.lower() for x in pii.all_spans(df).collect() for s in x.term_spans}
+    assert {"zebulon", "omega"} <= found and not found & {"river", "stone", "cloud", "table", "green"}
