@@ -11,12 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
+from lodestone.llm import bpe, decontaminate, line_dedup, near_sets, quality_rules
 from lodestone.llm.shared import unused, written
 
-#: Near copies: five-word shingles with a similarity of 0.8 or more. Two shingle sets of Jaccard similarity s have
-#: fingerprints of which a share acos(2 s / (1 + s)) / pi of the bits differs: for 0.8, 19.4 of 128. Two 64-bit
-#: fingerprints are held against this; the first alone is searched, up to the distance its search can reach.
+#: Near copies: five-word shingles with a similarity of 0.8 or more, by the sets themselves. The fingerprints of two such
+#: sets differ in a share acos(2 s / (1 + s)) / pi of their bits; the tests hold small corpora against fingerprints this near.
 SHINGLE_WORDS = 5
 DISTANCE = 7
 TOTAL = 20
@@ -47,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat doc_id and text are one document. Rows that share a doc_id
     but not the text are each kept if that doc_id is the smallest of their group.
     """
-    groups = simhash.near_duplicate_groups(docs, SHINGLE_WORDS, DISTANCE, total=TOTAL)
+    groups = near_sets.near_copy_groups(docs, SHINGLE_WORDS)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     (kept_id,) = unused(docs, "kept_doc_id")
     kept = docs.join(first.withColumnRenamed("doc_id", kept_id), F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
