@@ -14,11 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import bpe, decontaminate, line_dedup, near_sets, quality_rules
 from lodestone.llm.shared import unused, written
 
-#: Near copies: five-word shingles with a similarity of 0.8 or more, by the sets themselves. The fingerprints of two such
-#: sets differ in a share acos(2 s / (1 + s)) / pi of their bits; the tests hold small corpora against fingerprints this near.
+#: Near copies: five-word shingles with a similarity of 0.8 or more.
 SHINGLE_WORDS = 5
-DISTANCE = 7
-TOTAL = 20
 
 
 def counted(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -43,6 +40,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id.
 
+    The families that fingerprints show first, then all other pairs of that similarity.
+
     Rows that repeat doc_id and text are one document. Rows that share a doc_id
     but not the text are each kept if that doc_id is the smallest of their group.
     """
