@@ -82,17 +82,15 @@ def remixed(hashes: np.ndarray) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(32))) * MIXER
 
 
-def fingerprints(df: DataFrame, shingle_words: int = SHINGLE_WORDS, second: bool = False) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp), and fp2 where a second fingerprint is asked for: one row per row."""
-    names = ["fp", "fp2"] if second else ["fp"]
+def fingerprints(df: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, text) -> (doc_id, fp): one row per row."""
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
             hashes, counts = shingle_hashes(words_of(batch.column(1), NONSPACE), shingle_words)
-            found = [majority_bits(hashes, counts)] + ([majority_bits(remixed(hashes), counts)] if second else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(majority_bits(hashes, counts))], ["doc_id", "fp"])
 
-    return df.mapInArrow(prints, T.StructType([T.StructField("doc_id", df.schema[0].dataType), *(T.StructField(n, T.LongType()) for n in names)]))
+    return df.mapInArrow(prints, T.StructType([T.StructField("doc_id", df.schema[0].dataType), T.StructField("fp", T.LongType())]))
 
 
 def segment_plan(segments: int, distance: int) -> list[tuple[int, int, int]]:
@@ -141,7 +139,7 @@ def half_way(fps: DataFrame, distance: int) -> DataFrame:
     return both.join(least, "point").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def links(fps: DataFrame, distance: int = MAX_DISTANCE, segments: int | None = None, hot_bucket: int = 4096, total: int | None = None) -> DataFrame:
+def links(fps: DataFrame, distance: int = MAX_DISTANCE, segments: int | None = None, hot_bucket: int = 4096) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fps`` (fp) whose connected components are those
     of all pairs that differ in at most ``distance`` bits. Outside hot buckets, all these pairs.
 
@@ -149,10 +147,8 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE, segments: int | None = N
     beyond 2**24, so that a segment has about as many values as there are
     fingerprints. The links are the same for any number.
 
-    ``total``: with a second fingerprint ``fp2``, how many bits of both may
-    differ; at any corpus size this leaves out pairs that are near by chance.
-    Then, and where half-way balls would have a radius above three, hot buckets
-    are joined like any other, and large ones are split by Spark's skew join.
+    Where half-way balls would have a radius above three (a distance above six),
+    hot buckets are joined like any other, and split by Spark's skew join.
     """
     if segments is None:
         n = fps.count()
@@ -160,10 +156,7 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE, segments: int | None = N
     plan = segment_plan(segments, distance)
     close = f"a < b AND bit_count(a ^ b) <= {distance}"
     asks, has = entries(fps, plan, True).withColumnRenamed("fp", "a"), entries(fps, plan, False).withColumnRenamed("fp", "b")
-    if total is not None:
-        asks, has = asks.withColumnRenamed("fp2", "a2"), has.withColumnRenamed("fp2", "b2")
-        close += f" AND bit_count(a ^ b) + bit_count(a2 ^ b2) <= {total}"
-    if total is not None or distance > 6:
+    if distance > 6:
         return asks.join(has, "key").where(close).select("a", "b").distinct()
     hot = written(has.groupBy("key").count().where(F.col("count") > hot_bucket).select("key"), "hot_segments")
     if hot.isEmpty():
@@ -175,15 +168,11 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE, segments: int | None = N
     return pairs.unionByName(half_way(crowd, distance)).distinct()
 
 
-def near_duplicate_groups(
-    documents: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, segments: int | None = None, hot_bucket: int = 4096, total: int | None = None
-) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``documents`` (doc_id, text). ``total``: see ``links``."""
-    second = total is not None
-    prints = written(fingerprints(documents.select("doc_id", "text"), shingle_words, second), "fingerprints")
-    more = [F.min("fp2").alias("fp2")] if second else []
-    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), *more), "distinct_fingerprints")
-    roots = components(links(fps.drop("first_doc"), distance, segments, hot_bucket, total))
+def near_duplicate_groups(documents: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE, segments: int | None = None, hot_bucket: int = 4096) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``documents`` (doc_id, text)."""
+    prints = written(fingerprints(documents.select("doc_id", "text"), shingle_words), "fingerprints")
+    fps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct_fingerprints")
+    roots = components(links(fps.select("fp"), distance, segments, hot_bucket))
     rooted = written(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     # a table of its own, so that the join can split the rows of one large component
     least = written(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")), "component_least")

@@ -42,7 +42,33 @@ def test_all_pairs_at_the_stated_similarity_are_found(spark, monkeypatch):
     want = exact_groups(texts, corpus_pipeline.SHINGLE_WORDS)
     for often in (50, 3):
         monkeypatch.setattr(near_sets, "OFTEN", often)
+        monkeypatch.setattr(near_sets, "HOT_BUCKET", often // 20)
         got = near_sets.near_copy_groups(docs_of(spark, texts), corpus_pipeline.SHINGLE_WORDS).collect()
         assert {x.doc_id: x.component_id for x in got} == dict(enumerate(want))
     kept = corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), "").collect()
     assert sorted(x.doc_id for x in kept) == sorted(set(want))
+
+
+def test_repeated_passages_repeated_rows_and_null_ids(spark):
+    """Sets count a repeated shingle once, whatever it does to a fingerprint of all words."""
+    r = random.Random(6)
+    passage = " ".join(f"p{r.randrange(900)}" for _ in range(60))
+    own = " ".join(f"q{r.randrange(900)}" for _ in range(8))
+    texts = [f"{passage} {own}", " ".join([passage] * 30) + f" {own}", f"{own} " + " ".join(f"z{n}" for n in range(60)), "", None, "  "]
+    ids = [3, 1, 7, 9, None, 4]
+    rows = [(i, t) for i, t in zip(ids, texts)] + [(3, texts[0]), (7, "another text of the same id")]
+    got = near_sets.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert sorted(((x.doc_id, x.component_id) for x in got), key=str) == sorted([(3, 1), (1, 1), (3, 1), (7, 7), (7, 7), (9, 4), (None, 4), (4, 4)], key=str)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """A chain of variants: each is near its neighbours, the ends are not near each other."""
+    r = random.Random(9)
+    words = [f"w{n}" for n in range(150)]
+    texts = []
+    for n in range(300):
+        words[r.randrange(150)] = f"new{n}"
+        texts.append(" ".join(words))
+    want = exact_groups(texts, 5)
+    got = near_sets.near_copy_groups(docs_of(spark, texts), 5).collect()
+    assert {x.doc_id: x.component_id for x in got} == dict(enumerate(want)) and len(set(want)) < 30

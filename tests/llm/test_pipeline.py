@@ -11,7 +11,8 @@ import pytest
 
 from lodestone.llm import bpe, quality_rules
 from lodestone.llm.decontaminate import WINDOW
-from tests.llm.test_text_operators import brute_groups, brute_hits, brute_lines, brute_quality, fingerprint, lower
+from tests.llm.test_near_copies import exact_groups
+from tests.llm.test_text_operators import brute_hits, brute_lines, brute_quality, lower
 
 
 @pytest.fixture(scope="module")
@@ -74,8 +75,7 @@ def test_run_equals_brute_force(spark, corpus):
         if lines:
             kept.append((i, "\n".join(lines)))
     kept = sorted(set(kept))
-    prints = [[fingerprint(t, corpus_pipeline.SHINGLE_WORDS, mix) for mix in (False, True)] for _, t in kept]
-    group = brute_groups(prints, corpus_pipeline.DISTANCE, corpus_pipeline.TOTAL)
+    group = exact_groups([t for _, t in kept], corpus_pipeline.SHINGLE_WORDS)
     kept = [x for n, x in enumerate(kept) if group[n] == n]
     kept = [(i, without_items(t, items)) for i, t in kept if brute_hits(t, items, WINDOW)[1] <= 0.8 * brute_hits(t, items, WINDOW)[0]]
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
