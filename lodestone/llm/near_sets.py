@@ -140,13 +140,15 @@ def similar(pairs: pa.Table, sets: pa.Table) -> pa.Table:
 
 def verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame, shingle_words: int, broadcast_rows: int) -> DataFrame:
     """The distinct ``pairs`` (a, b) of ``sets`` (set, first_doc, n) with a similarity of 4/5 or more, written."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    # each side is made distinct before both are put together: a set of many pairs is one row from the start
+    ends = lambda df, *by: df.select(*by, F.col("a").alias("set")).distinct().unionByName(df.select(*by, F.col("b").alias("set")).distinct()).distinct()
+    names = ends(pairs)
     wanted = written(names.join(sets.select("set", "first_doc", "n"), "set"), "wanted_sets")
     n, total = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     blocks = max(LEAST_BLOCKS, -(-total // BLOCK_SHINGLES), -(-n // BLOCK_SETS))
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     placed = pairs.select("a", "b", at("a").alias("i"), at("b").alias("j"))
-    needed = placed.select(F.col("i").alias("row"), F.col("j").alias("column"), F.explode(F.array("a", "b")).alias("set")).distinct()
+    needed = ends(placed, F.col("i").alias("row"), F.col("j").alias("column"))
     whole = whole_sets(documents, wanted, shingle_words, broadcast_rows)
     sent = needed.join(whole, "set").select("row", "column", "set", "shingles")
     good = placed.groupBy("i", "j").cogroup(sent.groupBy("row", "column")).applyInArrow(similar, "a long, b long")
