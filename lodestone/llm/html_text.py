@@ -1,15 +1,19 @@
 """HTML extraction by composite text density.
 
-A page becomes a tree of its elements. Menus, forms, notices and the like are
-taken out where tag or role say so, or a whole class or id name, unless such an
-element holds an article, a heading with paragraphs or the core. Every other node then gets its
-composite text density: characters for each tag, adjusted by what part of them
-is in links, against the body's part (the logarithm's base is kept at e or more,
-where the published formula has a pole for pages without links). A node's density sum is that of its
-children. The node of the largest sum is the core of the article; the least
-density on its path to the body is the threshold. The article is the core,
-widened to the ``article`` or ``main`` element around it and articles beside it
-that reach the threshold, or else to its ancestors' other children that reach the threshold, and headings among them.
+A page becomes a tree of its elements. Every node gets its composite text
+density: characters for each tag, adjusted by what part of them is in links,
+against the body's part (the logarithm's base is kept at e or more, where the
+published formula has a pole for pages without links). A node's density sum is
+that of its children. The node of the largest sum is the core of the article; the
+least density on its path to the body is the threshold. The article is the core
+and, beside its path to the body, the elements that reach the threshold and the
+headings. So it is the same whatever elements are called. Names only do this:
+
+* scripts, styles, menus, forms and the like are no text, by their tag or role;
+* an element all of whose class or id is a word like ``ad`` or ``cookie-notice``
+  is left out, and of the sums too, unless it holds an article, a heading with
+  paragraphs or the core that there is with it;
+* sparse elements beside the core stay if they are in an ``article`` with it.
 
 Inside the article nothing more is dropped. Text is cut into blocks by block
 elements; a line break is white space; character references are decoded; white
@@ -17,7 +21,9 @@ space in a block becomes one space.
 
 Defined results: null, empty and tagless pages give their own text (nothing,
 nothing, the text); pages are judged one by one, so repeated rows give equal
-texts; an unclosed element ends where its parent does.
+texts; an unclosed element ends where its parent does, an end tag that closes
+nothing is none; a very long page takes time and memory in proportion. Columns
+called text or n_chars are kept, and the new ones get underscores.
 """
 
 from __future__ import annotations
@@ -53,6 +59,7 @@ BLOCK = frozenset(
 )
 CONTAINERS = frozenset("article blockquote body center dd div dl details figure html main ol section table tbody td tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 #: A start tag ends open elements of these names, up to the element that holds them.
 ENDS = {
     "li": ("li", "ul ol menu dir"),
@@ -87,20 +94,13 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def marks(tag: str, rest: str, inside: Node) -> tuple[bool, bool]:
+def marks(tag: str, rest: str, in_article: bool) -> tuple[bool, bool]:
     """Whether an element is no part of an article by its tag, role or being hidden, and whether a class or id says so.
 
     A class or the id says so if all words of a whole name do: cookie-notice does, with-sidebar does not.
     """
-    if tag in OUT_TAGS:
+    if tag in OUT_TAGS or tag == "header" and not in_article:
         return True, False
-    in_article = False
-    if tag == "header" or "header" in rest.lower():
-        at: Node | None = inside
-        while at is not None and not in_article:
-            in_article, at = at.tag in ("article", "main"), at.parent
-        if tag == "header" and not in_article:
-            return True, False
     if tag in KEPT_TAGS or not rest:
         return False, False
     marked = False
@@ -117,62 +117,104 @@ def marks(tag: str, rest: str, inside: Node) -> tuple[bool, bool]:
     return False, marked
 
 
+class Path:
+    """The open elements. Where the innermost of a kind stands is known, so no tag is looked for by climbing."""
+
+    def __init__(self, root: Node):
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.containers: list[int] = []
+        self.enter(root)
+
+    @property
+    def at(self) -> Node:
+        return self.nodes[-1]
+
+    def last(self, tag: str) -> int:
+        """Where the innermost open element of a tag stands; 0 for none, or the root."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def enter(self, node: Node) -> None:
+        place = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(place)
+        if node.tag in BLOCK:
+            self.blocks.append(place)
+        if node.tag in CONTAINERS:
+            self.containers.append(place)
+
+    def leave(self, place: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.nodes) > place:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            if tag in CONTAINERS:
+                self.containers.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag; an inline one doesn't end a block around it, and one that was not begun ends nothing."""
+        place = self.last(tag)
+        if place and (tag in BLOCK or place > self.blocks[-1]):
+            self.leave(place)
+
+    def make_room(self, tag: str) -> None:
+        """A start tag ends an open paragraph if it is a block's, and elements like itself in a list or table."""
+        if tag in BLOCK and (place := self.last("p")) > self.containers[-1]:
+            self.leave(place)
+        if tag in ENDS:
+            names, until = ENDS[tag]
+            edge, first = max(map(self.last, until)), len(self.nodes)
+            for name in names:
+                for place in reversed(self.places.get(name, ())):
+                    if place <= edge:
+                        break
+                    first = min(first, place)
+            self.leave(first)
+
+
 def tree(html: str) -> Node:
-    """The elements of a page below one root; text and elements in order."""
+    """The elements of a page below one root; text and elements in order. Linear in the page."""
     root = Node("html", None)
-    at, place = root, 0
+    path, place = Path(root), 0
     while (m := TOKEN.search(html, place)) is not None:
         if m.start() > place:
-            at.parts.append(html[place : m.start()])
+            path.at.parts.append(html[place : m.start()])
         place = m.end()
         tag = m["tag"] or m["tag2"]
         if tag is None:
             if m[0].startswith("<![CDATA["):
-                at.parts.append(m[0][9:].removesuffix("]]>"))
+                path.at.parts.append(m[0][9:].removesuffix("]]>"))
             continue
-        tag, closes = tag.lower(), m["close"] or m["close2"]
-        if closes:
-            node: Node | None = at
-            while node is not None and node.tag != tag:
-                # an inline end tag doesn't end a block around it
-                node = None if node.tag in BLOCK and tag not in BLOCK else node.parent
-            if node is not None and node.parent is not None:
-                at = node.parent
+        tag = tag.lower()
+        if m["close"] or m["close2"]:
+            path.close(tag)
             continue
-        if tag in ("html", "body") and (tag == "html" or at.tag == "html"):
+        if tag == "html" or tag == "body" and path.at.tag == "html":
             if tag == "body":
-                body = Node("body", at)
-                at.parts.append(body)
-                at = body
+                body = Node("body", path.at)
+                path.at.parts.append(body)
+                path.enter(body)
             continue
         rest = m["rest"] if m["tag"] else m["rest2"]
         if tag in RAW:
             if not rest.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, place)
+                end = RAW_ENDS[tag].search(html, place)
                 place = end.end() if end else len(html)
             continue
         if tag in VOID:
-            at.parts.append(Node(tag, at, tag in OUT_TAGS))
+            path.at.parts.append(Node(tag, path.at, tag in OUT_TAGS))
             continue
-        if tag in BLOCK:
-            node = at
-            while node.parent is not None and node.tag not in CONTAINERS and node.tag != "p":
-                node = node.parent
-            if node.tag == "p" and node.parent is not None:
-                at = node.parent
-        if tag in ENDS:
-            names, until = ENDS[tag]
-            node = at
-            while node.parent is not None and node.tag not in until:
-                if node.tag in names:
-                    at = node.parent
-                node = node.parent
-        child = Node(tag, at)
-        child.out, child.marked = marks(tag, rest, at)
-        at.parts.append(child)
-        at = child
+        path.make_room(tag)
+        child = Node(tag, path.at)
+        child.out, child.marked = marks(tag, rest, path.last("article") > 0 or path.last("main") > 0)
+        path.at.parts.append(child)
+        path.enter(child)
     if place < len(html):
-        at.parts.append(html[place:])
+        path.at.parts.append(html[place:])
     return root
 
 
@@ -212,8 +254,8 @@ def weigh(root: Node) -> list[Node]:
 
 
 def densest(nodes: list[Node], root: Node) -> Node:
-    """The container of the largest density sum."""
-    return max((n for n in nodes if n.tag in CONTAINERS), key=lambda n: n.sum, default=root)
+    """The container of the largest density sum, the inner one of equals."""
+    return max((n for n in reversed(nodes) if n.tag in CONTAINERS), key=lambda n: n.sum, default=root)
 
 
 def spare(root: Node) -> None:
@@ -242,41 +284,22 @@ def spare(root: Node) -> None:
 def article(root: Node) -> list[Node]:
     """The nodes whose text is the article, in page order."""
     spare(root)
-    nodes = weigh(root)
-    core = densest(nodes, root)
-    threshold, node = core.density, core.parent
-    while node is not None:
-        threshold, node = min(threshold, node.density), node.parent
-    good = lambda x: x.tag in HEADINGS or x.density >= threshold and 2 * x.links <= x.chars and x.chars
-    for name in ("article", "main"):
-        path: Node | None = core
-        while path is not None and path.tag != name:
-            path = path.parent
-        if path is not None:
-            if name == "main" or path.parent is None:
-                return [path]
-            return [x for x in path.parent.parts if x is path or isinstance(x, Node) and not x.out and x.tag == name and good(x)]
-        # a core around such elements is they themselves, if most of its text is theirs
-        outer = [n for n in in_order(core) if n.tag == name and n.chars]
-        ids = set(outer)
-        outer = [n for n in outer if not any(p in ids for p in ancestors(n))]
-        if 2 * sum(n.chars - n.links for n in outer) > core.chars - core.links:
-            most = max(outer, key=lambda n: n.chars - n.links)
-            return [n for n in outer if n is most or good(n)]
-    chosen, node = [core], core
-    while node.parent is not None:
-        siblings = [x for x in node.parent.parts if isinstance(x, Node) and not x.out]
+    core = densest(weigh(root), root)
+    path = [core]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    threshold = min(n.density for n in path)
+    # in an article element that the core is in, what is sparse stays; elsewhere it goes
+    inside = next((k for k, n in enumerate(path) if n.tag == "article"), 0)
+    chosen = [core]
+    for k, (node, parent) in enumerate(zip(path, path[1:])):
+        good = lambda x: x.chars and (x.tag in HEADINGS or 2 * x.links <= x.chars and (x.density >= threshold or k < inside))
+        siblings = [x for x in parent.parts if isinstance(x, Node) and not x.out]
         at = siblings.index(node)
         chosen = [*filter(good, siblings[:at]), *chosen, *filter(good, siblings[at + 1 :])]
-        node = node.parent
     return chosen
 
 
-def ancestors(node: Node) -> Iterator[Node]:
-    while (node := node.parent) is not None:
-        yield node
-
-
 def blocks(nodes: list[Node]) -> list[str]:
     """The text of each block, white space made one space; empty blocks are none."""
     out: list[str] = []
