@@ -6,15 +6,18 @@ documents that hold entity e, and p(e|t) the share of those with term t that
 hold e near t, the term tells log2(p(e|t) / p(e)) bits of the -log2 p(e) bits
 that the entity has. Where it tells more than a share ``disclosure`` of them, in
 at least ``support`` different texts, all places of the term in documents with
-that entity are spans too, to be generalised to a label or removed.
+that entity are spans too, to be generalised to a label or removed. So any word
+that is in few other documents tells of what it stands beside, be it a name or not.
 
 Everything is built-in expressions and joins; no text leaves the JVM. Patterns
 are written with possessive quantifiers, so that long runs neither recurse nor
 backtrack, and match the same strings as their plain forms.
 
 Defined results: a null text is empty; rows are documents, so copies count in
-p(e) and p(e|t) but not in the support; spans of terms that touch a base span
-are none. An empty table gives an empty result.
+p(e) and p(e|t) but not in the support; an entity's places in a text count once,
+with the terms near any of them, words that reach beyond the context left out;
+spans of terms that touch a base span are none; very long texts are scanned
+whole; further columns are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -103,15 +106,27 @@ def terms_in(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), WORD_BREAK)), lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$"))
 
 
+def entity_of(span: str) -> Column:
+    """The entity that a span names: its kind and its text in lower case."""
+    return F.concat_ws(":", F.col(f"{span}.kind").cast("string"), F.lower(f"{span}.value"))
+
+
+def words_near(context: int) -> Column:
+    """What stands within ``context`` characters before and after span ``s`` of ``text``; words that reach further are left out."""
+    before = F.expr(f"substring(text, greatest(s.start - {context + 1}, 0) + 1, least(s.start, {context + 1}))")
+    after = F.expr(f"substring(text, s.end + 1, {context + 1})")
+    # one character more was taken: if it is a word's, that word is cut
+    before = F.when(F.length(before) > context, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
+    after = F.when(F.length(after) > context, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
+    return F.concat_ws(" ", before, after)
+
+
 def telling_terms(documents: DataFrame, found: DataFrame, context: int, support: int, disclosure: float, broadcast_rows: int) -> DataFrame:
     """(entity, term): the terms that tell at least a share ``disclosure`` of an entity's information."""
     n = documents.count()
     held = found.where("key is not null").select("doc_id", "key", "text", F.explode("spans").alias("s"))
-    entity = F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value"))
-    before = F.expr(f"substring(text, greatest(s.start - {context}, 0) + 1, least(s.start, {context}))")
-    near = F.concat_ws(" ", before, F.expr(f"substring(text, s.end + 1, {context})"))
     # one row for each entity, text and term, of all places of the entity: copies are one text, and count as documents
-    held = held.select("key", entity.alias("entity"), F.explode_outer(terms_in(near)).alias("term"))
+    held = held.select("key", entity_of("s").alias("entity"), F.explode_outer(terms_in(words_near(context))).alias("term"))
     each = written(held.distinct(), "pii_contexts")
     rows = found.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
     count = [F.sum("n_rows"), F.count(F.lit(1)).alias("texts")]
@@ -124,14 +139,19 @@ def telling_terms(documents: DataFrame, found: DataFrame, context: int, support:
     words = documents.select(F.explode(terms_in(F.coalesce("text", F.lit("")))).alias("term"))
     totals = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(side, "term")
     bits = F.log2(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0)) * n / F.col("n_e"))
-    return pairs.join(totals, "term").where((F.col("n_e") < n) & (bits >= disclosure * F.log2(n / F.col("n_e")))).select("entity", "term")
+    return written(pairs.join(totals, "term").where((F.col("n_e") < n) & (bits >= disclosure * F.log2(n / F.col("n_e")))).select("entity", "term"), "pii_telling")
 
 
-def term_spans(found: DataFrame, telling: DataFrame) -> DataFrame:
+def term_spans(found: DataFrame, telling: DataFrame, broadcast_rows: int, salts: int = 16) -> DataFrame:
     """(key, term_spans) of the texts in which terms tell of an entity that they hold."""
-    held = found.where("key is not null").select("key", F.explode("spans").alias("s")).select("key", F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value")).alias("entity")).distinct()
-    terms = held.join(telling, "entity").groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    terms = written(terms, "pii_terms")
+    held = found.where("key is not null").select("key", F.explode("spans").alias("s")).select("key", entity_of("s").alias("entity")).distinct()
+    if telling.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        met = held.join(F.broadcast(telling), "entity")
+    else:
+        # an entity that very many texts hold is dealt to as many tasks as there are salts
+        salted = telling.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        met = held.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(salted, ["entity", "salt"])
+    terms = written(met.groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms")), "pii_terms")
     one = found.where("key is not null").groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     hit = one.join(terms, "key").select("key", "spans", spans_of(F.col("text"), pattern, TERM, lambda m: F.lit(True)).alias("more"))
@@ -143,7 +163,7 @@ def all_spans(documents: DataFrame, context: int = 100, support: int = 3, disclo
     """(doc_id, spans, term_spans, text) of every row of ``documents`` (doc_id, text); text only where there are spans."""
     plain = documents.select("doc_id", "text")
     found = found_spans(plain)
-    more = term_spans(found, telling_terms(plain, found, context, support, disclosure, broadcast_rows))
+    more = term_spans(found, telling_terms(plain, found, context, support, disclosure, broadcast_rows), broadcast_rows)
     none = F.array().cast(SPAN)
     without = found.where("key is null").select("doc_id", "spans", none.alias("term_spans"), "text")
     held = found.where("key is not null").join(more, "key", "left")
