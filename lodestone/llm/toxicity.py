@@ -9,12 +9,18 @@ documents) are the model's; all ordered thresholds share their weights:
 
 The labels say only whether a document is toxic, so the severity grades of
 toxic training documents are thirds by how many of the features that point to
-the label they hold; others have grade 0. The fit (a bounded matrix) runs on the
+the label they hold; others have grade 0. So the expected severity says whether a
+document is toxic as the labels do, and beyond that how much of what goes with
+toxic documents it holds; it is no judgement that a label has made. It rises with
+every feature of positive weight. The fit (a bounded matrix) runs on the
 driver; counting features and scoring every whole text run on the executors.
 
 Defined results: null and empty texts have no features; without labels, or
 with labels of one kind only, every severity is 0; labels with null fields are
-left out; rows are scored one by one, so repeated rows get equal scores.
+left out, a doc_id that is labelled more than once is toxic if any label says so,
+and of documents that share a labelled doc_id one (the least text) is fitted; rows
+are scored one by one, so repeated rows get equal scores; very long texts are
+slices of their own; names that are taken get underscores.
 """
 
 from __future__ import annotations
@@ -125,35 +131,49 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -500, 500)))
 
 
+def likelihood(params: np.ndarray, rows: np.ndarray, features: np.ndarray, values: np.ndarray, grades: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """The mean log-likelihood of the grades less a ridge on the weights, and its gradient.
+
+    ``params``: the weights, the first cut, and the logarithms of the gaps between cuts.
+    """
+    n, n_features = len(grades), len(params) - GRADES + 1
+    w, cuts = params[:n_features], cuts_of(params[n_features:])
+    score = np.bincount(rows, w[features] * values, minlength=n)
+    above = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -500, 500)))  # (n, cuts)
+    edge = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
+    p = np.maximum(edge[np.arange(n), grades] - edge[np.arange(n), grades + 1], 1e-12)
+    slope = np.concatenate([np.zeros((n, 1)), above * (1 - above), np.zeros((n, 1))], axis=1)
+    low, high = slope[np.arange(n), grades] / p, slope[np.arange(n), grades + 1] / p
+    d_score = (low - high) / n
+    d_cuts = np.array([(high[grades == k].sum() - low[grades == k + 1].sum()) / n for k in range(GRADES - 1)])
+    d_gaps = np.cumsum(d_cuts[::-1])[::-1][1:] * np.exp(params[n_features + 1 :])
+    up = np.concatenate([np.bincount(features, d_score[rows] * values, minlength=n_features) - ridge * w, [d_cuts.sum()], d_gaps])
+    return float(np.log(p).mean() - ridge / 2 * (w**2).sum()), up
+
+
+def cuts_of(params: np.ndarray) -> np.ndarray:
+    """The ordered cuts: the first, and each further one by a gap that is above zero."""
+    return params[0] + np.concatenate([[0.0], np.cumsum(np.exp(params[1:]))])
+
+
 def fit_weights(rows: np.ndarray, features: np.ndarray, values: np.ndarray, n_features: int, grades: np.ndarray, steps: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and cuts of the cumulative-link model, by Adam on the mean log-likelihood with a ridge on the weights."""
-    n = len(grades)
-    w, first, gaps = np.zeros(n_features), 0.0, np.zeros(GRADES - 2)  # cuts: first, first + e**gap, ...
-    moments = [np.zeros(n_features + GRADES - 1), np.zeros(n_features + GRADES - 1)]
+    """Weights and cuts of the cumulative-link model, by Adam on the likelihood."""
+    params = np.zeros(n_features + GRADES - 1)
+    mean, square = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, steps + 1):
-        cuts = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        score = np.bincount(rows, w[features] * values, minlength=n)
-        above = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -500, 500)))  # (n, cuts)
-        edge = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
-        p = np.maximum(edge[np.arange(n), grades] - edge[np.arange(n), grades + 1], 1e-12)
-        slope = np.concatenate([np.zeros((n, 1)), above * (1 - above), np.zeros((n, 1))], axis=1)
-        low, high = slope[np.arange(n), grades] / p, slope[np.arange(n), grades + 1] / p
-        d_score = (low - high) / n
-        d_cuts = np.array([(high[grades == k].sum() - low[grades == k + 1].sum()) / n for k in range(GRADES - 1)])
-        d_gaps = np.cumsum(d_cuts[::-1])[::-1][1:] * np.exp(gaps)
-        up = np.concatenate([np.bincount(features, d_score[rows] * values, minlength=n_features) - ridge * w, [d_cuts.sum()], d_gaps])
-        moments[0] = 0.9 * moments[0] + 0.1 * up
-        moments[1] = 0.999 * moments[1] + 0.001 * up**2
-        move = rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
-        w, first, gaps = w + move[:n_features], first + move[n_features], gaps + move[n_features + 1 :]
-    return w, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
+        _, up = likelihood(params, rows, features, values, grades, ridge)
+        mean, square = 0.9 * mean + 0.1 * up, 0.999 * square + 0.001 * up**2
+        params = params + rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    return params[:n_features], cuts_of(params[n_features:])
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = 8000, min_docs: int = 5, min_chi2: float = 40.0, max_features: int = 4000) -> OrdinalModel:
     """A model from at most ``sample_rows`` labelled documents, chosen by the hash of doc_id."""
-    chosen = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
-    sample = written(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"), "toxicity_sample")
+    chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    # one row for each chosen doc_id, however often it is repeated in the documents
+    rows_of = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = written(rows_of.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "toxicity_sample")
     rows, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < rows:
         return OrdinalModel()
