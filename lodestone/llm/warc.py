@@ -10,13 +10,17 @@ than a segment, and no archive longer than ``records_per_file`` of them.
 Reading groups the segments by origin, orders them by number, checks that none
 is missing and that the total length is right, and decodes the chunked framing.
 Archives are written by Spark's text writer, whose line separator is the empty
-line pair that ends a record, and read as binary files.
+line pair that ends a record, so each is one gzip member; read are also plain ones
+and those with a member for each record.
 
 Defined results: a null html is an empty payload; a null url has no target; a
 null page_id is smaller than any other and is written as ``none``; rows that
 repeat page_id and payload are all responses, if that page_id is the largest of
 its payload, and all revisits if not; a record that is incomplete has a null
-payload. An empty table gives an empty result.
+payload: one that lacks a segment, whose lengths do not add up, or in which an
+archive ends. Of a broken archive, the records before the fault are read. An id
+that is no integer is null when pages are read back. A very long page is many
+segments, which are joined in memory again. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -132,16 +136,40 @@ def write_archives(
     writer.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive's bytes: fields by lower-case name, and the block."""
+def unzipped(content: bytes, piece: int = 1 << 20) -> bytes:
+    """The bytes of a gzipped archive, of one member or of one for each record, or of a plain one; of a broken archive what comes before the fault."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out, rest = [], memoryview(content)
+    try:
+        while len(rest):
+            member, at = zlib.decompressobj(wbits=31), 0
+            while at < len(rest) and not member.eof:
+                out.append(member.decompress(rest[at : at + piece]))
+                at += piece
+            if not member.eof:
+                break
+            rest = rest[min(at, len(rest)) - len(member.unused_data) :]
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def parsed(content: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """The records of an archive's bytes: fields by lower-case name, and the block, which is None if the archive ends before it does.
+
+    What follows a record without a readable head is lost.
+    """
     at = 0
-    while at < len(content):
-        end = content.index(END, at)
-        lines = content[at:end].decode().split("\r\n")
+    while (end := content.find(END, at)) >= 0:
+        lines = content[at:end].decode(errors="replace").split("\r\n")
         fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        size = fields.get("content-length", "")
+        if not size.isdigit() or not {"warc-type", "warc-record-id"} <= fields.keys():
+            return
         begin = end + len(END)
-        at = begin + int(fields["content-length"])
-        yield fields, content[begin:at]
+        at = begin + int(size)
+        yield fields, content[begin:at] if at <= len(content) else None
         at += len(END)
 
 
@@ -160,28 +188,28 @@ RECORD = T.StructType(
 )
 
 
-def archive_records(spark: SparkSession, path: str, segmented: bool) -> DataFrame:
-    """The whole records of all archives below ``path``, or the segments."""
+def number(text: str | None) -> int | None:
+    return int(text) if text and text.isdigit() else None
+
+
+def archive_records(spark: SparkSession, path: str) -> DataFrame:
+    """All records of the archives below ``path``; those that are segments have a number."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
-                content = zlib.decompress(content.as_py(), wbits=47)
                 rows: list[dict] = []
-                for n, (f, block) in enumerate(parsed(content)):
-                    if ("warc-segment-number" in f) != segmented:
-                        continue
-                    number, total = f.get("warc-segment-number"), f.get("warc-segment-total-length")
+                for n, (f, block) in enumerate(parsed(unzipped(content.as_py()))):
                     rows.append(
                         {
                             "record_type": f["warc-type"],
                             "record_id": f["warc-record-id"],
                             "refers_to_id": f.get("warc-refers-to"),
                             "payload_digest": f.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                            "segment": number and int(number),
+                            "segment": number(f.get("warc-segment-number")),
                             "origin": f.get("warc-segment-origin-id", f["warc-record-id"]),
-                            "total": total and int(total),
+                            "total": number(f.get("warc-segment-total-length")),
                             "place": f"{name.as_py()}:{n:012d}",
                             "block": block,
                         }
@@ -209,7 +237,8 @@ def reassembled(segments: DataFrame) -> DataFrame:
         parts.alias("parts"), F.max("total").alias("total"), F.max("segment").alias("last"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("block")).alias("bytes"), F.max("payload_digest").alias("payload_digest")
     )
     complete = (F.col("n") == F.col("last")) & (F.col("bytes") == F.col("total"))
-    block = F.aggregate("parts", F.lit("").cast("binary"), lambda all, p: F.concat(all, p["block"]))
+    # joined at once, as bytes that Spark takes for a string: a running concatenation would be quadratic
+    block = F.array_join(F.transform("parts", lambda p: p["block"].cast("string")), "").cast("binary")
     return whole.select(F.lit("response").alias("record_type"), F.col("origin").alias("record_id"), F.lit(None).cast("string").alias("refers_to_id"), "payload_digest", F.when(complete, block).alias("block"))
 
 
@@ -231,7 +260,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     A revisit has no payload; its digest and stated_bytes are those of the full one.
     """
     names = ["record_type", "record_id", "refers_to_id", "payload_digest", "block"]
-    blocks = archive_records(spark, path, False).select(*names).unionByName(reassembled(archive_records(spark, path, True)))
+    # written, so that every archive is read and unzipped once
+    records = written(archive_records(spark, path), "warc_records")
+    blocks = records.where("segment IS NULL").select(*names).unionByName(reassembled(records.where("segment IS NOT NULL")))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
