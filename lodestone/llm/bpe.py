@@ -13,7 +13,9 @@ mapping a vocabulary of the whole corpus back to the texts would shuffle every
 word of the corpus, or broadcast a table that grows with it, and give the same ids.
 
 Defined results: a null or empty text has no tokens, and decodes to an empty
-text; rows are encoded one by one, so repeated rows give equal ids.
+text; rows are encoded one by one, so repeated rows give equal ids; a very long
+text is a slice of its own, whose memory is a multiple of it; names that are
+taken get underscores.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.arrowtext import pieces, ragged
+from lodestone.llm.shared import unused
 
 #: The characters of Unicode's White_Space, which the pattern's \s and \S are about.
 WHITE_SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -203,7 +206,8 @@ class Tokenizer:
         content, pattern = self.content.value
         key = (kind.__name__, hash((content, pattern)))
         if key not in Tokenizer.built:
-            Tokenizer.built = {key: kind(content, pattern)}
+            # one of each kind: a worker that encodes may decode next
+            Tokenizer.built = {k: x for k, x in Tokenizer.built.items() if k[0] != key[0]} | {key: kind(content, pattern)}
         return Tokenizer.built[key]
 
 
@@ -214,8 +218,9 @@ def default_tokenizer(spark: SparkSession) -> Tokenizer:
 
 
 def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the token ids of a text column (array<int>) in its place."""
+    """``df`` with the token ids of a text column (array<int>) in its place, underscores in front of their name where it is taken."""
     at = df.columns.index(text)
+    (ids,) = unused(df.drop(text), ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer.get(MergeReplay)
@@ -232,8 +237,9 @@ def encode(df: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "
 
 
 def decode(df: DataFrame, tokenizer: Tokenizer, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the bytes that the token ids stand for in a further column."""
+    """``df`` with the bytes that the token ids stand for in a further column, underscores in front of its name where it is taken."""
     at = df.columns.index(ids)
+    (out,) = unused(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer.get(Vocabulary)

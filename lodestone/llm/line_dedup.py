@@ -12,7 +12,7 @@ was written before.
 Defined results: a null or empty text is one empty line; a key is a 128-bit
 hash of the stripped, A-Z lower-cased line; rows are documents, so a repeated
 row counts again, and every row with the largest doc_id keeps its lines; a null
-doc_id is smaller than any other. An empty table gives an empty result.
+doc_id is smaller than any other; ids may be of any type that has an order. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -154,12 +154,17 @@ class LineRuns:
 
 
 def arrival_batches(documents: DataFrame, n: int) -> list[DataFrame]:
-    """``n`` batches by equal ranges of doc_id, which reach the scan as filters. Nulls are in the first."""
+    """``n`` batches: of integer ids by equal ranges, which reach the scan as filters, of others by their hash. Nulls are in the first."""
+    at = F.col("doc_id")
+    if n <= 1:
+        return [documents]
+    if not isinstance(documents.schema["doc_id"].dataType, T.IntegralType):
+        slot = F.when(at.isNull(), 0).otherwise(F.pmod(F.xxhash64(at), F.lit(n)))
+        return [documents.where(slot == k) for k in range(n)]
     low, high = documents.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if n <= 1 or low is None or high - low < n:
+    if low is None or high - low < n:
         return [documents]
     edges = [low + (high - low + 1) * i // n for i in range(1, n)]
-    at = F.col("doc_id")
     return (
         [documents.where(at.isNull() | (at < edges[0]))]
         + [documents.where((at >= a) & (at < b)) for a, b in zip(edges, edges[1:])]

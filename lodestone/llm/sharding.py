@@ -12,7 +12,8 @@ Filling the table is a loop on the driver over ``slots`` entries. Placing rows
 uses built-in functions and a broadcast join alone.
 
 Defined results: a null key is placed like an empty one; equal keys share a
-shard; an empty table gives an empty result.
+shard, whatever their type writes alike as a string; other columns, long texts
+among them, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,10 +80,14 @@ def place(df: DataFrame, key: Column, shards: list[str], slots: int = SLOTS) ->
 
 
 def write_shards(df: DataFrame, key: Column, shards: list[str], path: str, slots: int = SLOTS, slices: int = 1) -> None:
-    """Write each shard's rows below ``path`` by shard, a shard in ``slices`` tasks."""
+    """Write each shard's rows below ``path`` by shard, a shard in ``slices`` tasks.
+
+    Rows are spread by their whole content and the partition they come from, so
+    that neither one key nor one row repeated very often stays in one task.
+    """
     placed = place(df, key, shards, slots)
     shard = placed.columns[-1]
-    spread = F.pmod(F.xxhash64(placed.columns[-2]), F.lit(slices))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in df.schema], F.spark_partition_id()), F.lit(slices))
     placed.drop(placed.columns[-2]).repartition(len(shards) * slices, shard, spread).write.partitionBy(shard).parquet(path)
 
 

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -45,6 +46,66 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+def brute_counts(node):
+    """(chars, link chars, tags, link tags) of a node by recursion."""
+    inner = [x for x in node.parts if isinstance(x, html_text.Node) and not x.out]
+    own = [brute_counts(x) for x in inner]
+    c = sum(len(re.sub(r"\s", "", x)) for x in node.parts if isinstance(x, str)) + sum(x[0] for x in own)
+    lc = c if node.tag == "a" else sum(x[1] for x in own)
+    return c, lc, sum(x[2] + 1 for x in own), sum(y[3] + (x.tag == "a") for x, y in zip(inner, own))
+
+
+def brute_density(node, root):
+    c, lc, t, lt = brute_counts(node)
+    if not c:
+        return 0.0
+    whole = brute_counts(root)
+    base = np.log(c * lc / max(1, c - lc) + c * whole[1] / whole[0] + np.e)
+    ratio = max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))
+    return c / max(1, t) * np.log(ratio) / np.log(max(base, 1.0) + np.e - 1)
+
+
+def test_densities_equal_brute_force():
+    r = random.Random(5)
+
+    def some(depth):
+        if depth == 0 or r.random() < 0.3:
+            return " ".join("w" * r.randrange(1, 9) for _ in range(r.randrange(9)))
+        tag = r.choice(["div", "p", "a href=x", "ul", "span", "section"])
+        return f"<{tag}>" + "".join(some(depth - 1) for _ in range(r.randrange(1, 4))) + f"</{tag.split()[0]}>"
+
+    for _ in range(60):
+        root = html_text.tree(f"<body>{some(4)}{some(3)}</body>")
+        for node in html_text.weigh(root):
+            assert (node.chars, node.links, node.tags, node.link_tags) == brute_counts(node)
+            assert node.density == pytest.approx(brute_density(node, root), abs=1e-9)
+            assert node.sum == pytest.approx(sum(brute_density(x, root) for x in node.parts if isinstance(x, html_text.Node)), abs=1e-9)
+
+
+def test_density_decides_where_names_say_nothing(spark, monkeypatch):
+    """Without class names, and with article elements renamed, density leaves the adverts out of nearly all pages; without density none."""
+    pages = [x.html for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if x.html]
+    want = [html_text.main_text(x) for x in pages]
+    renamed = [x.replace("<article", "<div").replace("</article", "</div") for x in pages]
+    assert [html_text.main_text(x) for x in renamed] == want
+    bare = [re.sub(r' class="[^"]*"', "", x) for x in renamed]
+    same = lambda: sum(html_text.main_text(x) == w for x, w in zip(bare, want))
+    assert same() >= 0.95 * len(pages)
+    monkeypatch.setattr(html_text, "densest", lambda nodes, root: root)
+    assert same() < 0.1 * len(pages)
+
+
+def test_pages_of_many_stray_tags_take_linear_time():
+    import time
+
+    begin = time.perf_counter()
+    k = 50_000
+    assert html_text.main_text('<div class="header">' * k + "x") == ""
+    for page in ("<span>" * k + "</b>" * k, "<b><div>" + "<span>" * k + "</b>" * k, "<span>" * k + "<div></div>" * k, "<table><tr>" + "<td>a" * k):
+        assert html_text.main_text(page + "x").endswith("x")
+    assert time.perf_counter() - begin < 60
+
+
 def test_extract_carries_columns_and_survives_odd_pages(spark):
     odd = [None, "", "<" * 50_000, "<div>" * 20_000 + "x", "<a '" * 5_000, "&#0;&#xD800;&bogus;", "</p></div>"]
     df = pages_of(spark, [(i, None, h) for i, h in enumerate(odd)]).withColumn("text", F.lit(1))
@@ -73,9 +134,36 @@ def test_warc_round_trip(spark, tmp_path, broadcast):
     assert sorted(got, key=str) == sorted(want, key=str)
     payloads = warc.read_archives(spark, path).where("record_type = 'response'").collect()
     assert sorted(bytes(x.payload) for x in payloads) == sorted((h or "").encode() for (_, _, h), w in zip(rows, want) if w[3] == "response")
-    parts = warc.archive_records(spark, path, True)
+    parts = warc.archive_records(spark, path).where("segment IS NOT NULL")
     lost = warc.reassembled(parts.where("NOT (segment = 2 AND origin LIKE '%:1:%')"))
-    assert all(x.block is None for x in lost.where("record_id LIKE '<urn:page:1:%'").collect())
+    wrong = warc.reassembled(parts.withColumn("total", F.col("total") + 1))
+    for rows in (lost, wrong):
+        rows = rows.where("record_id LIKE '<urn:page:1:%'").collect()
+        assert rows and all(x.block is None for x in rows)
+
+
+def test_archives_of_others(spark, tmp_path):
+    """A gzip member for each record, a plain archive, and broken ones."""
+    import gzip
+
+    record = lambda n, body: warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:page:{n}:x>")], b"HTTP/1.1 200 OK\r\n\r\n" + body) + warc.END
+    whole = [record(n, b"x" * n * 1000) for n in range(1, 4)]
+    read = lambda name: sorted((x.record_id[10], None if x.payload is None else len(x.payload)) for x in warc.read_archives(spark, str(tmp_path / name)).collect())
+    for name, content in {
+        "members": b"".join(map(gzip.compress, whole)),
+        "plain": b"".join(whole),
+        "short": b"".join(whole)[:-500],
+        "cut": b"".join(map(gzip.compress, whole[:2])) + gzip.compress(whole[2])[:-20],
+        "junk": b"".join(map(gzip.compress, whole[:2])) + b"no archive at all",
+        "head": whole[0] + b"WARC/1.1\r\nContent-Length: x\r\n\r\n",
+        "empty": b"",
+    }.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(content)
+    assert read("members") == read("plain") == [("1", 1000), ("2", 2000), ("3", 3000)]
+    assert read("short") == [("1", 1000), ("2", 2000), ("3", None)]
+    assert read("cut")[:2] == [("1", 1000), ("2", 2000)] and read("junk") == [("1", 1000), ("2", 2000)]
+    assert read("head") == [("1", 1000)] and read("empty") == []
 
 
 def test_empty_warc(spark, tmp_path):
@@ -133,6 +221,55 @@ def test_terms_that_reveal_an_entity(spark, broadcast):
     assert pii.all_spans(df.limit(0)).count() == 0
 
 
+WORD = regex.compile(r"[\p{L}\p{N}]+")
+
+
+def brute_terms(rows, context=100, support=3, disclosure=0.8):
+    """Term spans of each row by the definition: sets and counts over all rows."""
+    terms = lambda t: {w for w in WORD.findall(t.lower()) if len(w) >= 3 and not re.fullmatch("[0-9]+", w)}
+    base = [[(k, m.start(), m.end(), f"{n}:{m.group().lower()}") for n, (k, p) in enumerate(KINDS) for m in p.finditer(t or "") if is_valid(k, m.group())] for _, t in rows]
+    holds, near = {}, {}
+    for (_, t), spans in zip(rows, base):
+        for _, a, b, e in spans:
+            holds.setdefault(e, []).append(t)
+            words = [m.group() for m in WORD.finditer(t) if m.start() >= a - context and m.end() <= a or m.start() >= b and m.end() <= b + context]
+            near.setdefault((e, t), set()).update(terms(" ".join(words)))
+    n, telling = len(rows), {}
+    for e in holds:
+        texts = set(holds[e])
+        n_e = sum(t in texts for _, t in rows)
+        for w in set().union(*(near[e, t] for t in texts)):
+            own = {t for t in texts if w in near[e, t]}
+            n_te, n_t = sum(t in own for _, t in rows), sum(w in terms(t or "") for _, t in rows)
+            if len(own) >= support and len(texts) >= support and n_e < n and np.log2(n_te / n_t * n / n_e) >= disclosure * np.log2(n / n_e) - 1e-12:
+                telling.setdefault(e, set()).add(w)
+    out = []
+    for (i, t), spans in zip(rows, base):
+        own = set().union(*(telling.get(e, set()) for *_, e in spans)) if spans else set()
+        found = [(m.start(), m.end()) for m in WORD.finditer(t or "") if m.group().lower() in own]
+        out.append((i, [(a, b) for a, b in found if not any(a < y and x < b for _, x, y, _ in spans)]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("broadcast", [1000, 0])
+def test_term_spans_equal_brute_force(spark, broadcast):
+    r = random.Random(3)
+    common = [f"word{n}" for n in range(25)]
+    filler = lambda k: " ".join(r.choices(common, k=k))
+    texts = [filler(20) for _ in range(30)]
+    texts += [f"{filler(3)} Zebulon zeb@x.example.com {filler(30)} omega{n % 2} zeb@x.example.com {filler(12)}, Quux" for n in range(8)]
+    texts += [f"from noreply@hot.example.com {filler(9)} {name} +49 170 123456{n % 3} {filler(6)}" for n, name in enumerate(["anna", "berta", "carla"] * 15)]
+    texts += [texts[30]] * 4 + ["", "zebulon alone", f"{'x' * 95} cutword zeb@x.example.com"]
+    rows = list(enumerate(texts))
+    want = brute_terms(rows)
+    assert sum(bool(s) for _, s in want) > 20
+    for _ in range(2):
+        r.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = sorted((x.doc_id, [(s.start, s.end) for s in x.term_spans]) for x in pii.all_spans(df, broadcast_rows=broadcast).collect())
+        assert got == want
+
+
 def brute_table(names, slots):
     order = []
     for s in names:
@@ -170,6 +307,10 @@ def test_placement(spark, tmp_path):
         assert (x.slot, x._shard) == (slot, table[slot])
     sharding.write_shards(df, F.col("key"), sharding.shard_names(3), str(tmp_path / "s"), 101, 2)
     assert spark.read.parquet(str(tmp_path / "s")).count() == 4
+    hot = spark.range(0, 4000, 1, 8).select(F.lit(7).alias("key"), F.lit("copy").alias("text"))
+    sharding.write_shards(hot, F.col("key"), sharding.shard_names(3), str(tmp_path / "hot"), 101, 8)
+    files = spark.read.parquet(str(tmp_path / "hot")).groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 2 and max(x["count"] for x in files) < 2500
     assert sharding.place(df.limit(0), F.col("key"), ["a"], 101).count() == 0
 
 
@@ -196,6 +337,30 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.score(docs.limit(0).withColumn("toxic", F.lit(1)), model).columns[-1] == "_toxic"
 
 
+def test_gradient_equals_differences():
+    r = np.random.default_rng(1)
+    rows, features, values = r.integers(0, 30, 90), r.integers(0, 7, 90), r.integers(1, 4, 90).astype(float)
+    grades, params = r.integers(0, toxicity.GRADES, 30), r.normal(size=7 + toxicity.GRADES - 1)
+    _, up = toxicity.likelihood(params, rows, features, values, grades, 0.01)
+    step = 1e-6 * np.eye(len(params))
+    value = lambda p: toxicity.likelihood(p, rows, features, values, grades, 0.01)[0]
+    assert np.allclose(up, [(value(params + d) - value(params - d)) / 2e-6 for d in step], atol=1e-6)
+
+
+def test_toxicity_sample_is_bounded_and_severity_rises(spark):
+    r = random.Random(2)
+    bad = ["vileone", "viletwo", "vilethree", "nasty"]
+    docs = [(n, " ".join(r.choices([f"w{k}" for k in range(60)], k=30) + (r.sample(bad, 1 + n // 2 % 4) if n % 2 else []))) for n in range(300)]
+    docs += [(1, "nasty words again")] * 500 + [(0, "x" * 300_000)]
+    labels = [(n, n % 2) for n in range(300)] + [(1, 0)] * 20 + [(None, 1), (2, None)]
+    df, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, marks, sample_rows=250, min_docs=5, min_chi2=10.0)
+    assert len(model.weights) and set(model.features[0]) <= {*bad, *(f"w{k}" for k in range(60))}
+    more = spark.createDataFrame([(k, " ".join(bad[:k])) for k in range(5)], "doc_id long, text string")
+    got = [x.expected_severity for x in toxicity.score(more, model).orderBy("doc_id").collect()]
+    assert got == sorted(got) and got[0] < 0.5 < got[-1]
+
+
 @pytest.fixture(scope="module")
 def reference():
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
@@ -224,5 +389,8 @@ def test_token_report(spark, reference):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = {(i, len(ids), sha(" ".join(map(str, ids))), sha(t or "")) for i, t in enumerate(texts) for ids in [library.encode_ordinary(t or "")]}
     tokenizer = bpe.default_tokenizer(spark)
+    both = bpe.decode(bpe.encode(df.withColumn("decoded", F.lit(1)), tokenizer), tokenizer, "_ids")
+    assert both.columns == ["doc_id", "_ids", "ids", "decoded", "_decoded"]
+    assert [bytes(x._decoded).decode() for x in both.orderBy("doc_id").collect()] == [t or "" for t in texts]
     assert {tuple(x) for x in bpe.token_report(df, tokenizer).collect()} == want
     assert bpe.token_report(df.limit(0), tokenizer).count() == 0

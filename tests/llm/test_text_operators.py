@@ -59,6 +59,13 @@ def test_line_dedup(spark, texts, batches, fanout, broadcast):
     assert sorted(got, key=str) == brute_lines(list(zip(ids, texts)))
 
 
+def test_line_dedup_of_string_ids(spark, texts):
+    rows = [(f"d{n:03d}", t) for n, t in enumerate(texts)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string"), batches=3)
+    got = [(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in out.collect()]
+    assert sorted(got) == sorted((f"d{i:03d}", *rest) for i, *rest in brute_lines(list(enumerate(texts))))
+
+
 def test_line_runs_compact_without_losing_counts(spark):
     runs = line_dedup.LineRuns(spark, fanout=2, buckets=2)
     for n in range(5):
