@@ -30,28 +30,34 @@ def packed(hits: DataFrame, budget: int = 4000, preamble: str = "", deduplicate:
         raise ValueError("the budget must be positive")
     cost = estimate_tokens(item_text(F.lit("0"), F.col("source"), F.col("text")))
     rows = hits.withColumns({"cost": cost, "_hash": text_hash(F.col("text"), compatibility)})
-    items = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), "id", "cost", "_hash")))
+    names = [c for c in rows.columns if c != "query_id"]
+
+    def by_score(x: Column, y: Column) -> Column:
+        return F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)
+
     start = F.struct(
         F.lit(estimate(preamble)).alias("used"),
         F.array().cast("array<string>").alias("seen"),
-        F.array().cast("array<struct<id:string,dropped:string,left:int>>").alias("out"),
+        F.array().cast("array<struct<dropped:string,left:int>>").alias("out"),
     )
 
     def take(acc: Column, x: Column) -> Column:
         again = F.lit(deduplicate) & F.array_contains(acc["seen"], x["_hash"])
         why = F.when(again, "duplicate").when(acc["used"] + x["cost"] > budget, "token_budget")
-        row = F.struct(x["id"].cast("string").alias("id"), why.alias("dropped"), (F.lit(budget) - acc["used"]).alias("left"))
+        row = F.struct(why.alias("dropped"), (F.lit(budget) - acc["used"]).alias("left"))
         return F.struct(
             F.when(why.isNull(), acc["used"] + x["cost"]).otherwise(acc["used"]).alias("used"),
             F.when(why.isNull(), F.concat(acc["seen"], F.array(x["_hash"]))).otherwise(acc["seen"]).alias("seen"),
             F.concat(acc["out"], F.array(row)).alias("out"),
         )
 
-    fates = rows.groupBy("query_id").agg(F.aggregate(items, start, take, lambda acc: acc["out"]).alias("out"))
-    fates = fates.select("query_id", F.inline("out")).withColumnRenamed("id", "_id")
-    joined = rows.join(fates, (rows["query_id"] == fates["query_id"]) & (rows["id"].cast("string") == F.col("_id"))).drop(fates["query_id"])
+    # the whole hit goes through the fold, so a repeated id is met once for each hit
+    sorted_hits = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*names)), by_score).alias("items"))
+    fates = sorted_hits.withColumn("fates", F.aggregate("items", start, take, lambda acc: acc["out"]))
+    both = F.zip_with("items", "fates", lambda x, f: F.struct(*[x[n].alias(n) for n in names], f["dropped"].alias("dropped"), f["left"].alias("left")))
+    out = fates.select("query_id", F.inline(both))
     detail = F.when(F.col("dropped") == "duplicate", "the same text is in already").when(F.col("dropped") == "token_budget", F.concat(F.col("cost").cast("string"), F.lit(" tokens, "), F.col("left").cast("string"), F.lit(" left")))
-    return joined.withColumn("detail", detail).drop("_id", "_hash", "left")
+    return out.withColumn("detail", detail).select(*hits.columns, "cost", "dropped", "detail")
 
 
 def ordered(items: DataFrame, ordering: str = "relevance") -> DataFrame:

@@ -112,3 +112,26 @@ def fused(hits: DataFrame, k: int, constant: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, retriever, id, rank from 0): the sum of 1 / (constant + rank + 1). An extra."""
     scores = hits.groupBy("query_id", "id").agg(F.sum(1 / (constant + F.col("rank") + 1)).alias("score"))
     return ranked(scores, k)
+
+
+def windows_of(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` words of a text, lower-cased."""
+    words = F.filter(F.split(F.lower(collapse(text)), " "), lambda w: w != "")
+    runs = lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - size), lambda i: F.array_join(F.slice(ws, i + 1, size), " "))
+    bound = F.get(F.transform(F.array(words), lambda ws: F.when(F.size(ws) >= size, runs(ws)).otherwise(F.array().cast("array<string>"))), F.lit(0))
+    return F.array_distinct(bound)
+
+
+def shared_windows(records: DataFrame, queries: DataFrame, k: int, size: int = 3) -> DataFrame:
+    """(query_id, id, score, rank): for each query (query_id, query) the records (id, text) that have most of its word windows, ties by id.
+
+    An equi-join of windows; what is shuffled beside them is a count for each pair that has any in common.
+    """
+    own = queries.select("query_id", F.explode(windows_of(F.col("query"), size)).alias("window"))
+    there = records.select("id", F.explode(windows_of(F.col("text"), size)).alias("window"))
+    return ranked(there.join(own, "window").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score")), k)
+
+
+def usable_ranking(entries: Column, top_k: int, candidates: Column) -> Column:
+    """Whether a cached ranking can answer: one that is shorter than what is asked for, and than the candidates, is a miss."""
+    return F.coalesce((F.size(entries) >= top_k) | (F.size(entries) >= candidates), F.lit(False))

@@ -358,18 +358,22 @@ def run_report(spark, sf_dir):
 
 # --- rerank and context ------------------------------------------------------------------
 
-OVERLAP_SQL = r"""cand AS (SELECT b.item_id AS query_id, d.doc_id AS id, b.text AS query, substr(d.text, 1, 400) AS text FROM benchmark b
-  JOIN documents d ON d.doc_id % 40 = b.item_id % 40 AND d.doc_id < 400),
-sets AS (SELECT query_id, id, text, list_distinct(list_filter(string_split(lower(trim(regexp_replace(query, '\s+', ' ', 'g'))), ' '), lambda x: x <> '')) AS q,
-  list_distinct(list_filter(string_split(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' '), lambda x: x <> '')) AS t FROM cand),
+FLAT = lambda c: rf"list_filter(string_split(lower(trim(regexp_replace({c}, '\s+', ' ', 'g'))), ' '), lambda x: x <> '')"
+RUNS = lambda c: f"SELECT DISTINCT id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM {c})"
+OVERLAP_SQL = rf"""bw AS (SELECT item_id AS id, {FLAT("text")} AS w FROM benchmark), dw AS (SELECT doc_id AS id, {FLAT("text")} AS w FROM documents),
+bg AS ({RUNS("bw")}), dg AS ({RUNS("dw")}),
+shared AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, id) AS r FROM
+  (SELECT bg.id AS query_id, dg.id, count(*) AS n FROM bg JOIN dg ON bg.g = dg.g GROUP BY ALL)) WHERE r <= 10),
+cand AS (SELECT s.query_id, s.id, b.text AS query, d.text FROM shared s JOIN benchmark b ON b.item_id = s.query_id JOIN documents d ON d.doc_id = s.id),
+sets AS (SELECT query_id, id, text, list_distinct({FLAT("query")}) AS q, list_distinct({FLAT("text")}) AS t FROM cand),
 scored AS (SELECT query_id, id, text, CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, t)) / len(q) END AS score FROM sets)"""
 
 
 def candidates(spark, sf_dir):
-    """Up to ten documents for each benchmark item: a small join of literal candidates."""
+    """The ten documents that share most word windows with each benchmark item, whole."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    d = table(spark, sf_dir, "documents").where("doc_id < 400").select(F.col("doc_id").alias("id"), F.substring("text", 1, 400).alias("text"))
-    return b.join(d, F.col("id") % 40 == F.col("query_id") % 40)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return retrieve.shared_windows(d, b, 10).select("query_id", "id").join(d, "id").join(b, "query_id")
 
 
 @query(f"WITH {OVERLAP_SQL} SELECT query_id, id, round(score, 9) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS r FROM scored) WHERE r < 5")
@@ -389,16 +393,16 @@ r AS (SELECT *, CAST(ceil((length(text) + 16) / 4.0) AS INTEGER) AS cost, trim(r
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM h),
 f AS (SELECT query_id, 0::BIGINT AS n, NULL::BIGINT AS id, 0 AS used, []::VARCHAR[] AS seen, NULL::VARCHAR AS dropped FROM (SELECT DISTINCT query_id FROM r)
   UNION ALL SELECT f.query_id, r.n, r.id,
-    CASE WHEN list_contains(seen, flat) OR used + cost > 300 THEN used ELSE used + cost END,
-    CASE WHEN list_contains(seen, flat) OR used + cost > 300 THEN seen ELSE list_append(seen, flat) END,
-    CASE WHEN list_contains(seen, flat) THEN 'duplicate' WHEN used + cost > 300 THEN 'token_budget' END
+    CASE WHEN list_contains(seen, flat) OR used + cost > 4000 THEN used ELSE used + cost END,
+    CASE WHEN list_contains(seen, flat) OR used + cost > 4000 THEN seen ELSE list_append(seen, flat) END,
+    CASE WHEN list_contains(seen, flat) THEN 'duplicate' WHEN used + cost > 4000 THEN 'token_budget' END
   FROM f JOIN r ON r.query_id = f.query_id AND r.n = f.n + 1)"""
 
 
 @query(PACK_SQL + " SELECT query_id, id, dropped FROM f WHERE n > 0")
 def budget_pack(spark, sf_dir):
     """Greedy packing with duplicates."""
-    return context.packed(hits(spark, sf_dir), 300).select("query_id", "id", "dropped")
+    return context.packed(hits(spark, sf_dir), 4000).select("query_id", "id", "dropped")
 
 
 @query(
@@ -422,7 +426,7 @@ SELECT query_id, '<retrieved_context>' || chr(10) || 'Sources:' || chr(10) || ch
 )
 def context_render(spark, sf_dir):
     """The rendered context of each query."""
-    kept = context.packed(hits(spark, sf_dir), 300).where("dropped IS NULL")
+    kept = context.packed(hits(spark, sf_dir), 4000).where("dropped IS NULL")
     items = context.cited(context.ordered(kept))
     return context.rendered(items, items.select("query_id").distinct(), "Sources:")
 
@@ -559,7 +563,7 @@ def sql_text(s: str) -> str:
 
 @query(
     f"""WITH {TEXTS_SQL} SELECT id, CAST({" + ".join(f"CASE WHEN regexp_matches(text, '(?i){sql_text(p)}') THEN 1 ELSE 0 END" for p in guards.INJECTION_PATTERNS)} AS INTEGER) AS injection,
-  regexp_matches(text, '{guards.CREDENTIAL}') AS secret, CASE WHEN length(trim(text)) BETWEEN 1 AND 4000 THEN 'allow' ELSE 'block' END AS shape FROM texts"""
+  regexp_matches(text, '{guards.CREDENTIAL}') AS secret, CASE WHEN length(regexp_replace(text, '^{ids.WHITE_SPACE}+|{ids.WHITE_SPACE}+$', '', 'g')) BETWEEN 1 AND 4000 THEN 'allow' ELSE 'block' END AS shape FROM texts"""
 )
 def guard_flags(spark, sf_dir):
     """Injection phrasings, credentials and shapes of texts."""
@@ -587,3 +591,124 @@ def lexical_embed(spark, sf_dir):
     """Hashed embeddings of benchmark items."""
     v = vectors.embedded(table(spark, sf_dir, "benchmark"), "text", "vector", 64, "document")
     return v.select("item_id", F.transform("vector", lambda x: F.round(x, 6)).cast("string").alias("vector"))
+
+
+# --- rows instead of counts -------------------------------------------------------------------
+
+
+@query(
+    """WITH f AS (SELECT event_id, props::JSON AS p, json_type(props::JSON, '$.k') AS k_type, CAST(json_extract(props::JSON, '$.k') AS VARCHAR) AS k, json_extract_string(props::JSON, '$.k') AS k_str,
+  CASE WHEN json_type(props::JSON, '$.k') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN CAST(json_extract_string(props::JSON, '$.k') AS DOUBLE) END AS k_num FROM events)
+SELECT event_id, """
+    + " || ".join(f"CASE WHEN coalesce({s}, false) THEN '1' ELSE '0' END" for _, s in FILTERS.values())
+    + " AS matched FROM f"
+)
+def filter_rows(spark, sf_dir):
+    """Which filters match each event."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("m"))
+    return rows.select("event_id", F.concat(*[F.when(compiled(node, F.col("m")), "1").otherwise("0") for node, _ in FILTERS.values()]).alias("matched"))
+
+
+@query(
+    r"""WITH p AS (SELECT doc_id, generate_subscripts(ls, 1) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+s AS (SELECT doc_id, line, sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 2 AS b FROM p)
+SELECT doc_id, trim(line) AS text, CAST(b AS INTEGER) AS "start", CAST(b + length(line) AS INTEGER) AS "end" FROM s WHERE trim(line) <> ''"""
+)
+def paragraph_rows(spark, sf_dir):
+    """Every paragraph and its place, of texts with a blank line between lines."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return d.select("doc_id", F.inline(parse.paragraphs(F.col("text")))).select("doc_id", "text", "start", "end")
+
+
+@query(r"""SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, sha256(array_to_string(w, ' ')) AS words_sha256
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ 
+]+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0""")
+def chunk_words(spark, sf_dir):
+    """The words of a document's chunks, in order: without overlap they are those of the document."""
+    d = table(spark, sf_dir, "documents")
+    docs = d.select(F.col("doc_id").alias("document_id"), parse.paragraphs(F.col("text")).alias("blocks"))
+    chunks = chunk.chunked(docs, chunk.ChunkSize(300, 0, 8), compatibility=False)
+    parts = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("index", "text"))).alias("p"))
+    words = F.filter(F.split(F.array_join(F.transform("p", lambda x: x["text"]), "\n"), r"[ \n]+"), lambda w: w != "")
+    return parts.select(F.col("document_id").alias("doc_id"), words.alias("w")).select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.sha2(F.array_join("w", " ").cast("binary"), 256).alias("words_sha256"))
+
+
+@query(r"""SELECT doc_id, 'heading' AS kind, trim(string_split(text, chr(10))[1]) AS text, 2 AS level FROM documents WHERE regexp_matches(text, '[a-zA-Z]') AND trim(string_split(text, chr(10))[1]) <> ''
+UNION ALL SELECT doc_id, 'code', '```' || chr(10) || 'x = 1' || chr(10) || '```', NULL FROM documents WHERE regexp_matches(text, '[a-zA-Z]') AND trim(string_split(text, chr(10))[1]) <> ''""")
+def markdown_rows(spark, sf_dir):
+    """Headings and code of documents written as markdown: their first line under an ATX mark, and a fence."""
+    d = table(spark, sf_dir, "documents").withColumn("line", F.trim(F.split("text", "\n")[0])).where(F.col("text").rlike("[a-zA-Z]") & (F.col("line") != ""))
+    made = d.select("doc_id", F.concat(F.lit("## "), "line", F.lit("\n\nA paragraph.\n\n  ```\nx = 1\n```\n- an item\n")).alias("text"))
+    blocks = parse.markdown_blocks(made).select("doc_id", F.inline("blocks")).where("kind IN ('heading', 'code')")
+    return blocks.select("doc_id", "kind", "text", "level")
+
+
+# --- evaluation, usage and store, in rows -------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'plain' WHEN doc_id % 3 = 1 THEN 'doc_' || doc_id
+  ELSE 'doc_' || substr(sha256('lodestone/document/v1' || chr(0) || source || chr(0) || 'a:' || doc_id), 1, 24) END AS expected FROM documents""")
+def expected_documents(spark, sf_dir):
+    """Expected documents by id, or by source and path."""
+    n, source = F.col("doc_id").cast("string"), F.col("source")
+    value = F.when(F.col("doc_id") % 3 == 0, "plain").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("doc_"), n)).otherwise(F.concat(source, F.lit(":a:"), n))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(evaluate.resolved_documents(F.array(value, value))).alias("expected"))
+
+
+@query(CASES_SQL + " SELECT query_id, 'mrr' AS metric, 0.9::DOUBLE AS baseline, round(mrr, 6) AS value FROM m WHERE 0.9 - mrr > 0.02 AND query_id % 200 = 0")
+def case_regressions(spark, sf_dir):
+    """Single cases below their baseline."""
+    now = cases(spark, sf_dir).select("query_id", F.lit("mrr").alias("metric"), F.col("mrr").alias("value"))
+    before = now.where("query_id % 200 = 0").select("query_id", "metric", F.lit(0.9).alias("baseline"))
+    return evaluate.case_regressions(now, before).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT event_type AS metric, round(avg(value), 6) AS value FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type")
+def judge_means(spark, sf_dir):
+    """Means of judged metrics."""
+    scores = table(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), F.col("value").alias("score"))
+    return evaluate.judge_means(scores, ("view", "click")).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 9) AS error_rate FROM events")
+def error_rate(spark, sf_dir):
+    """The share of cases with an error."""
+    return table(spark, sf_dir, "events").agg(F.round(evaluate.rate(F.col("event_type") == "error"), 9).alias("error_rate"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang IN ('de', 'fr') OR source IN ('de', 'fr')")
+def tagged_cases(spark, sf_dir):
+    """Cases with any of some tags."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array("lang", "source").alias("tags"))
+    return evaluate.with_tags(d, ["de", "fr"]).select("doc_id")
+
+
+@query("SELECT round(sum((t * 0.02 + 3 * ((4000 + 200 + t) * 2.5 + 400 * 10)) / 1e6), 6) AS cost_usd FROM (SELECT ceil(length(text) / 4.0) AS t FROM benchmark)")
+def suite_cost(spark, sf_dir):
+    """An upper bound of a suite's cost with a judge."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("text").alias("query"))
+    return evaluate.estimated_cost(b, 4000, 0.02, 2.5, 10.0, True).select(F.round("cost_usd", 6).alias("cost_usd"))
+
+
+@query("""WITH t AS (SELECT count(*) AS calls, sum(event_id) AS tokens FROM events)
+SELECT 'calls' AS what, calls::DOUBLE AS observed, 10::DOUBLE AS "limit" FROM t WHERE calls > 10 UNION ALL SELECT 'tokens', tokens::DOUBLE, 20 FROM t WHERE tokens > 20""")
+def budgets_exceeded(spark, sf_dir):
+    """Budgets that a run exceeds; unknown cost never does."""
+    totals = table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("calls"), F.sum("event_id").alias("tokens"), F.lit(None).cast("double").alias("cost_usd"), F.lit(1).alias("steps"))
+    return usage.exceeded(totals, {"calls": 10, "tokens": 20, "cost_usd": 0.0, "steps": 5})
+
+
+@query("SELECT event_id AS key, event_id % 3 = 0 OR event_id % 100 > 50 AS hit FROM events WHERE event_id % 2 = 0")
+def cache_lookups(spark, sf_dir):
+    """Keys found in a cache whose entries may have expired."""
+    e = table(spark, sf_dir, "events")
+    cache = e.select(F.col("event_id").alias("key"), F.col("value").alias("value"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 100).alias("expires_at"))
+    found, missed = tables.cached(e.where("event_id % 2 = 0").select(F.col("event_id").alias("key")), cache, F.lit(50))
+    return found.select("key", F.lit(True).alias("hit")).unionByName(missed.select("key", F.lit(False).alias("hit")))
+
+
+@query(f"WITH {CHUNK_LINES_SQL}, {KNOWN_SQL} SELECT document_id, chunk_id FROM known WHERE document_id % 5 <> 0 UNION ALL SELECT document_id, chunk_id FROM chunks WHERE document_id % 5 = 0")
+def recorded_chunks(spark, sf_dir):
+    """The chunk manifest after a sync of every fifth document."""
+    chunks, known = chunk_manifests(spark, sf_dir)
+    return sync.recorded(known.select("document_id", "chunk_id"), chunks.where("document_id % 5 = 0").select("document_id", "chunk_id"))
