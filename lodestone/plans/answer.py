@@ -10,9 +10,9 @@ from lodestone.functions.filters import Filter, compiled
 from lodestone.operators import context, generate, retrieve
 
 
-def retrieved(index: DataFrame, questions: DataFrame, k: int = 20, dimensions: int = 64, condition: Filter | None = None, min_score: float | None = None) -> DataFrame:
+def retrieved(index: DataFrame, questions: DataFrame, k: int = 20, dimensions: int = 64, condition: Filter | None = None, min_score: float | None = None, namespace: str | None = None) -> DataFrame:
     """(query_id, query) -> hits of an index table: query_id, id, score, rank, text, document_id, index, source."""
-    rows = index
+    rows = index if namespace is None else index.where(F.col("namespace") == namespace)
     if condition is not None:
         fields = F.parse_json(F.to_json(F.struct("document_id", "heading_path", "namespace")))
         rows = rows.where(compiled(condition, fields))
@@ -22,6 +22,18 @@ def retrieved(index: DataFrame, questions: DataFrame, k: int = 20, dimensions: i
     return hits.join(texts, "id")
 
 
+def retrieved_for(index: DataFrame, questions: DataFrame, filters: dict[str, Filter], by: str = "principal", **options) -> DataFrame:
+    """(query_id, query, principal): each question sees only what the filter of its principal lets through; one without a filter sees nothing.
+
+    A search for each filter, over the questions that it holds for.
+    """
+    out = None
+    for name, condition in filters.items():
+        hits = retrieved(index, questions.where(F.col(by) == name).drop(by), condition=condition, **options)
+        out = hits if out is None else out.unionByName(hits)
+    return out if out is not None else retrieved(index, questions.drop(by).limit(0), **options)
+
+
 def answers(index: DataFrame, questions: DataFrame, k: int = 20, budget: int = 4000, dimensions: int = 64, policy: str = "abstain") -> DataFrame:
     """(query_id, query) -> query_id, answer, context, grounded (the share of supported claims)."""
     kept = context.packed(retrieved(index, questions, k, dimensions), budget).where("dropped IS NULL")

@@ -16,18 +16,18 @@ from pyspark.sql import functions as F
 from lodestone.functions import ids, vectors
 from lodestone.operators import chunk, parse, sync, validate
 from lodestone.sources import files
-from lodestone.sources.tables import Table
+from lodestone.sources.tables import Table, last_of
 
 
 class Workspace:
     """The tables of an index and its manifest, below one path."""
 
     def __init__(self, spark: SparkSession, path: str):
-        table = lambda name, schema, keys: Table(spark, f"{path}/{name}", schema, keys)
+        table = lambda name, schema, keys, unique=False: Table(spark, f"{path}/{name}", schema, keys, unique)
         self.spark, self.path = spark, path
         self.documents = table("documents", "source_id STRING, document_id STRING, source_uri STRING, revision STRING, content_hash STRING, chunk_count INT, status STRING", ["document_id"])
         self.chunks = table("chunks", "document_id STRING, chunk_id STRING, text_hash STRING, embedded_with STRING", ["document_id", "chunk_id"])
-        self.index = table("index", "namespace STRING, id STRING, vector ARRAY<DOUBLE>, document_id STRING, chunk_index INT, heading_path STRING, text STRING", ["namespace", "id"])
+        self.index = table("index", "namespace STRING, id STRING, vector ARRAY<DOUBLE>, document_id STRING, chunk_index INT, heading_path STRING, text STRING", ["namespace", "id"], True)
         self.quarantine = table("quarantine", "document_id STRING, rule STRING, reason STRING, excerpt STRING", ["document_id"])
         self.runs = table("runs", "run_id STRING, source_id STRING, started_at TIMESTAMP, status STRING, report STRING", ["run_id"])
         self.meta = table("meta", "index_name STRING, epoch INT, dimensions INT, embed_model STRING", ["index_name"])
@@ -150,4 +150,5 @@ def run(ws: Workspace, root: str, s: Settings = Settings()) -> Row:
 
 
 def _upserted(index: DataFrame, records: DataFrame) -> DataFrame:
+    records = last_of(records, ["namespace", "id"])
     return index.join(records.select("namespace", "id"), ["namespace", "id"], "left_anti").unionByName(records)

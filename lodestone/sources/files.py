@@ -59,6 +59,12 @@ def matches(path: Column, globs: tuple[str, ...]) -> Column:
     return path.rlike("|".join(map(glob_pattern, globs))) if globs else F.lit(False)
 
 
+def below(path: Column, root: str) -> Column:
+    """A file's path below the root: its id there."""
+    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
+    return F.regexp_replace(path, F.lit(rf"^[a-z]*:?/*\Q{base}\E/"), F.lit(""))
+
+
 def listing(spark: SparkSession, root: str, patterns: tuple[str, ...] = ("**/*.md", "**/*.txt"), exclude: tuple[str, ...] = (), source_id: str = "files") -> DataFrame:
     """One row for each file below ``root`` that matches: source_id, id, uri, revision, size_bytes, media_type, folder.
 
@@ -66,14 +72,34 @@ def listing(spark: SparkSession, root: str, patterns: tuple[str, ...] = ("**/*.m
     microseconds and the length. A missing root is an error.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    relative = F.regexp_replace(F.col("path"), F.lit(rf"^[a-z]*:?/*\Q{base}\E/"), F.lit(""))
-    rows = files.withColumn("id", relative).where(matches(F.col("id"), patterns) & ~matches(F.col("id"), exclude))
+    rows = files.withColumn("id", below(F.col("path"), root)).where(matches(F.col("id"), patterns) & ~matches(F.col("id"), exclude))
     revision = F.concat_ws(":", F.unix_micros("modificationTime").cast("string"), F.col("length").cast("string"))
     return rows.select(F.lit(source_id).alias("source_id"), "id", F.col("path").alias("uri"), revision.alias("revision"), F.col("length").alias("size_bytes"), media_type(F.col("id")).alias("media_type"), folder(F.col("id")).alias("folder")).distinct()
 
 
-def fetched(spark: SparkSession, root: str, entries: DataFrame) -> DataFrame:
-    """``entries`` with content. Files that are gone meanwhile have none, and are to be quarantined."""
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(root).select(F.col("path").alias("uri"), "content")
-    return entries.join(contents, "uri", "left")
+def glob_free(path: str) -> str:
+    """A path in which no character stands for others."""
+    return "".join(f"\\{c}" if c in "[]{}*?\\" else c for c in path)
+
+
+def present(spark: SparkSession, uris: list[str]) -> list[str]:
+    """The files that are still there."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    return [u for u in uris if path(u).getFileSystem(conf).exists(path(u))]
+
+
+def fetched(spark: SparkSession, root: str, entries: DataFrame, most_listed: int = 20_000) -> DataFrame:
+    """``entries`` with content. Files that are gone meanwhile have none, and are to be quarantined.
+
+    Only the files of the entries are read; where they are more than
+    ``most_listed``, as in a first run, all files below the root are scanned.
+    """
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True)
+    uris = [r.uri for r in entries.select("uri").limit(most_listed + 1).collect()]
+    if len(uris) > most_listed:
+        contents = files.option("recursiveFileLookup", True).load(root)
+    elif there := present(spark, uris):
+        contents = files.load([glob_free(u) for u in there])
+    else:
+        return entries.withColumn("content", F.lit(None).cast("binary"))
+    return entries.join(contents.select(F.col("path").alias("uri"), "content"), "uri", "left")

@@ -1,58 +1,93 @@
-"""Versioned Parquet tables: a merge writes a new version, a pointer row names the current one.
+"""Versioned Parquet tables: a merge writes a new version, a pointer file names its directory.
 
-A version directory is written whole before its number is appended to the
-pointer table, so readers see the old version or the new one, and a failed
-write leaves nothing that is read.
+A version's directory is written whole before its pointer file is made, so readers
+see the old version or the new one, and a failed write leaves nothing that is
+read. A pointer file is made only if there is none: of two writers that began
+from the same version, one gets a ``Conflict``.
 """
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed meanwhile."""
+
+
 class Table:
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
-        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
+    """``unique``: the keys name one row, so of equal keys in an upsert the last wins; otherwise they name a group of rows that is replaced."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], unique: bool = False):
+        self.spark, self.path, self.schema, self.keys, self.unique = spark, path.rstrip("/"), schema, keys, unique
+
+    def _pointers(self):
+        """The folder of pointer files, and its file system."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions")
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> DataFrame | None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions")
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        return self.spark.read.schema("version LONG, directory STRING").parquet(f"{self.path}/_versions")
+    def _pointer(self, version: int):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions/{version:012d}")
 
     def current(self) -> tuple[int, str | None]:
-        rows = self._versions()
-        last = rows.orderBy(F.desc("version")).first() if rows is not None else None
-        return (last.version, last.directory) if last else (0, None)
+        folder, fs = self._pointers()
+        versions = [int(x.getPath().getName()) for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        if not versions:
+            return 0, None
+        stream = fs.open(self._pointer(max(versions)))
+        try:
+            return max(versions), self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def read(self) -> DataFrame:
-        _, directory = self.current()
+        return self._rows(self.current()[1])
+
+    def _rows(self, directory: str | None) -> DataFrame:
         empty = self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(empty.schema).parquet(f"{self.path}/{directory}") if directory else empty
 
-    def commit(self, rows: DataFrame) -> int:
-        version, _ = self.current()
-        directory = f"v{version + 1}-{int(time.time())}-{uuid.uuid4().hex[:8]}"
-        rows.select(*self.read().columns).write.parquet(f"{self.path}/{directory}")
-        self.spark.range(1).select(F.lit(version + 1).cast("long").alias("version"), F.lit(directory).alias("directory")).coalesce(1).write.mode("append").parquet(f"{self.path}/_versions")
-        return version + 1
+    def commit(self, rows: DataFrame, after: int | None = None) -> int:
+        """Write ``rows`` as the version that follows ``after`` (the current one)."""
+        version = (self.current()[0] if after is None else after) + 1
+        directory = f"v{version}-{uuid.uuid4().hex[:12]}"
+        rows.select(*self.spark.createDataFrame([], self.schema).columns).write.parquet(f"{self.path}/{directory}")
+        _, fs = self._pointers()
+        try:
+            stream = fs.create(self._pointer(version), False)
+        except Exception as error:
+            if fs.exists(self._pointer(version)):
+                raise Conflict(f"version {version} of {self.path} is there already") from error
+            raise
+        stream.write(bytearray(directory.encode()))
+        stream.close()
+        return version
 
     def upsert(self, rows: DataFrame, order: Column | None = None) -> int:
-        return self.commit(upserted(self.read(), rows, self.keys, order))
+        version, directory = self.current()
+        if self.unique or order is not None:
+            rows = last_of(rows, self.keys, order)
+        return self.commit(upserted(self._rows(directory), rows, self.keys), version)
 
     def delete(self, condition: Column) -> int:
-        return self.commit(self.read().where(~F.coalesce(condition, F.lit(False))))
+        version, directory = self.current()
+        return self.commit(self._rows(directory).where(~F.coalesce(condition, F.lit(False))), version)
+
+
+def last_of(rows: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """Of rows with equal keys the last, by ``order`` or else as they come."""
+    placed = rows.withColumn("_order", F.monotonically_increasing_id() if order is None else order)
+    last = Window.partitionBy(*keys).orderBy(F.desc("_order"))
+    return placed.withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_place", "_order")
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same keys; of equal keys in ``new``, the last by ``order``."""
+    """Rows of ``new`` replace those of ``old`` with the same keys; of equal keys in ``new``, the last by ``order`` if that is given."""
     if order is not None:
-        last = Window.partitionBy(*keys).orderBy(order.desc())
-        new = new.withColumn("_place", F.row_number().over(last)).where("_place = 1").drop("_place")
+        new = last_of(new, keys, order)
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 

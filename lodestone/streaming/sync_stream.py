@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestone.functions.ids import document_id
 from lodestone.operators.chunk import ChunkSize, chunked
 from lodestone.operators.parse import parsed
-from lodestone.sources.files import media_type
+from lodestone.sources.files import below, media_type
 from lodestone.sources.tables import Table
 
 CHUNKS = "document_id STRING, index INT, chunk_id STRING, text STRING, start INT, end INT, heading_path STRING, trust STRING, token_count INT"
@@ -21,20 +21,30 @@ def chunk_table(spark: SparkSession, path: str) -> Table:
     return Table(spark, path, CHUNKS, ["document_id"])
 
 
-def upsert_chunks(table: Table, size: ChunkSize) -> Callable[[DataFrame, int], None]:
-    """A micro-batch replaces all chunks of its documents; running it again gives the same table."""
+def quarantine_table(spark: SparkSession, path: str) -> Table:
+    return Table(spark, path, "document_id STRING, rule STRING, reason STRING", ["document_id"])
+
+
+def upsert_chunks(table: Table, size: ChunkSize, root: str, source_id: str = "files", quarantine: Table | None = None) -> Callable[[DataFrame, int], None]:
+    """A micro-batch replaces all chunks of its documents; running it again gives the same table.
+
+    Documents have the ids that a batch run gives them: of their paths below the root.
+    """
 
     def batch(files: DataFrame, _: int) -> None:
-        name = F.regexp_extract("path", "([^/]+)$", 1)
-        docs = files.select(document_id(F.lit("files"), name).alias("document_id"), media_type(F.col("path")).alias("media_type"), "content")
-        good, _bad = parsed(docs)
+        docs = files.select(document_id(F.lit(source_id), below(F.col("path"), root)).alias("document_id"), media_type(F.col("path")).alias("media_type"), "content")
+        good, bad = parsed(docs)
         table.upsert(chunked(good, size))
+        if quarantine is not None:
+            quarantine.commit(quarantine.read().join(docs.select("document_id"), "document_id", "left_anti").unionByName(bad.select("document_id", "rule", "reason")))
 
     return batch
 
 
-def sync_stream(spark: SparkSession, folder: str, table: Table, checkpoint: str, size: ChunkSize = ChunkSize()) -> StreamingQuery:
-    """Everything that is new in ``folder``, then stop; the checkpoint remembers what was seen."""
+def sync_stream(spark: SparkSession, folder: str, table: Table, checkpoint: str, size: ChunkSize = ChunkSize(), source_id: str = "files", quarantine: Table | None = None) -> StreamingQuery:
+    """Everything that is new in ``folder`` (whose last part may be a pattern), then stop; the checkpoint remembers what was seen."""
     schema = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
+    head, _, last = folder.rstrip("/").rpartition("/")
+    root = head if any(c in last for c in "*?[{") else folder
     files = spark.readStream.format("binaryFile").schema(schema).load(folder)
-    return files.writeStream.foreachBatch(upsert_chunks(table, size)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return files.writeStream.foreachBatch(upsert_chunks(table, size, root, source_id, quarantine)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
