@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.ids import WHITE_SPACE
+
 ACTIONS = ("allow", "flag", "redact", "block", "retry")
 REFUSAL = "I can't answer that."
 #: Phrasings common in published injection attempts.
@@ -22,19 +24,25 @@ INJECTION_PATTERNS = (
 CREDENTIAL = r"(sk-[A-Za-z0-9_-]{16,}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{30,}|xox[bp]-[A-Za-z0-9-]{10,})"
 #: Words that don't ground a claim.
 STOP_WORDS = "a an and are as at be by can do does for from has have how i in is it its of on or our that the their there this to was were what when where which who will with you".split()
+#: Where sentences end, and how passages are cited.
 SENTENCE_END = r"(?<=[.!?])\s+|\n+"
 CITATION = r"\[([^\[\]\n]{1,40})\]"
 CITATIONS_ALONE = r"^(\[[^\[\]\n]{1,40}\]\s*[.!?]?\s*)+$"
 
 
-def result(guard: str, failed: Column, action: str, reason: str, evidence: Column | None = None, replacement: Column | None = None) -> Column:
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
+
+
+def result(guard: str, failed: Column, action: str, reason: str | Column, evidence: Column | None = None, replacement: Column | None = None) -> Column:
     if action not in ACTIONS:
         raise ValueError(f"unknown action {action!r}")
     text = lambda c: F.when(failed, c) if c is not None else F.lit(None).cast("string")
     return F.struct(
         F.lit(guard).alias("guard"),
         F.when(failed, F.lit(action)).otherwise("allow").alias("action"),
-        F.when(failed, F.lit(reason)).alias("reason"),
+        F.when(failed, reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"),
         text(evidence).alias("evidence"),
         text(replacement if action == "redact" else None).alias("replacement"),
     )
@@ -54,8 +62,9 @@ def injection(text: Column, action: str = "flag", patterns: tuple[str, ...] = IN
 
 
 def input_shape(text: Column, action: str = "block", least: int = 1, most: int = 4000) -> Column:
-    size = F.length(F.trim(F.coalesce(text, F.lit(""))))
-    return result("input_shape", ~size.between(least, most), action, "too short or too long", size.cast("string"), F.substring(F.trim(text), 1, most))
+    bare = stripped(F.coalesce(text, F.lit("")))
+    size = F.length(bare)
+    return result("input_shape", ~size.between(least, most), action, F.when(size < least, "too_short").otherwise("too_long"), size.cast("string"), F.substring(bare, 1, most))
 
 
 def has_secret(text: Column) -> Column:
@@ -78,8 +87,27 @@ def is_json_object(text: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
 
 
-def schema_guard(text: Column, action: str = "block") -> Column:
-    return result("schema", ~is_json_object(text), action, "not a JSON object")
+def has_fields(text: Column, fields: dict[str, str]) -> Column:
+    """Whether a text is a JSON object with a value of the given SQL type for each field."""
+    value = F.try_parse_json(text)
+    out = is_json_object(text)
+    for name, kind in fields.items():
+        out = out & F.try_variant_get(value, f"$['{name}']", kind).isNotNull()
+    return F.coalesce(out, F.lit(False))
+
+
+def schema_guard(text: Column, action: str = "block", fields: dict[str, str] | None = None) -> Column:
+    """An answer must be a JSON object and, where fields are given, have them."""
+    fields = fields or {}
+    reason = F.when(F.try_parse_json(text).isNull(), "invalid_json").when(~is_json_object(text), "not_an_object").otherwise("schema_mismatch")
+    return result("schema", ~has_fields(text, fields), action, reason)
+
+
+def repaired(replies: Column, fields: dict[str, str]) -> Column:
+    """Of a model's replies in order (the first, and its repairs): the first that has the fields, and how many were needed; null if none has."""
+    tried = F.transform(replies, lambda r, n: F.struct(r.alias("text"), (n + 1).alias("attempts"), has_fields(r, fields).alias("ok")))
+    good = F.get(F.filter(tried, lambda t: t["ok"]), F.lit(0))
+    return F.when(good.isNotNull(), F.struct(good["text"].alias("text"), good["attempts"].alias("attempts")))
 
 
 def words(text: Column) -> Column:
@@ -88,7 +116,7 @@ def words(text: Column) -> Column:
 
 def claims(text: Column, least_words: int = 4) -> Column:
     """The sentences of an answer with enough words; citations after a full stop go to the sentence before."""
-    parts = F.filter(F.transform(F.split(text, SENTENCE_END), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, SENTENCE_END), stripped), lambda p: p != "")
 
     def add(done: Column, part: Column) -> Column:
         last = F.element_at(done, -1)
@@ -125,6 +153,45 @@ def groundedness_guard(answer: Column, passages: Column, action: str = "flag", l
     return result("groundedness", share < least, action, "too few claims are supported", share.cast("string"), kept)
 
 
+def degradations(results: list[Column]) -> Column:
+    """guard_<action>:<guard>:<reason> of each result that did something, up to the first that blocks."""
+    note = lambda r: F.when(r["action"] != "allow", F.concat_ws(":", F.concat(F.lit("guard_"), r["action"]), r["guard"], r["reason"]))
+    out, open_ = [], F.lit(True)
+    for r in results:
+        out.append(F.when(open_, note(r)))
+        open_ = open_ & ~r["action"].isin("block", "retry")
+    return F.array_compact(F.array(*out))
+
+
+def guarded(answer: Column, citations: Column, results: list[Column]) -> Column:
+    """(text, blocked, citations, degradations): a refusal has no citations."""
+    blocked = F.lit(False)
+    for r in results:
+        blocked = blocked | r["action"].isin("block", "retry")
+    none = F.slice(citations, 1, 0)
+    return F.struct(applied(answer, results).alias("text"), blocked.alias("blocked"), F.when(blocked, none).otherwise(citations).alias("citations"), degradations(results).alias("degradations"))
+
+
+def admitted(query: Column, results: list[Column]) -> Column:
+    """An input after its guards: redactions replace it, a block is an error; retry does not hold it up."""
+    out = query
+    for r in results:
+        out = F.when(r["action"] == "block", F.raise_error(F.concat(F.lit("blocked by "), r["guard"], F.lit(": "), r["reason"]))).when(r["action"] == "redact", r["replacement"]).otherwise(out)
+    return out
+
+
+def regenerated(first: Column, second: Column, checks) -> Column:
+    """The reply that counts, of a first one and of one that was asked for after it: the second if any check of the first says retry.
+
+    ``checks`` makes the results of a reply; what is returned is to be guarded by
+    them again, where retry blocks.
+    """
+    again = F.lit(False)
+    for r in checks(first):
+        again = again | (r["action"] == "retry")
+    return F.when(again, second).otherwise(first)
+
+
 def applied(answer: Column, results: list[Column]) -> Column:
     """The answer after its guards, in order: the first block or retry gives the refusal, redactions replace the text."""
     out = answer

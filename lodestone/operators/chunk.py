@@ -63,7 +63,7 @@ def chunks_of(blocks: list[dict], size: ChunkSize) -> list[dict]:
         heading = block["kind"] == "heading"
         if heading:
             trail = [*trail[: int(block["level"]) - 1], block["text"]]
-        for text in pieces_of(block, size.target):
+        for text in [block["text"]] if heading else pieces_of(block, size.target):
             piece = (text, estimate(text), block["start"], block["end"], tuple(trail))
             if not groups or heading:
                 groups.append([])

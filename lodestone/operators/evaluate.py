@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.ids import NAMESPACE, document_id
+
 #: Metrics of which less is better, and those that no baseline is held against.
 LOWER_IS_BETTER = ("error_rate", "abstention_rate", "degradation_rate", "latency_p50_ms", "latency_p95_ms", "total_cost_usd", "mean_cost_usd")
 NOT_COMPARED = ("latency_p50_ms", "latency_p95_ms", "total_cost_usd", "mean_cost_usd")
@@ -98,6 +100,24 @@ def regressions(metrics: DataFrame, baseline: DataFrame, tolerance: float = 0.02
     return rows.where(worse > tolerance).select("metric", "baseline", "value", change.alias("change"))
 
 
+def resolved_documents(expected: Column, namespace: str = NAMESPACE) -> Column:
+    """Expected documents as ids, each once: ``source:path`` is resolved, a ``doc_`` id or a plain name is as it is."""
+    own = lambda v: v.startswith("doc_") | ~v.contains(":")
+    return F.array_distinct(F.transform(expected, lambda v: F.when(own(v), v).otherwise(document_id(F.substring_index(v, ":", 1), F.regexp_replace(v, "^[^:]*:", ""), namespace))))
+
+
+def judge_means(scores: DataFrame, judge_metrics: tuple[str, ...] = ("faithfulness", "answer_relevance")) -> DataFrame:
+    """(metric, value) of the judged metrics that any case has a score for."""
+    return scores.where(F.col("metric").isin(*judge_metrics)).groupBy("metric").agg(F.avg("score").alias("value"))
+
+
+def case_regressions(cases: DataFrame, baseline: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """(query_id, metric, baseline, value) of the single cases that are worse than their baseline by more than the tolerance."""
+    rows = cases.join(baseline, ["query_id", "metric"])
+    change = F.col("value") - F.col("baseline")
+    return rows.where(F.when(lower_is_better(F.col("metric")), change).otherwise(-change) > tolerance).select("query_id", "metric", "baseline", "value")
+
+
 def gate(metrics: DataFrame, thresholds: DataFrame, baseline: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """One row: passed, and how many thresholds and aggregates failed. Regressions of single cases don't count."""
     failed, worse = threshold_failures(metrics, thresholds), regressions(metrics, baseline, tolerance)

@@ -7,8 +7,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: How templates name variables and roles.
 VARIABLE = re.compile(r"\{\{\s*([A-Za-z_]\w*)\s*\}\}")
-ROLE = re.compile(r"^---\s*(system|user|assistant)\s*---\s*$", re.M)
+ROLE = re.compile(r"^---\s*(system|user|assistant)\s*---\s*$", re.M | re.I)
 ABSTENTION = "I could not find an answer in the sources."
 
 
@@ -16,7 +17,7 @@ def sections(template: str) -> list[tuple[str, str]]:
     """(role, text) of a prompt template; text before any role is the user's; empty sections go."""
     parts = ROLE.split(template)
     pairs = [("user", parts[0]), *zip(parts[1::2], parts[2::2])]
-    return [(role, text.strip()) for role, text in pairs if text.strip()]
+    return [(role.lower(), text.strip()) for role, text in pairs if text.strip()]
 
 
 def rendered(template: str, values: dict[str, Column]) -> Column:
@@ -37,7 +38,13 @@ def extractive(passage: Column, key: Column, question: Column) -> Column:
 
 def answered(context_items: Column, passage: Column, key: Column, question: Column, policy: str = "abstain") -> Column:
     """The answer, or what the policy says for a question without passages."""
-    if policy not in ("abstain", "answer_without_context", "raise"):
+    if policy not in ("abstain", "escalate", "answer_without_context", "raise"):
         raise ValueError(f"unknown policy {policy!r}")
-    without = {"abstain": F.lit(ABSTENTION), "answer_without_context": extractive(F.lit(None).cast("string"), key, question), "raise": F.raise_error(F.lit("no context"))}[policy]
+    without = {"abstain": F.lit(ABSTENTION), "escalate": F.lit(ABSTENTION), "answer_without_context": extractive(F.lit(None).cast("string"), key, question), "raise": F.raise_error(F.lit("no context"))}[policy]
     return F.when(context_items > 0, extractive(passage, key, question)).otherwise(without)
+
+
+def fate(context_items: Column, policy: str = "abstain") -> Column:
+    """Why a question without passages was not answered: abstained, or escalated to whom the caller names; null for others."""
+    reason = {"abstain": "abstained", "escalate": "escalated"}.get(policy)
+    return F.when(F.coalesce(context_items, F.lit(0)) == 0, F.lit(reason).cast("string"))

@@ -40,7 +40,7 @@ def paragraphs(text: Column) -> Column:
     return F.aggregate(F.zip_with(pieces, gaps, lambda p, g: F.struct(p.alias("piece"), g.alias("gap"))), start, add, lambda acc: acc["blocks"])
 
 
-MARK = re.compile(r"(?P<fence>[ ]{0,3}(?:```|~~~))|(?P<level>\#{1,6})[ \t]+(?P<title>.*?)[ \t]*\#*[ \t]*$|(?P<under>[ ]{0,3}(?:=+|-+)[ \t]*$)|(?P<blank>\s*$)")
+MARK = re.compile(r"(?P<fence>\s*(?:```|~~~))|(?P<level>\#{1,6})[ \t]+(?P<title>.*?)[ \t]*\#*[ \t]*$|(?P<under>(?:=+|-+)[ \t]*$)|(?P<blank>\s*$)")
 ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)])\s+")
 
 

@@ -155,6 +155,22 @@ def test_guards(spark):
     assert flags == [True, False, False, True, False]
 
 
+def test_guards_in_full(spark):
+    df = spark.createDataFrame([("\n\t\u3000\n",), ('{"a": 1, "b": "x"}',), ("[1]",), ("no",)], "t string")
+    t = F.col("t")
+    shape, schema = guards.input_shape(t), guards.schema_guard(t, "retry", {"a": "int", "b": "string"})
+    got = df.select(shape.alias("s"), schema.alias("j"), guards.guarded(t, F.array(F.lit("1")), [shape, schema]).alias("g"), guards.regenerated(t, F.lit("again"), lambda x: [guards.schema_guard(x, "retry")]).alias("r")).collect()
+    assert [x.s.reason for x in got] == ["too_short", None, None, None]
+    assert [x.j.reason for x in got] == ["invalid_json", None, "not_an_object", "invalid_json"]
+    assert [x.g.blocked for x in got] == [True, False, True, True] and got[1].g.citations == ["1"] and got[2].g.citations == []
+    assert got[0].g.degradations == ["guard_block:input_shape:too_short"] and got[2].g.degradations == ["guard_retry:schema:not_an_object"]
+    assert [x.r for x in got][1:] == ['{"a": 1, "b": "x"}', "again", "again"]
+    fixed = spark.range(1).select(guards.repaired(F.array(F.lit("no"), F.lit('{"a": 2}')), {"a": "int"}).alias("x"), guards.repaired(F.array(F.lit("no")), {"a": "int"}).alias("y")).first()
+    assert (fixed.x.text, fixed.x.attempts, fixed.y) == ('{"a": 2}', 2, None)
+    with pytest.raises(Exception, match="blocked by input_shape"):
+        df.limit(1).select(guards.admitted(t, [shape])).collect()
+
+
 def test_claims_and_groundedness(spark):
     answer = "Keys rotate every ninety days in production. [1]\nNobody knows about unicorns here at all [1]. Short one. The refund takes five business days [2]."
     df = spark.createDataFrame([(answer,)], "t string")

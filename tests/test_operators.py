@@ -73,7 +73,8 @@ def test_chunks():
         seen = [w for c in got for w in c["body"].split()]
         it = iter(seen)
         assert all(w in it for w in words)  # nothing is lost, order is kept
-        assert all(estimate(c["body"]) <= size.target + size.overlap + size.least + 8 for c in got)
+        whole = max((estimate(b["text"]) for b in blocks if b["kind"] == "heading"), default=0)  # a heading is never cut
+        assert all(estimate(c["body"]) <= size.target + size.overlap + size.least + 8 + whole for c in got)
     got = chunk.chunks_of([block("A", "heading", 1), block("x" * 40), block("B", "heading", 2), block("y" * 40), block("C", "heading", 1), block("z")], chunk.ChunkSize(50, 5, 0))
     assert [c["trail"] for c in got] == [["A"], ["A", "B"], ["C"]]
     code = chunk.pieces_of(block("\n".join("c" * 30 for _ in range(5)), "code"), 20)
@@ -197,6 +198,71 @@ def test_packing(spark):
     assert [x.citation_key for x in context.cited(context.ordered(kept), "source").orderBy("id").collect()] == ["d#0", "d#0"]
 
 
+def test_a_repeated_id_is_packed_once_for_each_hit(spark):
+    hits = [("q", "a", 0.9, "one"), ("q", "a", 0.8, "two"), ("q", "a", 0.8, "one"), ("q", "b", 0.1, "y" * 400)]
+    df = spark.createDataFrame(hits, "query_id string, id string, score double, text string").withColumn("source", F.lit(None).cast("string"))
+    got = sorted((x.text[:3], x.dropped or "") for x in context.packed(df, 20).collect())
+    assert got == [("one", ""), ("one", "duplicate"), ("two", ""), ("yyy", "token_budget")]
+
+
+def test_upserts_and_conflicts(spark, tmp_path):
+    t = tables.Table(spark, str(tmp_path / "t"), "id INT, v STRING", ["id"], unique=True)
+    rows = lambda *r: spark.createDataFrame(list(r), "id int, v string").coalesce(1)
+    t.upsert(rows((1, "a"), (1, "b"), (2, "c")))
+    t.upsert(rows((1, "d"), (3, "e"), (1, "f")))
+    assert sorted(map(tuple, t.read().collect())) == [(1, "f"), (2, "c"), (3, "e")]
+    with pytest.raises(tables.Conflict):
+        t.commit(rows((9, "z")), after=1)
+    assert t.current()[0] == 2 and t.read().count() == 3
+    t.delete(F.col("id") == 2)
+    assert t.read().count() == 2
+
+
+def test_only_changed_files_are_read(spark, tmp_path):
+    for n in range(4):
+        (tmp_path / f"f [{n}].md").write_text(f"text {n}")
+    entries = files.listing(spark, str(tmp_path))
+    one = entries.where("id = 'f [2].md'")
+    got = files.fetched(spark, str(tmp_path), one)
+    assert [bytes(x.content) for x in got.collect()] == [b"text 2"]
+    assert sum("%5B" in f or "[" in f for f in got.select("content").inputFiles()) <= 1 + 4  # the listing's four, and one
+    none = files.fetched(spark, str(tmp_path), entries.where("id = ''"))
+    assert none.count() == 0
+    gone = spark.createDataFrame(one.collect(), one.schema)
+    (tmp_path / "f [2].md").unlink()
+    assert [x.content for x in files.fetched(spark, str(tmp_path), gone).collect()] == [None]
+    assert files.fetched(spark, str(tmp_path), files.listing(spark, str(tmp_path)), most_listed=1).count() == 3
+
+
+def test_stream_ids_and_quarantine(spark, tmp_path):
+    from lodestone.functions.ids import document_id
+    from lodestone.streaming.sync_stream import quarantine_table
+
+    root = tmp_path / "docs"
+    for folder in ("a", "b"):
+        (root / folder).mkdir(parents=True)
+        (root / folder / "x.md").write_text(f"# T\n\nText of {folder}.")
+    (root / "a" / "empty.md").write_text(" ")
+    table, bad = chunk_table(spark, str(tmp_path / "chunks")), quarantine_table(spark, str(tmp_path / "bad"))
+    for folder in ("a", "b"):
+        sync_stream(spark, str(root / folder), table, str(tmp_path / f"cp{folder}"), source_id=folder, quarantine=bad).awaitTermination()
+    want = {r[0] for r in spark.createDataFrame([("a", "x.md"), ("b", "x.md")], "s string, p string").select(document_id(F.col("s"), F.col("p"))).collect()}
+    assert {x.document_id for x in table.read().collect()} == want and [x.rule for x in bad.read().collect()] == ["parse"]
+
+
+def test_headings_fences_and_roles():
+    assert len(chunk.chunks_of([block("h " * 60, "heading", 1)], chunk.ChunkSize(20, 0, 0))) == 1
+    assert [b[0] for b in parse.markdown("- a\n        ```\n# no\n        ```\nx")] == ["list", "code", "paragraph"]
+    assert generate.sections("--- SYSTEM ---\nS") == [("system", "S")]
+
+
+def test_cases_and_caches(spark):
+    e = spark.createDataFrame([(["s:a/b.md", "doc_1", "plain", "plain"],)], "e array<string>").select(evaluate.resolved_documents(F.col("e")).alias("e")).first().e
+    assert len(e) == 3 and e[0].startswith("doc_") and e[1:] == ["doc_1", "plain"]
+    row = spark.range(1).select(*[retrieve.usable_ranking(F.array(F.lit(1), F.lit(2)), k, F.lit(n)).alias(f"c{k}{n}") for k, n in ((2, 9), (3, 9), (3, 2))], generate.fate(F.lit(0), "escalate").alias("f"), generate.fate(F.lit(2), "escalate").alias("g")).first()
+    assert tuple(row) == (True, False, True, "escalated", None)
+
+
 def test_metrics_by_hand(spark):
     rank = [("q", "a", 0, True), ("q", "b", 1, True), ("q", "c", 2, False), ("e", "z", 0, True)]
     ranking = spark.createDataFrame(rank, "query_id string, item_id string, rank int, included boolean")
