@@ -633,7 +633,7 @@ def chunk_words(spark, sf_dir):
     return parts.select(F.col("document_id").alias("doc_id"), words.alias("w")).select("doc_id", F.size("w").cast("bigint").alias("n_words"), F.sha2(F.array_join("w", " ").cast("binary"), 256).alias("words_sha256"))
 
 
-@query(r"""SELECT doc_id, 'heading' AS kind, trim(string_split(text, chr(10))[1]) AS text, 2 AS level FROM documents WHERE regexp_matches(text, '[a-zA-Z]') AND trim(string_split(text, chr(10))[1]) <> ''
+@query(r"""SELECT doc_id, 'heading' AS kind, trim(regexp_replace(trim(string_split(text, chr(10))[1]), '#+$', '')) AS text, 2 AS level FROM documents WHERE regexp_matches(text, '[a-zA-Z]') AND trim(string_split(text, chr(10))[1]) <> ''
 UNION ALL SELECT doc_id, 'code', '```' || chr(10) || 'x = 1' || chr(10) || '```', NULL FROM documents WHERE regexp_matches(text, '[a-zA-Z]') AND trim(string_split(text, chr(10))[1]) <> ''""")
 def markdown_rows(spark, sf_dir):
     """Headings and code of documents written as markdown: their first line under an ATX mark, and a fence."""
