@@ -1,11 +1,16 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The words of all test items are put into one automaton (a block of items where
-the benchmark is large), which is broadcast: its size is bound by
-``block_words`` words. Every document's words are streamed through it, and the
-longest match that ends at each word is tracked; words of matches as long as a
-window are hit. Stretches of words whose neighbours never stand together in
-the benchmark cannot hold a window and are passed over.
+The words of all test items are put into an automaton, which is broadcast: its
+size is bound by ``block_words`` words, or one longer item. Every document's
+words are streamed through it, and the longest match that ends at each word is
+tracked; words of matches as long as a window are hit. Stretches of words whose
+neighbours never stand together in the benchmark cannot hold a window and are
+passed over.
+
+A benchmark of more words is cut into blocks of items, each with an automaton
+and a pass over the documents of its own, so that a worker holds one block and
+the driver builds one at a time. What a pass finds is a row for each text with
+hits, joined to the documents by the text's hash.
 
 Defined results: a null or empty text has no words, is clean and stays as it
 is; items without words have no windows; equal items are all named; an empty
@@ -17,16 +22,18 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.arrowtext import ALNUM, Words, pieces, text_buffers, words_of
+from lodestone.llm.shared import unused, written
 from lodestone.llm.suffix_automaton import ItemIndex
 
 #: Fixed value of the query's contract.
@@ -36,7 +43,7 @@ WINDOW = 10
 def item_indexes(benchmark: DataFrame, window: int, block_words: int) -> list[Broadcast]:
     """An index for each block of items of about ``block_words`` words (or of one longer item)."""
     sc = benchmark.sparkSession.sparkContext
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     # a text of n bytes has at most n / 2 + 1 words
     words = rows.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
     blocks = math.ceil(words / block_words)
@@ -75,10 +82,10 @@ def scan(words: Words, index: ItemIndex, hit: np.ndarray, found: dict[int, set])
                 found.setdefault(text_of(a), set()).update(items)
 
 
-def hits(texts: pa.Array, indexes: list[Broadcast]) -> tuple[Words, np.ndarray, dict[int, set]]:
+def hits(texts: pa.Array, index: Broadcast | None) -> tuple[Words, np.ndarray, dict[int, set]]:
     words = words_of(texts, ALNUM)
     hit, found = np.zeros(len(words), bool), {}
-    for index in indexes:
+    if index is not None:
         scan(words, index.value, hit, found)
     return words, hit, found
 
@@ -88,32 +95,90 @@ def per_text(words: Words, hit: np.ndarray) -> np.ndarray:
     return total[words.texts[1:]] - total[words.texts[:-1]]
 
 
-def without_hits(text: str, indexes: list[Broadcast]) -> str:
+def runs(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Begins and ends of the hit stretches."""
+    change = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    return list(zip(change[::2].tolist(), change[1::2].tolist()))
+
+
+def without_words(text: pa.Array, words: Words, hit: np.ndarray) -> str:
+    """The only text of an array without the bytes from the first to the last word of each hit stretch."""
+    raw = bytes(text_buffers(text)[1])
+    left, at = [], 0
+    for a, b in runs(hit):
+        left.append(raw[at : words.starts[a]])
+        at = int(words.ends[b - 1])
+    return b"".join([*left, raw[at:]]).decode()
+
+
+def without_hits(text: str, index: Broadcast | None) -> str:
     """The text without its hit spans; cut again as long as what is left makes a window."""
     while True:
         batch = pa.array([text], pa.string())
-        words, hit, _ = hits(batch, indexes)
+        words, hit, _ = hits(batch, index)
         if not hit.any():
             return text
-        raw = bytes(text_buffers(batch)[1])
-        change = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-        left, at = [], 0
-        for a, b in zip(change[::2].tolist(), change[1::2].tolist()):
-            left.append(raw[at : words.starts[a]])
-            at = int(words.ends[b - 1])
-        text = b"".join([*left, raw[at:]]).decode()
+        text = without_words(batch, words, hit)
 
 
 REPORT = T.StructType([T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()))])
+#: A hit text, by the MD5 of its bytes: the stretches of its words, and the items, that one block finds.
+FOUND = "text_key string, spans array<struct<begin: int, end: int>>, items array<string>"
+
+
+def text_key(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
+
+
+def found_by_blocks(texts: DataFrame, indexes: list[Broadcast]) -> DataFrame:
+    """FOUND for each distinct text of the only column that any block hits; one pass for each block.
+
+    Copies of a text give equal rows, of which one stays before anything is shuffled.
+    """
+
+    def one_pass(index: Broadcast) -> DataFrame:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = pa.schema([("text_key", pa.string()), ("spans", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
+            for batch in pieces(batches, 0):
+                words, hit, found = hits(batch.column(0), index)
+                rows = []
+                for i, items in found.items():
+                    text = batch.column(0)[i].as_py().encode()
+                    spans = [{"begin": a, "end": b} for a, b in runs(hit[words.texts[i] : words.texts[i + 1]])]
+                    rows.append({"text_key": hashlib.md5(text, usedforsecurity=False).hexdigest(), "spans": spans, "items": sorted(items)})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, kinds)
+
+        return texts.mapInArrow(find, FOUND).groupBy("text_key").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+
+    every = reduce(DataFrame.unionByName, map(one_pass, indexes))
+    merged = every.groupBy("text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return merged
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 400_000) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
     indexes = item_indexes(benchmark, window, block_words)
+    plain = documents.select("doc_id", "text")
+    if len(indexes) > 1:
+        found = written(found_by_blocks(plain.select("text"), indexes), "contamination")
+        n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+        each = plain.select("doc_id", n_words.cast("long").alias("n_words"), text_key(F.col("text")).alias("text_key")).join(found, "text_key", "left")
+        places = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["begin"], s["end"] - 1))))
+        items = F.coalesce("items", F.array().cast("array<string>"))
+        return each.select(
+            "doc_id",
+            "n_words",
+            F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_hit"),
+            F.size(items).cast("long").alias("n_items"),
+            F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+            F.col("spans").isNotNull().alias("contaminated"),
+        )
+    index = indexes[0] if indexes else None
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            words, hit, found = hits(batch.column(1), indexes)
+            words, hit, found = hits(batch.column(1), index)
             n_hit = per_text(words, hit)
             items = [sorted(found.get(i, ())) for i in range(batch.num_rows)]
             nothing = hashlib.sha256(b"").hexdigest()
@@ -123,24 +188,63 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                 ["doc_id", *REPORT.names],
             )
 
-    plain = documents.select("doc_id", "text")
     return plain.mapInArrow(report, T.StructType([plain.schema[0], *REPORT.fields]))
 
 
+def decontaminate_by_blocks(documents: DataFrame, indexes: list[Broadcast], max_coverage: float) -> DataFrame:
+    """``decontaminate`` for a benchmark of several blocks: what was cut is searched again, until nothing is hit."""
+    at, columns = documents.columns.index("text"), documents.columns
+    key, spans, items, again = unused(documents, "text_key", "spans", "items", "again")
+    schema = T.StructType([*documents.schema.fields, T.StructField(again, T.BooleanType())])
+    rows, done, most = documents, [], max_coverage
+    while True:
+        found = found_by_blocks(rows.select("text"), indexes).toDF(key, spans, items).drop(items)
+        joined = rows.withColumn(key, text_key(F.col("text"))).join(found, key, "left").select(*columns, spans)
+
+        def cut(batches: Iterator[pa.RecordBatch], most=most) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, at):
+                texts, kept, hit_rows = batch.column(at).to_pylist(), [], []
+                for i, own in enumerate(batch.column(len(columns)).to_pylist()):
+                    hit_rows.append(bool(own))
+                    if not own:
+                        kept.append(True)
+                        continue
+                    text = pa.array([texts[i]], pa.string())
+                    words = words_of(text, ALNUM)
+                    hit = np.zeros(len(words), bool)
+                    for span in own:
+                        hit[span["begin"] : span["end"]] = True
+                    kept.append(bool(hit.sum() <= most * len(words)))
+                    texts[i] = without_words(text, words, hit)
+                out = [*batch.columns[: len(columns)], pa.array(hit_rows, pa.bool_())]
+                if any(hit_rows):
+                    out[at] = pa.array(texts, out[at].type)
+                yield pa.RecordBatch.from_arrays(out, [*columns, again]).filter(pa.array(kept, pa.bool_()))
+
+        step = written(joined.mapInArrow(cut, schema), "decontaminated")
+        done.append(step.where(~F.col(again)).drop(again))
+        rows, most = step.where(again).drop(again), 1.0
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.8, block_words: int = 400_000) -> DataFrame:
     """``documents`` with hit spans cut from ``text``; rows of which more than ``max_coverage`` of the words are hit go."""
     indexes = item_indexes(benchmark, window, block_words)
+    if len(indexes) > 1:
+        return decontaminate_by_blocks(documents, indexes, max_coverage)
     at = documents.columns.index("text")
+    index = indexes[0] if indexes else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, at):
-            words, hit, _ = hits(batch.column(at), indexes)
+            words, hit, _ = hits(batch.column(at), index)
             n_hit, n_words = per_text(words, hit), np.diff(words.texts)
             columns = batch.columns
             if n_hit.any():
                 texts = columns[at].to_pylist()
                 for i in np.flatnonzero((n_hit > 0) & (n_hit <= max_coverage * n_words)).tolist():
-                    texts[i] = without_hits(texts[i], indexes)
+                    texts[i] = without_hits(texts[i], index)
                 columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(n_hit <= max_coverage * n_words))
 
