@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,20 +18,28 @@ from pyspark.sql import functions as F
 NAMESPACE = "lodestone"
 #: The white space that normalisation collapses (Java's \s is ASCII only).
 WHITE_SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+#: The characters of that class.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(WHITE_SPACE, c))
+#: A run of white space other than a single space, which needs no replacing.
+UNEVEN_SPACE = f" {WHITE_SPACE}+|[{WHITE_SPACE}&&[^ ]]{WHITE_SPACE}*"
 
 
 def compatible(texts: pd.Series) -> pd.Series:
-    return texts.str.normalize("NFKC")
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
 
 
 def nfkc(text: Column) -> Column:
-    """Spark has no compatibility normalisation, so this is a vectorised function of Python."""
-    return F.pandas_udf(compatible, "string")(text)
+    """Spark has no compatibility normalisation, so this is a vectorised function of Python. ASCII is not sent to it."""
+    return F.coalesce(F.when(is_ascii(text), text), F.pandas_udf(compatible, "string")(F.when(~is_ascii(text), text)))
 
 
 def collapse(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, f"{WHITE_SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, UNEVEN_SPACE, " "))
 
 
 def normalise_text(text: Column, compatibility: bool = True) -> Column:

@@ -14,4 +14,8 @@ def estimate_tokens(text: Column) -> Column:
 
 def estimate(text: str) -> int:
     """The same for kernels."""
-    return math.ceil(len(text) / 4)
+    return estimate_length(len(text))
+
+
+def estimate_length(characters: int) -> int:
+    return math.ceil(characters / 4)

@@ -10,12 +10,14 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.ids import NAMESPACE, chunk_id
-from lodestone.functions.tokens import estimate, estimate_tokens
+from lodestone.functions.tokens import estimate, estimate_length, estimate_tokens
 
 TRAIL = " > "
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -34,13 +36,16 @@ class ChunkSize:
 
 def packed(units: list[str], glue: str, most: int) -> list[str]:
     """Units joined in order, each result of at most ``most`` tokens or a single unit."""
-    out: list[str] = []
+    runs: list[list[str]] = []
+    length = 0
     for unit in units:
-        if out and estimate(longer := f"{out[-1]}{glue}{unit}") <= most:
-            out[-1] = longer
+        length += len(glue) + len(unit)
+        if runs and estimate_length(length) <= most:
+            runs[-1].append(unit)
         else:
-            out.append(unit)
-    return out
+            runs.append([unit])
+            length = len(unit)
+    return [glue.join(run) for run in runs]
 
 
 def pieces_of(block: dict, most: int) -> list[str]:
@@ -94,18 +99,20 @@ def chunks_of(blocks: list[dict], size: ChunkSize) -> list[dict]:
 def chunked(docs: DataFrame, size: ChunkSize = ChunkSize(), heading_path: bool = True, compatibility: bool = True, namespace: str = NAMESPACE) -> DataFrame:
     """(document_id, blocks, ...) -> one row for each chunk: document_id, index, chunk_id, text, start, end, heading_path, trust, token_count."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for begin in range(0, len(frame), 200):
-                rows = [
-                    {"document_id": d, "index": n, **c}
-                    for d, blocks in frame.iloc[begin : begin + 200].itertuples(index=False)
-                    for n, c in enumerate(chunks_of(list(blocks) if blocks is not None else [], size))
-                ]
-                yield pd.DataFrame(rows, columns=["document_id", "index", "body", "start", "end", "trail"])
-
-    kind = docs.schema["document_id"].dataType.simpleString()
-    rows = docs.select("document_id", "blocks").mapInPandas(run, f"document_id {kind}, index int, body string, start int, end int, trail array<string>")
+    kind = docs.schema["document_id"].dataType
+    columns = pa.schema([("index", pa.int32()), ("body", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("trail", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 200):
+                part = batch.slice(begin, 200)
+                found = [(at, {"index": n, **c}) for at, blocks in enumerate(part.column(1).to_pylist()) for n, c in enumerate(chunks_of(blocks or [], size))]
+                names = part.column(0).take(pa.array([at for at, _ in found], pa.int32()))
+                chunks = pa.RecordBatch.from_pylist([c for _, c in found], columns)
+                yield pa.RecordBatch.from_arrays([names.cast(to_arrow_type(kind)), *chunks.columns], ["document_id", *columns.names])
+
+    types = T.StructType([T.StructField("document_id", kind), *T.StructType.fromDDL("index int, body string, start int, end int, trail array<string>").fields])
+    rows = docs.select("document_id", "blocks").mapInArrow(run, types)
     own = F.when(F.size("trail") > 0, F.expr("startswith(body, element_at(trail, -1))")).otherwise(False)
     prefix = F.array_join(F.when(own, F.slice("trail", 1, F.greatest(F.size("trail") - 1, F.lit(0)))).otherwise(F.col("trail")), TRAIL)
     text = F.when((prefix != "") & ~F.col("body").startswith(prefix), F.concat_ws("\n\n", prefix, F.col("body"))).otherwise(F.col("body")) if heading_path else F.col("body")

@@ -33,7 +33,7 @@ def paragraphs(text: Column) -> Column:
 
     def add(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(x["piece"])
-        body = F.regexp_replace(x["piece"], r"^\s+|\s+$", "")
+        body = F.btrim(x["piece"], F.lit(" \t\n\x0b\f\r"))
         block = F.struct(F.lit("paragraph").alias("kind"), body.alias("text"), F.lit(None).cast("int").alias("level"), acc["at"].alias("start"), end.alias("end"))
         return F.struct((end + F.coalesce(F.length(x["gap"]), F.lit(0))).alias("at"), F.when(body == "", acc["blocks"]).otherwise(F.concat(acc["blocks"], F.array(block))).alias("blocks"))
 

@@ -39,17 +39,24 @@ def scores_of(metric: str, records: np.ndarray, queries: np.ndarray) -> np.ndarr
     raise ValueError(f"unknown metric {metric!r}")
 
 
+def first_k(scores: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, pa.Array]:
+    """The k best, in order; ties by id."""
+    place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+    order = np.lexsort((place, -scores))[:k]
+    return scores[order], ids.take(pa.array(order))
+
+
 def batch_top_k(records: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", min_score: float | None = None, block: int = 1024) -> DataFrame:
     """(query_id, id, score, rank): the nearest records (id, vector) of every query (query_id, vector).
 
-    Queries are broadcast in blocks of at most ``block``. Each task multiplies
-    its records with a block and keeps k rows for each query, so what is
-    shuffled is k rows for each query and task, not a row for each pair.
+    Queries are broadcast in blocks of about ``block``. Each task multiplies
+    its records with a block, batch by batch, and keeps the best k of each query
+    so far, so what is shuffled is k rows for each query and task.
     """
     spark = records.sparkSession
     total = queries.count()
     parts = None
-    kind = to_arrow_type(queries.schema["query_id"].dataType)
+    kind, plain_id = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(records.schema["id"].dataType)
     types = T.StructType([queries.schema["query_id"], records.schema["id"], T.StructField("score", T.DoubleType())])
     plain = records.select("id", F.col("vector").cast("array<double>").alias("vector"))
     for n in range(-(-total // block)):
@@ -62,21 +69,26 @@ def batch_top_k(records: DataFrame, queries: DataFrame, k: int = 10, metric: str
 
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
+            best: list[tuple[np.ndarray, pa.Array]] = [(np.zeros(0), pa.array([], plain_id))] * len(names)
             for batch in batches:
-                vectors = batch.column(1)
+                vectors, ids = batch.column(1), batch.column(0)
                 flat = vectors.flatten().to_numpy(zero_copy_only=False)
                 if len(flat) != len(vectors) * matrix.shape[1]:
                     raise ValueError("vectors have different widths")
                 scores = scores_of(metric, flat.reshape(len(vectors), -1), matrix)
-                ids = batch.column(0)
-                place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-                for q, name in enumerate(names):
+                for q in range(len(names)):
                     s = scores[:, q]
-                    own = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
-                    own = own[np.lexsort((place[own], -s[own]))][:k]
-                    if min_score is not None:
-                        own = own[s[own] >= min_score]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), kind), ids.take(pa.array(own)), pa.array(s[own])], ["query_id", "id", "score"])
+                    least = -np.inf if min_score is None else min_score
+                    if len(best[q][0]) == k:
+                        least = max(least, best[q][0][-1])
+                    if len(s) > k:
+                        least = max(least, np.partition(s, len(s) - k)[len(s) - k])
+                    own = np.flatnonzero(s >= least)
+                    if len(own):
+                        best[q] = first_k(np.concatenate([best[q][0], s[own]]), pa.concat_arrays([best[q][1], ids.take(pa.array(own))]), k)
+            for name, (s, ids) in zip(names, best):
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(s), kind), ids, pa.array(s)], ["query_id", "id", "score"])
 
         found = plain.mapInArrow(nearest, types)
         parts = found if parts is None else parts.unionByName(found)

@@ -7,10 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.ids import WHITE_SPACE, text_hash
+from lodestone.functions.ids import SPACES, WHITE_SPACE, collapse, is_ascii, text_hash
 from lodestone.functions.tokens import estimate_tokens
 
 
+#: ASCII characters that are neither letters nor digits.
+MARKS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+
+
 @dataclass(frozen=True)
 class Limits:
     most_tokens: int = 8192
@@ -20,18 +24,18 @@ class Limits:
 
 def rule_of(text: Column, tokens: Column, limits: Limits = Limits()) -> Column:
     """The first failing rule of a row: empty, too_long, too_short, boilerplate; null if none fails."""
-    bare = F.regexp_replace(text, f"{WHITE_SPACE}+", "")
-    letters = F.length(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", ""))
+    bare = F.length(F.translate(text, SPACES, ""))
+    letters = F.length(F.when(is_ascii(text), F.translate(text, MARKS, "")).otherwise(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")))
     return (
-        F.when(bare == "", "empty")
+        F.when(~text.rlike(f"[^{WHITE_SPACE}]"), "empty")
         .when(tokens > limits.most_tokens, "too_long")
         .when(tokens < limits.least_tokens, "too_short")
-        .when(letters / F.length(bare) < limits.least_alphanumeric, "boilerplate")
+        .when(letters / bare < limits.least_alphanumeric, "boilerplate")
     )
 
 
 def excerpt(text: Column) -> Column:
-    flat = F.trim(F.regexp_replace(text, f"{WHITE_SPACE}+", " "))
+    flat = collapse(text)
     return F.when(F.length(flat) > 120, F.concat(F.substring(flat, 1, 120), F.lit("..."))).otherwise(flat)
 
 
@@ -39,10 +43,11 @@ def validated(chunks: DataFrame, limits: Limits = Limits(), compatibility: bool
     """(document_id, index, text, ...) with rule (null: accepted), disposition, quarantined (of the document) and excerpt.
 
     A chunk that is too long puts its whole document into quarantine; other
-    failures drop the chunk. One window sorts a document's accepted texts.
+    failures drop the chunk. Rows are shuffled once, by document; both windows use that.
     """
     tokens = F.coalesce(F.col("token_count"), estimate_tokens(F.col("text"))) if "token_count" in chunks.columns else estimate_tokens(F.col("text"))
     rows = chunks.withColumns({"rule": rule_of(F.col("text"), tokens, limits), "text_hash": text_hash(F.col("text"), compatibility)})
+    rows = rows.repartition("document_id")
     same = Window.partitionBy("document_id", "text_hash", F.col("rule").isNull()).orderBy("index")
     rows = rows.withColumn("rule", F.when(F.col("rule").isNull() & (F.row_number().over(same) > 1), "duplicate").otherwise(F.col("rule")))
     disposition = F.when(F.col("rule") == "too_long", "quarantine_document").when(F.col("rule").isNotNull(), "drop")
