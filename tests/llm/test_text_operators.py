@@ -117,6 +117,21 @@ def test_contamination(spark, block_words):
     assert left.where("doc_id >= 61").orderBy("doc_id").select("text").collect()[0].text is None
 
 
+def test_blocks_of_a_benchmark_equal_one(spark):
+    """Copies, names that clash, texts to cut twice and rows that go, with the benchmark in one block and in many."""
+    r = random.Random(6)
+    word = lambda: r.choice("a b c d é".split())
+    items = [(f"i{n}", " ".join(word() for _ in range(r.randrange(1, 7)))) for n in range(30)] * 2 + [("u v w x", "u v w x"), (None, "d d d d")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = [" ".join([word(), *("q" for _ in range(r.randrange(3))), word(), "u v", *["u v w x"] * r.randrange(3), "w x"]) for _ in range(40)]
+    rows = [(n % 50, t, "k", [1]) for n, t in enumerate([*texts, *texts, None, "", "q " * 50_000 + "u v w x"])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, text_key string, spans array<int>")
+    for measure in (decontaminate.contamination, lambda d, b, **k: decontaminate.decontaminate(d, b, max_coverage=0.6, **k)):
+        one, many = (measure(docs, bench, window=4, block_words=n) for n in (400_000, 25))
+        assert one.schema.simpleString() == many.schema.simpleString()
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, many.collect()))
+
+
 def test_automaton_holds_all_windows():
     r = random.Random(1)
     items = [(n, [r.choice("abc") for _ in range(r.randrange(1, 12))]) for n in range(20)]
