@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import random
 import unicodedata
 
 import pytest
@@ -30,6 +31,16 @@ def test_identity(spark):
     assert one.x != one.y and one.x.startswith("doc_") and one.z is None
 
 
+def test_white_space_collapses(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice([" ", " ", "\t", "\n", "\xa0", "\u2003", "\u3000", "\x1f", "\x85", "a", "é", "𝒳"]) for _ in range(r.randrange(0, 14))) for _ in range(400)]
+    assert set(ids.SPACES) == {c for c in map(chr, range(0x110000)) if c.isspace()}
+    df = spark.createDataFrame([(n, t) for n, t in enumerate([*texts, None])], "n int, t string")
+    rows = df.select("n", ids.collapse(F.col("t")).alias("bare"), ids.normalise_text(F.col("t")).alias("norm")).orderBy("n").collect()
+    assert [x.bare for x in rows] == [*(" ".join(t.split()) for t in texts), None]
+    assert [x.norm for x in rows] == [*map(normal, texts), None]
+
+
 def test_stable_hash():
     assert ids.stable_hash({"a": 1, "b": [2]}) == ids.stable_hash({"b": [2], "a": 1})
     assert ids.stable_hash(1) != ids.stable_hash(1.0)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,20 @@ def test_validation(spark):
     assert max(len(x.excerpt) for x in validate.rejections(v).collect()) == 123
 
 
+def test_rules_outside_ascii(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choice("aB7é漢Ⅷ—…_- \t\xa0\u3000*") for _ in range(r.randrange(0, 30))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = rows.select("n", validate.rule_of(F.col("t"), F.length("t"), validate.Limits(20, 3, 0.5)).alias("rule")).orderBy("n").collect()
+
+    def rule(t):
+        bare = "".join(t.split())
+        letters = sum(unicodedata.category(c)[0] in "LN" for c in bare)
+        return "empty" if not bare else "too_long" if len(t) > 20 else "too_short" if len(t) < 3 else "boilerplate" if letters / len(bare) < 0.5 else None
+
+    assert [x.rule for x in got] == [rule(t) for t in texts]
+
+
 def test_listing_and_stream(spark, tmp_path):
     root = tmp_path / "docs"
     (root / "sub").mkdir(parents=True)
@@ -179,6 +194,22 @@ def test_batch_top_k_equals_single(spark, metric):
         assert sorted((x.id, round(x.score, 6), x["rank"]) for x in got if x.query_id == q.query_id) == sorted(want)
 
 
+def test_batch_top_k_over_many_batches(spark):
+    r = random.Random(4)
+    rows = [(f"r{i:03d}", [float(r.randrange(3)) for _ in range(3)]) for i in range(90)]
+    records = spark.createDataFrame(rows, "id string, vector array<double>").coalesce(2)
+    queries = spark.createDataFrame([(n, [float(r.randrange(3)) for _ in range(3)]) for n in range(4)], "query_id int, vector array<double>")
+    whole = sorted(map(tuple, retrieve.batch_top_k(records, queries, 6, min_score=0.2).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(tuple, retrieve.batch_top_k(records, queries, 6, min_score=0.2).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q in queries.collect():
+        want = [(x.id, x["rank"]) for x in retrieve.top_k(records, q.vector, 6, min_score=0.2).collect()]
+        assert [(x[1], x[3]) for x in whole if x[0] == q.query_id] == sorted(want)
+
+
 def test_top_k_plan_is_bounded(spark):
     records = spark.range(1000).select("id", F.array(F.col("id").cast("double")).alias("vector"))
     plan = retrieve.top_k(records, [1.0], 3)._jdf.queryExecution().executedPlan().toString()
