@@ -578,7 +578,18 @@ def claim_sentences(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(guards.claims(F.col("text")), "|").alias("claims"))
 
 
-@query()
+SQL_WORDS = lambda c: f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
+SQL_STEMS = lambda c: f"list_distinct(list_transform(list_filter({SQL_WORDS(c)}, lambda w: NOT list_contains({guards.STOP_WORDS!r}, w)), lambda w: w[1:6]))"
+
+
+@query(
+    rf"""WITH a AS (SELECT item_id, text, regexp_replace(text, '\.', ' [1].', 'g') || ' Nothing supports this last claim of mine [2].' AS answer FROM benchmark),
+p AS (SELECT item_id, text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(answer, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM a),
+m AS (SELECT item_id, text, string_split(substr(array_to_string(list_transform(parts, lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '{guards.CITATIONS_ALONE}') THEN ' ' ELSE chr(1) END || x), ''), 2), chr(1)) AS sentences FROM p),
+c AS (SELECT item_id, text, unnest(list_filter(sentences, lambda x: len({SQL_WORDS("x")}) >= 4)) AS claim FROM m),
+s AS (SELECT item_id, claim, list_contains(regexp_extract_all(claim, '{guards.CITATION}', 1), '1') AS cites, {SQL_STEMS(f"regexp_replace(claim, '{guards.CITATION}', ' ', 'g')")} AS own, {SQL_STEMS("text")} AS cited FROM c)
+SELECT item_id, round(avg(CASE WHEN cites AND len(own) > 0 AND len(list_intersect(own, cited)) >= 0.5 * len(own) THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM s GROUP BY item_id"""
+)
 def groundedness(spark, sf_dir):
     """Answers that cite a passage, with the share of their supported claims."""
     b = table(spark, sf_dir, "benchmark")
