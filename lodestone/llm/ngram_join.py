@@ -7,7 +7,8 @@ is at least s (n + m) / (1 + s), and this bound cuts the product three times:
 
 1. All columns have one order, rare ones first. Similar sets have a common column
    among the first n - ceil(s n) + 1 of either, the *head* of a row. Only heads
-   are multiplied over the whole corpus, column by column.
+   are multiplied over the whole corpus, column by column. The rows of every
+   second column are counted exactly; the order begins with these columns.
 2. The first common column of a pair stands at some place of either row; what is
    left of the shorter rest bounds the overlap, so most pairs of a column go
    before they are rows of a table.
@@ -26,7 +27,8 @@ linked with nothing. Equal sets are one row of the matrix, and their documents
 one component. Rows are documents, so a repeated row is linked with its copies;
 the component of documents that all have a null id is null. Very long texts are
 slices of their own. Further columns are not looked at, whatever their names. An
-empty table gives an empty result. Shingles are XXH64 hashes, sets 128-bit ones.
+empty table gives an empty result. Shingles are XXH64 hashes; sets are named by
+64 bits, and named anew if another 64 bits show that two share a name.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,10 +49,10 @@ from lodestone.llm.graph import components
 from lodestone.llm.shared import written
 from lodestone.llm.simhash import shingle_hashes
 
-#: Columns that a slice of texts has in so many different sets are counted, and come last from so many in all; a bound of their number.
-SEEN_IN_SLICE, OFTEN, MOST_OFTEN = 2, 8, 200_000
+#: One in so many columns, by hash, has its rows counted: more columns than a head has, so that heads hold rare ones, see ``shared_columns``.
+COUNTED = 2
 #: One side of a block of the product: shingles and rows; blocks at least; column blocks of each.
-BLOCK_SHINGLES, BLOCK_ROWS, LEAST_BLOCKS, COLUMN_BLOCKS = 1 << 20, 2000, 8, 4
+BLOCK_SHINGLES, BLOCK_ROWS, LEAST_BLOCKS, COLUMN_BLOCKS = 1 << 20, 2000, 4, 4
 
 
 @dataclass(frozen=True)
@@ -73,11 +75,16 @@ class Similarity:
 CONTRACT = Similarity(4, 85)
 
 
-def rows_of(texts: pa.Array, words: int) -> tuple[list[np.ndarray], list[bytes]]:
-    """The distinct shingles of each text, sorted, and a hash of each set."""
+def rows_of(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted."""
     hashes, counts = shingle_hashes(words_of(texts, NONSPACE), words)
-    sets = [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])] if len(counts) else []
-    return sets, [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+    return [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])] if len(counts) else []
+
+
+def names_of(sets: list[np.ndarray], seed: int) -> list[pa.Array]:
+    """Both halves of a 128-bit hash of each set."""
+    names = [xxhash.xxh3_128_intdigest(x.tobytes(), seed) for x in sets]
+    return [pa.array(np.array([x >> shift & (1 << 64) - 1 for x in names], np.uint64).view(np.int64)) for shift in (0, 64)]
 
 
 def listed(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -87,58 +94,68 @@ def listed(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def often(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns that many rows have, sorted, and about how many.
+def named_rows(documents: DataFrame, like: Similarity, seed: int) -> DataFrame:
+    """(doc_id, set, other, n, counted, filler) of every row of ``documents`` (doc_id, text).
 
-    These counts only choose the order of columns, which may be any, so neither
-    their bound nor what slices leave out changes a result.
+    set, other: two hashes of its set; n: the set's size; counted: the columns
+    whose documents will be counted; filler: the first of the others, where the
+    counted ones are fewer than a head.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
-            sets, ids = rows_of(batch.column(1), words)
-            own = list(dict(zip(ids, sets)).values())
-            shingles, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
-            some = n >= SEEN_IN_SLICE
-            yield pa.RecordBatch.from_arrays([pa.array(shingles[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["shingle", "n"])
-
-    seen = documents.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    rows = seen.orderBy(F.desc("n"), "shingle").limit(MOST_OFTEN).collect()
-    shingles = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], np.array([r.n for r in rows], np.int64)[order]
-
-
-def heads(documents: DataFrame, like: Similarity) -> DataFrame:
-    """(doc_id, set, n, head) of every row of ``documents`` (doc_id, text): its set, the set's size, and its first columns."""
-    shared = documents.sparkSession.sparkContext.broadcast(often(documents, like.words))
-
-    def first(own: np.ndarray) -> np.ndarray:
-        shingles, counts = shared.value
-        size = like.head(len(own))
-        if not len(shingles):
-            return own[:size]
-        at = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
-        return own[np.argsort(np.where(shingles[at] == own, counts[at], 0), kind="stable")[:size]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            sets, ids = rows_of(batch.column(1), like.words)
-            n = pa.array(np.fromiter(map(len, sets), np.int64, len(sets)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), n, listed([first(x) for x in sets])], ["doc_id", "set", "n", "head"])
-
-    kinds = [("set", T.BinaryType()), ("n", T.LongType()), ("head", T.ArrayType(T.LongType()))]
+            sets = rows_of(batch.column(1), like.words)
+            n = pa.array(np.fromiter(map(len, sets), np.int32, len(sets)))
+            some = [x % COUNTED == 0 for x in sets]
+            counted = [x[c] for x, c in zip(sets, some)]
+            filler = [x[~c][: max(0, like.head(len(x)) - int(c.sum()))] for x, c in zip(sets, some)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *names_of(sets, seed), n, listed(counted), listed(filler)], ["doc_id", *[name for name, _ in kinds]])
+
+    kinds = [("set", T.LongType()), ("other", T.LongType()), ("n", T.IntegerType()), ("counted", T.ArrayType(T.LongType())), ("filler", T.ArrayType(T.LongType()))]
     return documents.mapInArrow(run, T.StructType([T.StructField("doc_id", documents.schema[0].dataType), *[T.StructField(*x) for x in kinds]]))
 
 
-def shared_columns(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(shingle, set, n, place, hub): the head entries of ``sets`` in columns of two rows or more; hub is the column's row that has it earliest."""
-    copied = sets.where("copies > 1").select("set", "first_doc")
-    once = rows.where("n > 0").join(copied, "set", "left").where("first_doc IS NULL OR doc_id <=> first_doc")
-    # dealt once, for the columns' hubs and for the join with them
-    entries = once.select("set", "n", F.posexplode("head").alias("place", "shingle")).repartition("shingle")
-    own = F.struct("place", "n", "set")
-    hubs = entries.groupBy("shingle").agg(F.min(own).alias("hub"), F.min("set").alias("least"), F.max("set").alias("most")).where("least < most")
+def named_sets(documents: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame, int]:
+    """The rows of ``documents`` and their distinct sets (set, first_doc, copies, n), written, and the names' seed. Names that two sets share are all made anew."""
+    seed = 0
+    while True:
+        rows = written(named_rows(documents, like, seed), "rows")
+        own = [F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), (F.min("other") < F.max("other")).alias("mixed")]
+        sets = written(rows.where("n > 0").groupBy("set").agg(*own), "distinct_sets")
+        if sets.where("mixed").isEmpty():
+            return rows, sets.drop("mixed"), seed
+        seed += 1
+
+
+def one_row_each(rows: DataFrame, sets: DataFrame, broadcast_rows: int) -> DataFrame:
+    """One of the ``rows`` of each set."""
+    copied = sets.where("copies > 1").select("set", "first_doc", F.lit(True).alias("copied"))
+    side = F.broadcast(copied) if copied.limit(broadcast_rows + 1).count() <= broadcast_rows else copied
+    marked = rows.where("n > 0").join(side, "set", "left")
+    first = marked.where("copied AND doc_id <=> first_doc").dropDuplicates(["set"])
+    return marked.where("copied IS NULL").unionByName(first)
+
+
+def shared_columns(rows: DataFrame, sets: DataFrame, like: Similarity, broadcast_rows: int) -> DataFrame:
+    """(shingle, set, n, place, hub): the head entries of ``sets`` in columns of two rows or more; hub is the column's row that has it earliest.
+
+    The order of columns: the counted ones by the number of their rows, then the
+    others. A head lies in the counted columns, or has all of them and the
+    filler. Columns of one row make no pairs, so only their number counts.
+    """
+    once = one_row_each(rows, sets, broadcast_rows)
+    counted = once.select("set", "n", F.size("counted").alias("all"), F.explode("counted").alias("shingle"), F.lit(None).cast("int").alias("behind"))
+    filler = once.where("size(filler) > 0").select("set", "n", F.size("counted").alias("all"), F.posexplode("filler").alias("behind", "shingle"))
+    # dealt once, for the number of rows and for the join with it
+    dealt = counted.unionByName(filler.select(*counted.columns)).repartition("shingle")
+    several = dealt.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    repeated = dealt.join(several, "shingle")
+    ordered = Window.partitionBy("set").orderBy(F.col("behind").asc_nulls_first(), "rows", "shingle")
+    own = F.count(F.when(F.col("behind").isNull(), 1)).over(Window.partitionBy("set"))
+    place = F.when(F.col("behind").isNull(), F.col("all") - own + F.row_number().over(ordered) - 1).otherwise(F.col("all") + F.col("behind"))
+    head = F.expr(f"n - ceil({like.percent} * n / 100) + 1")
+    entries = written(repeated.withColumn("place", place).where(F.col("place") < head).select("shingle", "set", "n", "place"), "head_entries")
+    hubs = entries.groupBy("shingle").agg(F.min(F.struct("place", "n", "set")).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     return entries.join(hubs.select("shingle", "hub"), "shingle")
 
 
@@ -157,18 +174,18 @@ def crossing(entries: DataFrame, roots: DataFrame, like: Similarity) -> DataFram
     return pairs.select(F.col("a_set").alias("a"), F.col("b_set").alias("b")).distinct()
 
 
-def whole_rows(documents: DataFrame, wanted: DataFrame, words: int, broadcast_rows: int) -> DataFrame:
+def whole_rows(documents: DataFrame, wanted: DataFrame, words: int, seed: int, broadcast_rows: int) -> DataFrame:
     """(set, shingles) of the rows of ``documents`` whose doc_id is one of ``wanted`` (first_doc). Other texts are not hashed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            sets, ids = rows_of(batch.column(1), words)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), listed(sets)], ["set", "shingles"])
+            sets = rows_of(batch.column(1), words)
+            yield pa.RecordBatch.from_arrays([names_of(sets, seed)[0], listed(sets)], ["set", "shingles"])
 
     ids = wanted.select("first_doc").distinct()
     side = F.broadcast(ids) if ids.limit(broadcast_rows + 1).count() <= broadcast_rows else ids
     own = documents.join(side, F.col("doc_id").eqNullSafe(F.col("first_doc")), "left_semi")
-    return own.mapInArrow(run, "set binary, shingles array<long>")
+    return own.mapInArrow(run, "set long, shingles array<long>")
 
 
 def product(pairs: pa.Table, rows: pa.Table, like: Similarity) -> pa.Table:
@@ -212,7 +229,7 @@ def product(pairs: pa.Table, rows: pa.Table, like: Similarity) -> pa.Table:
     return pairs.select(["a", "b"]).filter(pa.array(good))
 
 
-def multiplied(pairs: DataFrame, sets: DataFrame, documents: DataFrame, like: Similarity, broadcast_rows: int) -> DataFrame:
+def multiplied(pairs: DataFrame, sets: DataFrame, documents: DataFrame, like: Similarity, seed: int, broadcast_rows: int) -> DataFrame:
     """The distinct ``pairs`` (a, b) of ``sets`` (set, first_doc, n) that are similar enough, written.
 
     Rows are dealt into blocks; the whole row of a set is sent once to each block of pairs that needs it.
@@ -226,9 +243,9 @@ def multiplied(pairs: DataFrame, sets: DataFrame, documents: DataFrame, like: Si
     placed = pairs.select("a", "b", at("a").alias("i"), at("b").alias("j"))
     needed = ends(placed, F.col("i").alias("row"), F.col("j").alias("column"))
     # several documents may share a doc_id, or a null one: only rows of wanted sets are sent, each once
-    whole = whole_rows(documents, wanted, like.words, broadcast_rows)
+    whole = whole_rows(documents, wanted, like.words, seed, broadcast_rows)
     sent = needed.join(whole, "set").select("row", "column", "set", "shingles")
-    good = placed.groupBy("i", "j").cogroup(sent.groupBy("row", "column")).applyInArrow(lambda p, r: product(p, r, like), "a binary, b binary")
+    good = placed.groupBy("i", "j").cogroup(sent.groupBy("row", "column")).applyInArrow(lambda p, r: product(p, r, like), "a long, b long")
     return written(good, "similar_rows")
 
 
@@ -241,10 +258,9 @@ def with_roots(sets: DataFrame, links: DataFrame, name: str) -> DataFrame:
 def similar_groups(documents: DataFrame, like: Similarity = CONTRACT, broadcast_rows: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``documents`` (doc_id, text)."""
     plain = documents.select("doc_id", "text")
-    rows = written(heads(plain, like), "heads")
-    sets = written(rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "distinct_sets")
-    entries = written(shared_columns(rows, sets), "shared_columns")
-    check = lambda pairs: multiplied(pairs, sets, plain, like, broadcast_rows)
+    rows, sets, seed = named_sets(plain, like)
+    entries = written(shared_columns(rows, sets, like, broadcast_rows), "shared_columns")
+    check = lambda pairs: multiplied(pairs, sets, plain, like, seed, broadcast_rows)
     near_hubs = written(star(entries, like), "hub_pairs")
     found = check(near_hubs)
     rooted = with_roots(sets, found, "families")
@@ -254,7 +270,7 @@ def similar_groups(documents: DataFrame, like: Similarity = CONTRACT, broadcast_
     groups = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.sum("copies").alias("documents")).where("documents > 1")
     least = written(groups.select("root", "component_id"), "component_least")
     named = written(rooted.join(least, "root").select("set", "component_id"), "component_ids")
-    return rows.select("doc_id", "set", F.col("n").alias("n_shingles")).join(named, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "set", F.col("n").cast("bigint").alias("n_shingles")).join(named, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,8 +148,8 @@ def texts_of(r, families, members, words, changes):
     return out
 
 
-@pytest.mark.parametrize("like,often,block", [(Similarity(4, 85), 8, 2000), (Similarity(5, 80), 2, 20), (Similarity(2, 50), 2, 2000), (Similarity(1, 100), 8, 20)])
-def test_ngram_join(spark, monkeypatch, like, often, block):
+@pytest.mark.parametrize("like,counted,block", [(Similarity(4, 85), 4, 2000), (Similarity(5, 80), 4, 20), (Similarity(2, 50), 1, 2000), (Similarity(1, 100), 9, 20)])
+def test_ngram_join(spark, monkeypatch, like, counted, block):
     r = random.Random(like.percent)
     texts = texts_of(r, 20, 4, 100, [0, 1, 2, 3]) + texts_of(r, 30, 4, 9, [0, 1]) + texts_of(r, 20, 3, 24, [0, 1])
     passage = " ".join(f"p{r.randrange(90)}" for _ in range(30))
@@ -157,7 +157,7 @@ def test_ngram_join(spark, monkeypatch, like, often, block):
     rows = [*enumerate(texts), (None, texts[0]), (None, ""), (3, texts[3]), (3, "another text of the same id"), (None, "alone without an id"), (900, "one"), (901, "")]
     want = brute_groups(rows, like)
     df = spark.createDataFrame([(i, t, 1, "set") for i, t in rows], "doc_id long, text string, n int, set string")
-    monkeypatch.setattr(ngram_join, "OFTEN", often)
+    monkeypatch.setattr(ngram_join, "COUNTED", counted)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
     assert sorted(map(tuple, similar_groups(df, like).collect()), key=str) == want
     assert similar_groups(df.limit(0), like).collect() == []
