@@ -8,7 +8,7 @@ is at least s (n + m) / (1 + s), and this bound cuts the product three times:
 1. All columns have one order, rare ones first. Similar sets have a common column
    among the first n - ceil(s n) + 1 of either, the *head* of a row. Only heads
    are multiplied over the whole corpus, column by column. The rows of every
-   second column are counted exactly; the order begins with these columns.
+   third column are counted exactly; the order begins with these columns.
 2. The first common column of a pair stands at some place of either row; what is
    left of the shorter rest bounds the overlap, so most pairs of a column go
    before they are rows of a table.
@@ -50,7 +50,7 @@ from lodestone.llm.shared import written
 from lodestone.llm.simhash import shingle_hashes
 
 #: One in so many columns, by hash, has its rows counted: more columns than a head has, so that heads hold rare ones, see ``shared_columns``.
-COUNTED = 2
+COUNTED = 3
 #: One side of a block of the product: shingles and rows; blocks at least; column blocks of each.
 BLOCK_SHINGLES, BLOCK_ROWS, LEAST_BLOCKS, COLUMN_BLOCKS = 1 << 20, 2000, 4, 4
 
@@ -144,17 +144,19 @@ def shared_columns(rows: DataFrame, sets: DataFrame, like: Similarity, broadcast
     filler. Columns of one row make no pairs, so only their number counts.
     """
     once = one_row_each(rows, sets, broadcast_rows)
-    counted = once.select("set", "n", F.size("counted").alias("all"), F.explode("counted").alias("shingle"), F.lit(None).cast("int").alias("behind"))
-    filler = once.where("size(filler) > 0").select("set", "n", F.size("counted").alias("all"), F.posexplode("filler").alias("behind", "shingle"))
-    # dealt once, for the number of rows and for the join with it
+    counted = once.select("set", F.explode("counted").alias("shingle"), F.lit(None).cast("int").alias("behind"))
+    filler = once.where("size(filler) > 0").select("set", F.posexplode("filler").alias("behind", "shingle"))
+    # dealt once: the number of rows and the join with it both read all three columns of one exchange
     dealt = counted.unionByName(filler.select(*counted.columns)).repartition("shingle")
-    several = dealt.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    repeated = dealt.join(several, "shingle")
-    ordered = Window.partitionBy("set").orderBy(F.col("behind").asc_nulls_first(), "rows", "shingle")
-    own = F.count(F.when(F.col("behind").isNull(), 1)).over(Window.partitionBy("set"))
-    place = F.when(F.col("behind").isNull(), F.col("all") - own + F.row_number().over(ordered) - 1).otherwise(F.col("all") + F.col("behind"))
+    several = dealt.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("set").alias("least"), F.max("set").alias("most"), F.max("behind").isNotNull().alias("last")).where("least < most")
+    repeated = dealt.join(several.select("shingle", "rows", "last"), "shingle")
+    sizes = once.select("set", "n", F.size("counted").alias("all"))
+    own = F.count(F.when(~F.col("last"), 1)).over(Window.partitionBy("set"))
+    number = F.row_number().over(Window.partitionBy("set").orderBy("last", "rows", "shingle"))
+    placed = repeated.withColumn("own", own).withColumn("number", number).join(sizes, "set")
+    placed = placed.withColumn("place", F.when(F.col("last"), F.col("all") + F.col("behind")).otherwise(F.col("all") - F.col("own") + F.col("number") - 1))
     head = F.expr(f"n - ceil({like.percent} * n / 100) + 1")
-    entries = written(repeated.withColumn("place", place).where(F.col("place") < head).select("shingle", "set", "n", "place"), "head_entries")
+    entries = written(placed.where(F.col("place") < head).select("shingle", "set", "n", "place"), "head_entries")
     hubs = entries.groupBy("shingle").agg(F.min(F.struct("place", "n", "set")).alias("hub"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     return entries.join(hubs.select("shingle", "hub"), "shingle")
 
