@@ -163,3 +163,42 @@ def compiled(node: Filter, metadata: Column, columns: dict[str, Column] | None =
     else:
         raise UnsupportedFilter(f"unknown operator {node.op!r}")
     return F.coalesce(out, F.lit(False))
+
+
+def shadow(field: str) -> str:
+    """The column that holds a declared field beside the VARIANT."""
+    return f"declared_{field}"
+
+
+def shadowed(metadata: Column, field: str, kind: str) -> Column:
+    """A declared field as a typed column: strings as they are, booleans and numbers as doubles; null where the field is of another type."""
+    v = F.try_variant_get(metadata, path_of(field), "variant")
+    of = F.schema_of_variant(v)
+    if kind == "string":
+        return F.when(of == "STRING", F.try_variant_get(v, "$", "string"))
+    number = F.when(of == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(numeric(of), F.try_variant_get(v, "$", "double"))
+    return number.cast("double")
+
+
+def implied(node: Filter, columns: dict[str, tuple[Column, str]]) -> Column | None:
+    """A condition on declared fields (name -> their column and its type) that holds for every row that ``node`` holds for, if there is one.
+
+    It is there to be pushed into the scan, which cannot look into a VARIANT, and
+    is put beside the compiled filter, never in its place.
+    """
+    if node.op == "and":
+        known = [c for p in node.parts if (c := implied(p, columns)) is not None]
+        return reduce(lambda a, b: a & b, known) if known else None
+    if node.op == "or":
+        known = [implied(p, columns) for p in node.parts]
+        return reduce(lambda a, b: a | b, known) if known and all(c is not None for c in known) else None
+    if node.op == "in" and isinstance(node.value, (list, tuple)):
+        return implied(any_of(*[Filter("eq", node.field, x) for x in node.value]), columns) if node.value else None
+    column = columns.get(node.field)
+    if column is None or node.op not in ("eq", "gt", "gte", "lt", "lte"):
+        return None
+    kind, value = column[1], node.value
+    if kind == "string" and not isinstance(value, str) or kind == "double" and (isinstance(value, str) or not isinstance(value, (bool, int, float))):
+        return None
+    side, right = column[0], F.lit(value if kind == "string" else float(value))
+    return {"eq": side == right, "gt": side > right, "gte": side >= right, "lt": side < right, "lte": side <= right}[node.op]

@@ -29,7 +29,7 @@ def norm(a: Column) -> Column:
 
 
 def similarity(metric: str, a: Column, b: Column) -> Column:
-    """Cosine (0 where a norm is 0), dot, or 1 / (1 + distance). Vectors of different widths are an error."""
+    """Cosine (0 where a norm is 0), dot, or 1 / (1 + distance). An empty vector is near to nothing: 0. Other vectors of different widths are an error."""
     if metric == "cosine":
         norms = norm(a) * norm(b)
         score = F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
@@ -39,7 +39,8 @@ def similarity(metric: str, a: Column, b: Column) -> Column:
         score = 1 / (1 + F.sqrt(fold(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)))))
     else:
         raise ValueError(f"unknown metric {metric!r}")
-    return F.when(F.size(a) == F.size(b), score).otherwise(F.raise_error(F.lit("vectors have different widths")))
+    empty = (F.size(a) == 0) | (F.size(b) == 0)
+    return F.when(empty, 0.0).when(F.size(a) == F.size(b), score).otherwise(F.raise_error(F.lit("vectors have different widths")))
 
 
 def word_counts(text: Column, dimensions: int) -> Column:

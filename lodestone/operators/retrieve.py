@@ -39,61 +39,150 @@ def scores_of(metric: str, records: np.ndarray, queries: np.ndarray) -> np.ndarr
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def first_k(scores: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, pa.Array]:
-    """The k best, in order; ties by id."""
-    place = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-    order = np.lexsort((place, -scores))[:k]
-    return scores[order], ids.take(pa.array(order))
-
+def matrix_of(vectors: pa.Array, width: int | None = None) -> np.ndarray:
+    """Vectors as rows; those that are null or empty are rows of zeros. Other widths than the one they have are an error."""
+    lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    full = np.flatnonzero(lengths)
+    width = width or (int(lengths[full[0]]) if len(full) else 0)
+    if (lengths[full] != width).any():
+        raise ValueError("vectors have different widths")
+    out = np.zeros((len(vectors), width))
+    out[full] = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(full), width)
+    return out
+
+
+class Best:
+    """The k best records of each of some queries, from blocks of records that come one after another.
+
+    ``empty``: queries without a vector, whose scores are all 0. ``bits``: for each
+    query the number of the bit that a record must have set to be seen by it.
+    """
 
-def batch_top_k(records: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", min_score: float | None = None, block: int = 1024) -> DataFrame:
+    #: Records that are scored at once.
+    CHUNK = 1024
+
+    def __init__(self, queries: np.ndarray, empty: np.ndarray, bits: np.ndarray | None, metric: str, k: int, min_score: float | None, ids: pa.DataType):
+        self.queries, self.empty, self.bits, self.metric, self.k = queries, empty, bits, metric, k
+        self.norms = np.linalg.norm(queries, axis=1)
+        self.least = np.full(len(queries), -np.inf if min_score is None else min_score)
+        # query, score and record of what is best so far, by query
+        self.query, self.score, self.ids = np.zeros(0, np.int64), np.zeros(0), pa.array([], ids)
+
+    def _bounds(self, norms: np.ndarray) -> np.ndarray:
+        """What no score of a chunk's records passes, for each query, by the norms alone."""
+        if self.metric == "dot":
+            most = norms.max() * self.norms
+        elif self.metric == "euclidean":
+            apart = np.maximum(np.maximum(norms.min() - self.norms, self.norms - norms.max()), 0)
+            most = 1 / (1 + apart)
+        else:
+            return np.full(len(self.norms), np.inf)
+        return np.maximum(most * (1 + 1e-9), 0)  # an empty vector scores 0
+
+    def add(self, ids: pa.Array, vectors: pa.Array, bits: np.ndarray | None = None) -> None:
+        """``bits``: the words of each record's bit vector."""
+        records = matrix_of(vectors, self.queries.shape[1] or None)
+        missing = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == 0
+        norms = np.linalg.norm(records, axis=1)
+        by_norm = np.argsort(-norms, kind="stable")  # chunks of like norms have narrow bounds
+        for begin in range(0, len(records), self.CHUNK):
+            own = by_norm[begin : begin + self.CHUNK]
+            asked = np.flatnonzero(self._bounds(norms[own]) >= self.least)
+            if not len(asked):
+                continue
+            scores = scores_of(self.metric, records[own], self.queries[asked]).T if self.queries.shape[1] and records.shape[1] else np.zeros((len(asked), len(own)))
+            scores[:, missing[own]] = 0
+            scores[self.empty[asked]] = 0
+            seen = scores >= self.least[asked][:, None]
+            if self.bits is not None:
+                bit = self.bits[asked]
+                seen &= (bits[own][:, bit // 64].T >> (bit % 64)[:, None].astype(np.uint64) & np.uint64(1)).astype(bool)
+            if scores.shape[1] > self.k:
+                hidden = np.where(seen, scores, -np.inf)
+                at = scores.shape[1] - self.k
+                seen &= scores >= np.partition(hidden, at, axis=1)[:, at : at + 1]
+            q, r = np.nonzero(seen)
+            self._keep(asked[q], scores[q, r], ids.take(pa.array(own[r])))
+
+    def _keep(self, query: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        query, score, ids = np.concatenate([self.query, query]), np.concatenate([self.score, score]), pa.concat_arrays([self.ids, ids])
+        places = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        order = np.lexsort((places, -score, query))
+        first = np.searchsorted(query[order], query[order])  # where each query's records begin
+        number = np.arange(len(order)) - first
+        order = order[number < self.k]
+        self.query, self.score, self.ids = query[order], score[order], ids.take(pa.array(order))
+        n = np.bincount(self.query, minlength=len(self.least))
+        full = np.flatnonzero(n >= self.k)
+        last = np.cumsum(n) - 1
+        self.least[full] = np.maximum(self.least[full], self.score[last[full]])
+
+
+#: Up to so many queries are broadcast; more are met with the records in a grid. Queries and records of a cell.
+MOST_BROADCAST, CELL_QUERIES, CELL_RECORDS = 1024, 4096, 16_384
+
+
+def batch_top_k(records: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", min_score: float | None = None, most_broadcast: int = MOST_BROADCAST, cell: tuple[int, int] = (CELL_QUERIES, CELL_RECORDS), bits: bool = False) -> DataFrame:
     """(query_id, id, score, rank): the nearest records (id, vector) of every query (query_id, vector).
 
-    Queries are broadcast in blocks of about ``block``. Each task multiplies
-    its records with a block, batch by batch, and keeps the best k of each query
-    so far, so what is shuffled is k rows for each query and task.
+    Up to ``most_broadcast`` queries are broadcast, and records are not shuffled.
+    More are dealt into blocks, as the records are; each cell of the grid is a
+    block of queries with a block of records, both of a bounded size, met in a
+    cogroup, so that neither side is collected and each is read once. In a cell
+    whole chunks of records go by their norms alone. What is shuffled afterwards
+    is k rows for each query and task or cell. Query ids are distinct and not null.
+
+    ``bits``: records have a column bits (words of 64 bits each), queries a column
+    bit; a query sees the records that have its bit set.
     """
-    spark = records.sparkSession
-    total = queries.count()
-    parts = None
+    if metric not in ("cosine", "dot", "euclidean"):
+        raise ValueError(f"unknown metric {metric!r}")
     kind, plain_id = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(records.schema["id"].dataType)
     types = T.StructType([queries.schema["query_id"], records.schema["id"], T.StructField("score", T.DoubleType())])
-    plain = records.select("id", F.col("vector").cast("array<double>").alias("vector"))
-    for n in range(-(-total // block)):
-        blocks = -(-total // block)
-        chosen = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else queries
-        rows = chosen.select("query_id", F.col("vector").cast("array<double>").alias("vector")).collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.vector for r in rows])))
-
-        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, matrix = shared.value
-            best: list[tuple[np.ndarray, pa.Array]] = [(np.zeros(0), pa.array([], plain_id))] * len(names)
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    there = records.select("id", vector, F.col("bits").cast("array<bigint>").alias("bits") if bits else F.lit(None).cast("array<bigint>").alias("bits"))
+    asked = queries.select("query_id", vector, F.col("bit").cast("int").alias("bit") if bits else F.lit(0).alias("bit"))
+
+    def best_of(names: pa.Array, vectors: pa.Array, bit: np.ndarray) -> Best:
+        empty = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == 0
+        return Best(matrix_of(vectors), empty, bit if bits else None, metric, k, min_score, plain_id)
+
+    def add(best: Best, rows: pa.RecordBatch | pa.Table) -> None:
+        own = [rows.column(c).combine_chunks() if isinstance(rows, pa.Table) else rows.column(c) for c in ("id", "vector", "bits")]
+        words = None
+        if bits and rows.num_rows:
+            words = own[2].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(rows.num_rows, -1)
+        best.add(own[0], own[1], words)
+
+    few = asked.limit(most_broadcast + 1).collect()  # decides the way; no more than these are collected
+    if len(few) <= most_broadcast:
+        shared = records.sparkSession.sparkContext.broadcast(([r.query_id for r in few], [r.vector for r in few], np.array([r.bit for r in few], np.int64)))
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vectors, bit = shared.value
+            names = pa.array(ids, kind)
+            best = best_of(names, pa.array(vectors, pa.list_(pa.float64())), bit)
             for batch in batches:
-                vectors, ids = batch.column(1), batch.column(0)
-                flat = vectors.flatten().to_numpy(zero_copy_only=False)
-                if len(flat) != len(vectors) * matrix.shape[1]:
-                    raise ValueError("vectors have different widths")
-                scores = scores_of(metric, flat.reshape(len(vectors), -1), matrix)
-                for q in range(len(names)):
-                    s = scores[:, q]
-                    least = -np.inf if min_score is None else min_score
-                    if len(best[q][0]) == k:
-                        least = max(least, best[q][0][-1])
-                    if len(s) > k:
-                        least = max(least, np.partition(s, len(s) - k)[len(s) - k])
-                    own = np.flatnonzero(s >= least)
-                    if len(own):
-                        best[q] = first_k(np.concatenate([best[q][0], s[own]]), pa.concat_arrays([best[q][1], ids.take(pa.array(own))]), k)
-            for name, (s, ids) in zip(names, best):
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(s), kind), ids, pa.array(s)], ["query_id", "id", "score"])
-
-        found = plain.mapInArrow(nearest, types)
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        parts = spark.createDataFrame([], types)
+                add(best, batch)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(best.query)), best.ids, pa.array(best.score)], ["query_id", "id", "score"])
+
+        parts = there.mapInArrow(nearest, types)
+    else:
+        many = lambda n, size: max(1, -(-n // size))
+        across, down = many(asked.count(), cell[0]), many(there.count(), cell[1])
+        own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = asked.withColumn("i", own("query_id", across)).withColumn("j", every(down))
+        right = there.withColumn("j", own("id", down)).withColumn("i", every(across))
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            names = left.column("query_id").combine_chunks()
+            best = best_of(names, left.column("vector").combine_chunks(), left.column("bit").to_numpy().astype(np.int64))
+            if left.num_rows and right.num_rows:
+                add(best, right)
+            return pa.table({"query_id": names.take(pa.array(best.query)), "id": best.ids, "score": best.score})
+
+        parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, types)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return parts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 

@@ -2,36 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import guards, vectors
-from lodestone.functions.filters import Filter, compiled
+from lodestone.functions.filters import Filter, compiled, implied, shadow
 from lodestone.operators import context, generate, retrieve
 
 
+def in_namespace(index: DataFrame, namespace: str | None) -> DataFrame:
+    """The records of one namespace; None is that of records without one, which "" is not."""
+    return index.where(F.col("namespace").eqNullSafe(F.lit(namespace).cast("string")))
+
+
+def visible(index: DataFrame, condition: Filter) -> Column:
+    """Whether records pass a filter over their metadata and document_id."""
+    return compiled(condition, F.col("metadata"), {"document_id": F.col("document_id")})
+
+
+def declared(index: DataFrame) -> dict[str, tuple[Column, str]]:
+    """The columns of the index that stand for metadata fields, and their types."""
+    head = shadow("")
+    return {c.removeprefix(head): (F.col(f"`{c}`"), t) for c, t in index.dtypes if c.startswith(head)}
+
+
+def with_texts(hits: DataFrame, index: DataFrame) -> DataFrame:
+    texts = index.select("id", "text", "metadata", "document_id", F.col("chunk_index").alias("index"), F.col("heading_path").alias("source"))
+    return hits.join(texts, "id")
+
+
+def embedded_questions(questions: DataFrame, dimensions: int, *more: str) -> DataFrame:
+    return vectors.embedded(questions, "query", "vector", dimensions, "query").select("query_id", "vector", *more)
+
+
 def retrieved(index: DataFrame, questions: DataFrame, k: int = 20, dimensions: int = 64, condition: Filter | None = None, min_score: float | None = None, namespace: str | None = None) -> DataFrame:
-    """(query_id, query) -> hits of an index table: query_id, id, score, rank, text, document_id, index, source."""
-    rows = index if namespace is None else index.where(F.col("namespace") == namespace)
+    """(query_id, query) -> hits of an index table: query_id, id, score, rank, text, metadata, document_id, index, source.
+
+    ``namespace``: None for the records without one. The filter sees the records'
+    metadata, and their document_id; what it says of declared fields reaches the
+    scan.
+    """
+    rows = in_namespace(index, namespace)
     if condition is not None:
-        fields = F.parse_json(F.to_json(F.struct("document_id", "heading_path", "namespace")))
-        rows = rows.where(compiled(condition, fields))
-    asked = vectors.embedded(questions, "query", "vector", dimensions, "query").select("query_id", "vector")
-    hits = retrieve.batch_top_k(rows, asked, k, min_score=min_score)
-    texts = rows.select("id", "text", "document_id", F.col("chunk_index").alias("index"), F.col("heading_path").alias("source"))
-    return hits.join(texts, "id")
+        rows = rows.where(visible(rows, condition))
+        if (pushed := implied(condition, declared(index))) is not None:
+            rows = rows.where(pushed)
+    hits = retrieve.batch_top_k(rows, embedded_questions(questions, dimensions), k, min_score=min_score)
+    return with_texts(hits, rows)
+
+
+def masked(rows: DataFrame, conditions: list[Filter]) -> Column:
+    """A bit vector for each record, as words of 64 bits: bit n says whether it passes the n-th filter."""
+    bits = [F.shiftleft(visible(rows, c).cast("bigint"), n % 64) for n, c in enumerate(conditions)]
+    words = [reduce(lambda a, b: a.bitwiseOR(b), bits[n : n + 64]) for n in range(0, len(bits), 64)]
+    return F.array(*words)
 
 
-def retrieved_for(index: DataFrame, questions: DataFrame, filters: dict[str, Filter], by: str = "principal", **options) -> DataFrame:
+def retrieved_for(index: DataFrame, questions: DataFrame, filters: dict[str, Filter], by: str = "principal", k: int = 20, dimensions: int = 64, min_score: float | None = None, namespace: str | None = None) -> DataFrame:
     """(query_id, query, principal): each question sees only what the filter of its principal lets through; one without a filter sees nothing.
 
-    A search for each filter, over the questions that it holds for.
+    One search for all: every record gets a bit for each different filter, in one
+    projection, and a query's scores are masked by its own. Scans do not grow with
+    the number of principals.
     """
-    out = None
-    for name, condition in filters.items():
-        hits = retrieved(index, questions.where(F.col(by) == name).drop(by), condition=condition, **options)
-        out = hits if out is None else out.unionByName(hits)
-    return out if out is not None else retrieved(index, questions.drop(by).limit(0), **options)
+    rows = in_namespace(index, namespace)
+    conditions = list({json.dumps(f.to_json(), sort_keys=True): f for f in filters.values()}.values())
+    if not conditions:
+        return with_texts(retrieve.batch_top_k(rows, embedded_questions(questions, dimensions).limit(0), k), rows)
+    number = {json.dumps(f.to_json(), sort_keys=True): n for n, f in enumerate(conditions)}
+    bit_of = questions.sparkSession.createDataFrame([(name, number[json.dumps(f.to_json(), sort_keys=True)]) for name, f in filters.items()], f"`{by}` string, bit int")
+    asked = embedded_questions(questions.join(bit_of, by), dimensions, "bit")
+    hits = retrieve.batch_top_k(rows.withColumn("bits", masked(rows, conditions)), asked, k, min_score=min_score, bits=True)
+    return with_texts(hits, rows)
 
 
 def answers(index: DataFrame, questions: DataFrame, k: int = 20, budget: int = 4000, dimensions: int = 64, policy: str = "abstain") -> DataFrame:
