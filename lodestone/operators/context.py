@@ -60,21 +60,28 @@ def packed(hits: DataFrame, budget: int = 4000, preamble: str = "", deduplicate:
     return out.withColumn("detail", detail).select(*hits.columns, "cost", "dropped", "detail")
 
 
+ORDERINGS = ("relevance", "document_order", "relevance_with_edges")
+
+
+def all_orders(items: DataFrame, names: tuple[str, ...] = ORDERINGS) -> DataFrame:
+    """Items (query_id, id, score, document_id, index) with their position in the prompt, from 0, by each ordering, in columns of their names.
+
+    The items are dealt by query_id once, for all orderings.
+    """
+    own = Window.partitionBy("query_id")
+    by_score = F.row_number().over(own.orderBy(F.desc("score"), "id")) - 1
+    rows = items.withColumns({"_place": by_score, "_n": F.count(F.lit(1)).over(own)})
+    # the strongest first, the next last, and so on inwards
+    edge = F.when(F.col("_place") % 2 == 0, F.col("_place") / 2).otherwise(F.col("_n") - 1 - (F.col("_place") - 1) / 2)
+    places = {"relevance": F.col("_place"), "document_order": F.row_number().over(own.orderBy("document_id", "index", "id")) - 1, "relevance_with_edges": edge.cast("int")}
+    return rows.withColumns({n: places[n] for n in names}).drop("_place", "_n")
+
+
 def ordered(items: DataFrame, ordering: str = "relevance") -> DataFrame:
-    """Items (query_id, id, score, document_id, index) with their position in the prompt, from 0."""
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    place = F.row_number().over(by_score) - 1
-    if ordering == "relevance":
-        return items.withColumn("position", place)
-    if ordering == "document_order":
-        return items.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("document_id", "index", "id")) - 1)
-    if ordering == "relevance_with_edges":
-        # the strongest first, the next last, and so on inwards
-        n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
-        rows = items.withColumns({"_place": place, "_n": n})
-        edge = F.when(F.col("_place") % 2 == 0, F.col("_place") / 2).otherwise(F.col("_n") - 1 - (F.col("_place") - 1) / 2)
-        return rows.withColumn("position", edge.cast("int")).drop("_place", "_n")
-    raise ValueError(f"unknown ordering {ordering!r}")
+    """Items with their position in the prompt, from 0."""
+    if ordering not in ORDERINGS:
+        raise ValueError(f"unknown ordering {ordering!r}")
+    return all_orders(items, (ordering,)).withColumnRenamed(ordering, "position")
 
 
 def cited(items: DataFrame, style: str = "numeric") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,52 @@ def suite_metrics(cases: DataFrame) -> DataFrame:
     return means.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").alias("value")) for c in metrics])).alias("m")).select("m.*")
 
 
-def percentile_latency(rows: DataFrame, column: str) -> DataFrame:
+#: So many different values are looked at on the driver; a range of more is cut down first. The sketch's error in rank.
+FEW_VALUES, RANK_ERROR = 10_000, 1e-3
+
+
+def order_statistics(rows: DataFrame, column: str, ranks: list[int], few: int = FEW_VALUES, error: float = RANK_ERROR) -> dict[int, float]:
+    """The values at some ranks (from 0) among the values of a column that are not null; exact, and no group holds them all.
+
+    For each rank, sketches give a range of values that surely holds it, counts
+    say how many values are below, and the range is cut down again until it has
+    few different values. Of those, the driver gets counts.
+    """
+    values = rows.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
+    out: dict[int, float] = {}
+    for k in sorted(set(ranks)):
+        inside, below = values, 0
+        while True:
+            counts = inside.groupBy("v").count().orderBy("v").limit(few + 1).collect()
+            if len(counts) <= few:
+                break
+            m = inside.count()
+            at = (k - below) / m
+            lo, hi = inside.approxQuantile("v", [max(0.0, at - 2 * error), min(1.0, at + 2 * error)], error)
+            under, ends = inside.agg(F.count_if(F.col("v") < lo), F.struct(F.count_if(F.col("v") == lo).alias("lo"), F.count_if(F.col("v") <= hi).alias("upto"), F.count_if(F.col("v") == hi).alias("hi"))).first()
+            for value, first, n in ((lo, under, ends.lo), (hi, ends.upto - ends.hi, ends.hi)):
+                if below + first <= k < below + first + n:
+                    out[k] = value
+            if k in out:
+                break
+            # neither end is the value, so it is between them: each cut leaves fewer
+            inside, below = inside.where((F.col("v") > lo) & (F.col("v") < hi)), below + under + ends.lo
+        for r in counts if k not in out else []:
+            if below <= k < below + r["count"]:
+                out[k] = r.v
+                break
+            below += r["count"]
+    return out
+
+
+def percentile_latency(rows: DataFrame, column: str, **limits) -> DataFrame:
     """The median and the interpolated 95th percentile; 0 without rows."""
-    p = lambda q: F.coalesce(F.percentile(column, F.lit(q)), F.lit(0.0))
-    return rows.agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
+    n = rows.where(F.col(column).isNotNull()).count()
+    places = {q: q * (n - 1) for q in (0.5, 0.95)}
+    ranks = [r for at in places.values() for r in (math.floor(at), math.ceil(at))] if n else []
+    found = order_statistics(rows, column, ranks, **limits)
+    p = [found[math.floor(at)] + (at - math.floor(at)) * (found[math.ceil(at)] - found[math.floor(at)]) if n else 0.0 for at in places.values()]
+    return rows.sparkSession.createDataFrame([tuple(p)], "p50 double, p95 double")
 
 
 def poisoned_sum(cost: Column) -> Column:

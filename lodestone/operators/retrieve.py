@@ -216,17 +216,19 @@ def fused(hits: DataFrame, k: int, constant: int = 60) -> DataFrame:
 
 
 def windows_of(text: Column, size: int) -> Column:
-    """The distinct runs of ``size`` words of a text, lower-cased."""
-    words = F.filter(F.split(F.lower(collapse(text)), " "), lambda w: w != "")
-    runs = lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - size), lambda i: F.array_join(F.slice(ws, i + 1, size), " "))
-    bound = F.get(F.transform(F.array(words), lambda ws: F.when(F.size(ws) >= size, runs(ws)).otherwise(F.array().cast("array<string>"))), F.lit(0))
-    return F.array_distinct(bound)
+    """The distinct runs of ``size`` words of a text, lower-cased, as 64-bit hashes."""
+    words = F.split(F.trim(F.lower(collapse(text))), " ")
+    runs = lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - size), lambda i: F.xxhash64(*[F.get(ws, i + n) for n in range(size)]))
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(F.get(F.transform(F.array(words), lambda ws: F.when(F.size(ws) >= size, runs(ws)).otherwise(none)), F.lit(0)))
 
 
 def shared_windows(records: DataFrame, queries: DataFrame, k: int, size: int = 3) -> DataFrame:
     """(query_id, id, score, rank): for each query (query_id, query) the records (id, text) that have most of its word windows, ties by id.
 
-    An equi-join of windows; what is shuffled beside them is a count for each pair that has any in common.
+    An equi-join of windows, as hashes: a window of a record counts for one of a
+    query's by chance once in 2**64 pairs. What is shuffled beside them is a count
+    for each pair that has any in common.
     """
     own = queries.select("query_id", F.explode(windows_of(F.col("query"), size)).alias("window"))
     there = records.select("id", F.explode(windows_of(F.col("text"), size)).alias("window"))

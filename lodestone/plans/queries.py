@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import guards, ids, tokens, vectors
 from lodestone.functions.filters import Field, all_of, any_of, compiled
 from lodestone.operators import chunk, context, evaluate, parse, retrieve, sync, usage, validate
+from lodestone.plans import answer
 from lodestone.sources import files, tables
 
 QUERIES: dict = {}
@@ -412,10 +413,7 @@ SELECT query_id, id, CAST(n AS INTEGER) AS relevance, CAST(d AS INTEGER) AS docu
 )
 def context_orders(spark, sf_dir):
     """The three orders of a prompt."""
-    h = hits(spark, sf_dir)
-    part = lambda name, to: context.ordered(h, name).select("query_id", "id", F.col("position").cast("int").alias(to))
-    keys = ["query_id", "id"]
-    return part("relevance", "relevance").join(part("document_order", "document_order"), keys).join(part("relevance_with_edges", "edges"), keys)
+    return context.all_orders(hits(spark, sf_dir)).select("query_id", "id", *[F.col(c).cast("int").alias(c) for c in ("relevance", "document_order")], F.col("relevance_with_edges").cast("int").alias("edges"))
 
 
 @query(
@@ -620,6 +618,75 @@ def filter_rows(spark, sf_dir):
     return rows.select("event_id", F.concat(*[F.when(compiled(node, F.col("m")), "1").otherwise("0") for node, _ in FILTERS.values()]).alias("matched"))
 
 
+# --- retrieval over an index with metadata and namespaces ------------------------------------------
+
+#: For each operator a filter over the metadata below, and the same over DuckDB's columns.
+INDEX_FILTERS = {
+    "eq": (Field("tenant").eq("en"), "tenant = 'en'"),
+    "ne": (Field("tenant").ne("en"), "tenant <> 'en'"),
+    "in": (Field("tenant").in_(["de", "fr"]), "tenant IN ('de', 'fr')"),
+    "nin": (Field("tenant").nin(["de", "fr"]), "tenant NOT IN ('de', 'fr')"),
+    "gt": (Field("year").gt(2024), "year > 2024"),
+    "gte": (Field("year").gte(2024), "year >= 2024"),
+    "lt": (Field("year").lt(2022), "year < 2022"),
+    "lte": (Field("year").lte(2022), "year <= 2022"),
+    "contains": (Field("tags").contains("src7"), "source = 'src7'"),
+    "exists": (Field("public").exists(), "label % 2 = 0"),
+    "and": (Field("tenant").eq("en") & Field("year").gte(2024), "tenant = 'en' AND year >= 2024"),
+    "or": (Field("tenant").eq("es") | Field("year").lt(2021), "tenant = 'es' OR year < 2021"),
+    "not": (~Field("public").exists(), "label % 2 <> 0"),
+}
+INDEX_SQL = f"""i AS (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS s, label, lang AS tenant, source, 2020 + n_chars % 8 AS year,
+  CASE label % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'label' || (label % 4) END AS namespace FROM embeddings JOIN documents ON vec_id = doc_id, {VECTOR_0})"""
+
+
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as index records: the metadata are those of the document of the same number; a field is absent from every other label."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
+    public = F.when(F.col("label") % 2 == 0, True)
+    metadata = F.to_json(F.struct(F.col("lang").alias("tenant"), (2020 + F.col("n_chars") % 8).alias("year"), F.array("lang", "source").alias("tags"), public.alias("public")))
+    namespace = F.when(F.col("label") % 4 == 1, "").when(F.col("label") % 4 > 1, F.concat(F.lit("label"), (F.col("label") % 4).cast("string")))
+    return records(spark, sf_dir).join(d, "id").select("id", "vector", namespace.alias("namespace"), F.parse_json(metadata).alias("metadata"), F.lit(None).cast("string").alias("document_id"))
+
+
+@query(
+    "WITH "
+    + INDEX_SQL
+    + ", f AS ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS filter, id, s FROM i WHERE {sql}" for name, (_, sql) in INDEX_FILTERS.items())
+    + ") SELECT filter, id AS vec_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY filter ORDER BY s DESC, id) - 1 AS INTEGER) AS rank FROM f QUALIFY rank < 5"
+)
+def masked_filters(spark, sf_dir):
+    """The five nearest records that each of thirteen filters lets through: one search, masked by a bit for each filter."""
+    rows = index_rows(spark, sf_dir)
+    asked = spark.createDataFrame([(name, n) for n, name in enumerate(INDEX_FILTERS)], "query_id string, bit int").join(records(spark, sf_dir).where("id = 0").select("vector"))
+    rows = rows.withColumn("bits", answer.masked(rows, [f for f, _ in INDEX_FILTERS.values()]))
+    hits = retrieve.batch_top_k(rows, asked, 5, bits=True)
+    return hits.select(F.col("query_id").alias("filter"), F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"WITH {INDEX_SQL} SELECT namespace, id AS vec_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY namespace ORDER BY s DESC, id) - 1 AS INTEGER) AS rank FROM i QUALIFY rank < 3")
+def namespace_isolation(spark, sf_dir):
+    """The three nearest records of each namespace; that of records without one is not the empty one."""
+    rows, out = index_rows(spark, sf_dir), None
+    first = records(spark, sf_dir).where("id = 0").select(F.lit(0).alias("query_id"), "vector")
+    for namespace in (None, "", "label2", "label3"):
+        hits = retrieve.batch_top_k(answer.in_namespace(rows, namespace), first, 3)
+        own = hits.select(F.lit(namespace).cast("string").alias("namespace"), F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("""SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score,
+  CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, e.vec_id) - 1 AS INTEGER) AS rank
+FROM embeddings e, embeddings q QUALIFY rank < 3""")
+def knn_grid(spark, sf_dir):
+    """The three nearest vectors of every vector, in a grid of blocks of both."""
+    rows = records(spark, sf_dir)
+    hits = retrieve.batch_top_k(rows, rows.select(F.col("id").alias("query_id"), "vector"), 3, most_broadcast=256)
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 @query(
     r"""WITH p AS (SELECT doc_id, generate_subscripts(ls, 1) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 s AS (SELECT doc_id, line, sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY n) - length(line) - 2 AS b FROM p)

@@ -347,3 +347,14 @@ def test_queries_equal_their_sql(spark):
             assert sorted(rows) == sorted(tuple(str(x[k]) for k in order) for x in want.fetchall()), name
 
 
+
+
+def test_exact_quantiles_without_one_group(spark):
+    rows = spark.range(4000).select((F.rand(1) * F.when(F.rand(2) < 0.01, 1e9).otherwise(3)).alias("v")).unionByName(spark.range(900).select(F.lit(1.5).alias("v"))).unionByName(spark.range(2).select(F.lit(None).cast("double").alias("v")))
+    rows = spark.createDataFrame(rows.collect(), "v double")
+    want = rows.agg(F.percentile("v", F.lit(0.5)).alias("p50"), F.percentile("v", F.lit(0.95)).alias("p95")).first()
+    for few in (10_000, 20):
+        got = evaluate.percentile_latency(rows, "v", few=few, error=0.01).first()
+        assert got.p50 == pytest.approx(want.p50, rel=1e-12) and got.p95 == pytest.approx(want.p95, rel=1e-12)
+    assert evaluate.order_statistics(rows, "v", [0, 4899], few=3, error=0.01) == {0: rows.agg(F.min("v")).first()[0], 4899: rows.agg(F.max("v")).first()[0]}
+    assert tuple(evaluate.percentile_latency(rows.limit(0), "v").first()) == (0.0, 0.0)
