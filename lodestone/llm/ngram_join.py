@@ -10,8 +10,9 @@ is at least s (n + m) / (1 + s), and this bound cuts the product three times:
    are multiplied over the whole corpus, column by column. The rows of every
    third column are counted exactly; the order begins with these columns.
 2. The first common column of a pair stands at some place of either row; what is
-   left of the shorter rest bounds the overlap, so most pairs of a column go
-   before they are rows of a table.
+   left of the shorter rest bounds the overlap. So do the parities of groups of
+   columns: two rows differ at least where their parities do. Most pairs of a
+   column go by these two before they are rows of a table.
 3. The entries that are left are computed from whole rows, in blocks of rows by
    rows; overlaps are accumulated column block by column block, and a pair is
    dropped as soon as the columns still to come cannot lift it to the bound.
@@ -51,6 +52,8 @@ from lodestone.llm.simhash import shingle_hashes
 
 #: One in so many columns, by hash, has its rows counted: more columns than a head has, so that heads hold rare ones, see ``shared_columns``.
 COUNTED = 3
+#: Names of the columns of a set's parities.
+PARITIES = ("odd0", "odd1", "odd2", "odd3")
 #: One side of a block of the product: shingles and rows; blocks at least; column blocks of each.
 BLOCK_SHINGLES, BLOCK_ROWS, LEAST_BLOCKS, COLUMN_BLOCKS = 1 << 20, 2000, 4, 4
 
@@ -87,6 +90,15 @@ def names_of(sets: list[np.ndarray], seed: int) -> list[pa.Array]:
     return [pa.array(np.array([x >> shift & (1 << 64) - 1 for x in names], np.uint64).view(np.int64)) for shift in (0, 64)]
 
 
+def parities(sets: list[np.ndarray]) -> list[pa.Array]:
+    """For each set, which of 256 groups of columns have an odd number of its columns, as four longs."""
+    odd = np.zeros((len(sets), 64 * len(PARITIES)), bool)
+    for k, own in enumerate(sets):
+        odd[k] = np.bincount((own >> np.uint64(20)).astype(np.int64) % odd.shape[1], minlength=odd.shape[1]) & 1
+    words = np.packbits(odd, axis=1, bitorder="little").view(np.int64).reshape(len(sets), len(PARITIES))
+    return [pa.array(np.ascontiguousarray(words[:, k])) for k in range(len(PARITIES))]
+
+
 def listed(arrays: list[np.ndarray]) -> pa.ListArray:
     """Arrays of hashes as lists of signed 64-bit integers."""
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
@@ -95,9 +107,9 @@ def listed(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def named_rows(documents: DataFrame, like: Similarity, seed: int) -> DataFrame:
-    """(doc_id, set, other, n, counted, filler) of every row of ``documents`` (doc_id, text).
+    """(doc_id, set, other, n, odd0 to odd3, counted, filler) of every row of ``documents`` (doc_id, text).
 
-    set, other: two hashes of its set; n: the set's size; counted: the columns
+    set, other: two hashes of its set; n: the set's size; odd: see ``parities``; counted: the columns
     whose documents will be counted; filler: the first of the others, where the
     counted ones are fewer than a head.
     """
@@ -109,18 +121,18 @@ def named_rows(documents: DataFrame, like: Similarity, seed: int) -> DataFrame:
             some = [x % COUNTED == 0 for x in sets]
             counted = [x[c] for x, c in zip(sets, some)]
             filler = [x[~c][: max(0, like.head(len(x)) - int(c.sum()))] for x, c in zip(sets, some)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *names_of(sets, seed), n, listed(counted), listed(filler)], ["doc_id", *[name for name, _ in kinds]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *names_of(sets, seed), n, *parities(sets), listed(counted), listed(filler)], ["doc_id", *[name for name, _ in kinds]])
 
-    kinds = [("set", T.LongType()), ("other", T.LongType()), ("n", T.IntegerType()), ("counted", T.ArrayType(T.LongType())), ("filler", T.ArrayType(T.LongType()))]
+    kinds = [("set", T.LongType()), ("other", T.LongType()), ("n", T.IntegerType()), *[(c, T.LongType()) for c in PARITIES], ("counted", T.ArrayType(T.LongType())), ("filler", T.ArrayType(T.LongType()))]
     return documents.mapInArrow(run, T.StructType([T.StructField("doc_id", documents.schema[0].dataType), *[T.StructField(*x) for x in kinds]]))
 
 
 def named_sets(documents: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame, int]:
-    """The rows of ``documents`` and their distinct sets (set, first_doc, copies, n), written, and the names' seed. Names that two sets share are all made anew."""
+    """The rows of ``documents`` and their distinct sets (set, first_doc, copies, n, odd0 to odd3), written, and the names' seed. Names that two sets share are all made anew."""
     seed = 0
     while True:
         rows = written(named_rows(documents, like, seed), "rows")
-        own = [F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), (F.min("other") < F.max("other")).alias("mixed")]
+        own = [F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", *PARITIES)], (F.min("other") < F.max("other")).alias("mixed")]
         sets = written(rows.where("n > 0").groupBy("set").agg(*own), "distinct_sets")
         if sets.where("mixed").isEmpty():
             return rows, sets.drop("mixed"), seed
@@ -168,11 +180,18 @@ def star(entries: DataFrame, like: Similarity) -> DataFrame:
 
 
 def crossing(entries: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
-    """(a, b): pairs of different roots with a common column, where their sizes allow it. ``roots``: (set, root)."""
+    """(a, b): pairs of different roots with a common column, where their sizes and parities allow it. ``roots``: (set, root, odd0 to odd3).
+
+    A group of columns of which two sets have an even and an odd number has a
+    column of one set alone, so the sets differ in as many columns at least as
+    there are such groups.
+    """
     known = entries.select("shingle", "set", "n", "place").join(roots, "set")
-    side = lambda c: known.select("shingle", *[F.col(x).alias(f"{c}_{x}") for x in ("set", "n", "place", "root")])
+    side = lambda c: known.select("shingle", *[F.col(x).alias(f"{c}_{x}") for x in ("set", "n", "place", "root", *PARITIES)])
     close = like.reached("least(a_n - a_place, b_n - b_place)", "a_n + b_n")
-    pairs = side("a").join(side("b"), "shingle").where(f"a_set < b_set AND a_root <> b_root AND {close}")
+    apart = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in PARITIES)
+    alike = f"{100 + like.percent} * (a_n + b_n - ({apart})) >= {2 * like.percent} * (a_n + b_n)"
+    pairs = side("a").join(side("b"), "shingle").where(f"a_set < b_set AND a_root <> b_root AND {close} AND {alike}")
     return pairs.select(F.col("a_set").alias("a"), F.col("b_set").alias("b")).distinct()
 
 
@@ -266,7 +285,7 @@ def similar_groups(documents: DataFrame, like: Similarity = CONTRACT, broadcast_
     near_hubs = written(star(entries, like), "hub_pairs")
     found = check(near_hubs)
     rooted = with_roots(sets, found, "families")
-    pairs = crossing(entries, rooted.select("set", "root"), like).join(near_hubs, ["a", "b"], "left_anti")
+    pairs = crossing(entries, rooted.select("set", "root", *PARITIES), like).join(near_hubs, ["a", "b"], "left_anti")
     rooted = with_roots(sets, found.unionByName(check(written(pairs, "crossing_pairs"))), "rooted_sets")
     # a table of its own, so that the join can split the rows of one large component; documents that are alone need no row in it
     groups = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.sum("copies").alias("documents")).where("documents > 1")
