@@ -127,7 +127,7 @@ def test_oracles_agree(spark):
 
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
     sql = __spark_entry__.oracle_sql()
     for name, f in __spark_entry__.queries().items():
