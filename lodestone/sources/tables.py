@@ -45,7 +45,7 @@ class Store:
     """The versions of the tables below one path."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.own = spark, path.rstrip("/"), uuid.uuid4().hex
 
     def _hadoop(self, *names: str):
         """A path below the store and its file system."""
@@ -89,12 +89,13 @@ class Store:
 
     def staged(self, df: DataFrame, name: str) -> DataFrame:
         """``df``, computed once: what several tables of a run are made from."""
-        path = f"{self.path}/_staging/{name}-{uuid.uuid4().hex}"
+        path = f"{self.path}/_staging/{self.own}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear_staging(self) -> None:
-        path, fs = self._hadoop("_staging")
+        """What this store has staged; another writer's stays."""
+        path, fs = self._hadoop("_staging", self.own)
         fs.delete(path, True)
 
 

@@ -127,7 +127,7 @@ def test_listing_and_stream(spark, tmp_path):
     assert set(got) == {"sub/b.txt"} and got["sub/b.txt"].folder == "sub" and got["sub/b.txt"].size_bytes == 10
     full = files.fetched(spark, str(root), files.listing(spark, str(root)))
     assert {(x.id, bytes(x.content)) for x in full.collect()} == {("a.md", b"# T\n\nSome text of the document."), ("sub/b.txt", b"plain text")}
-    table = chunk_table(spark, str(tmp_path / "chunks"))
+    table = chunk_table(tables.Store(spark, str(tmp_path / "store")))
     for text in (None, "# T\n\nOther text.\n\n# U\n\nMore."):
         if text:
             (root / "d.md").write_text(text)
@@ -263,7 +263,8 @@ def test_stream_ids_and_quarantine(spark, tmp_path):
         (root / folder).mkdir(parents=True)
         (root / folder / "x.md").write_text(f"# T\n\nText of {folder}.")
     (root / "a" / "empty.md").write_text(" ")
-    table, bad = chunk_table(spark, str(tmp_path / "chunks")), quarantine_table(spark, str(tmp_path / "bad"))
+    store = tables.Store(spark, str(tmp_path / "store"))
+    table, bad = chunk_table(store), quarantine_table(store)
     for folder in ("a", "b"):
         sync_stream(spark, str(root / folder), table, str(tmp_path / f"cp{folder}"), source_id=folder, quarantine=bad).awaitTermination()
     want = {r[0] for r in spark.createDataFrame([("a", "x.md"), ("b", "x.md")], "s string, p string").select(document_id(F.col("s"), F.col("p"))).collect()}

@@ -117,4 +117,4 @@ def test_a_stream_commits_chunks_and_quarantine_at_once(spark, tmp_path):
     (docs / "c.md").write_text("# C\n\nAnother text has some words too.\n")
     run()
     assert store.snapshot().version == 2 and held.read().count() == 1 and chunks.read().select("document_id").distinct().count() == 2
-    assert not os.path.exists(tmp_path / "store" / "_staging")
+    assert os.listdir(tmp_path / "store" / "_staging") in ([], [f".{store.own}.crc"])
