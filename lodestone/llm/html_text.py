@@ -12,7 +12,9 @@ headings. So it is the same whatever elements are called. Names only do this:
 * scripts, styles, menus, forms and the like are no text, by their tag or role;
 * an element all of whose class or id is a word like ``ad`` or ``cookie-notice``
   is left out, and of the sums too, unless it holds an article, a heading with
-  paragraphs or the core that there is with it;
+  paragraphs or the core that there is with it, and nothing else has half as much;
+* so is one whose class or id begins or ends with a word like ``comments``, unless
+  it holds an article, a first heading, or all that is like an article;
 * sparse elements beside the core stay if they are in an ``article`` with it.
 
 Inside the article nothing more is dropped. Text is cut into blocks by block
@@ -41,10 +43,10 @@ from pyspark.sql import types as T
 from lodestone.llm.arrowtext import pieces
 from lodestone.llm.shared import unused
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*)>""",
-    re.S,
-)
+#: Comments, sections of characters, declarations, and what begins a tag.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?]|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)", re.S)
+#: What stands before the next quote or end of a tag.
+PLAIN = re.compile(r"[^>\"']*+")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: The words of a class or id: runs of letters, cut where a capital follows a small letter.
@@ -79,42 +81,48 @@ OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 OUT_WORDS = frozenset(
     "ad ads adbox adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar sidenav aside rail menu mainmenu navmenu submenu nav topnav subnav navbar navigation breadcrumb breadcrumbs footer cookie cookies cookiebar consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus discussion widget widgets toolbar pagination pager login search searchbox masthead skip topbar hidden".split()
 )
+#: Names of reader comments, by their first or last word, and words that make it a name of something else.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus".split())
+OF_ANOTHER = frozenset("with has have no without hide show allow open opened closed enabled disabled allowed on off".split())
 HEADER_WORDS = frozenset("header pageheader siteheader".split())
 KEPT_TAGS = frozenset("html body main".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "chars", "links", "tags", "link_tags", "density", "sum", "marked")
+    __slots__ = ("tag", "parent", "parts", "out", "chars", "links", "tags", "link_tags", "density", "sum", "marked", "comment")
 
     def __init__(self, tag: str, parent: Node | None, out: bool = False):
         self.tag, self.parent, self.out = tag, parent, out
-        self.marked = False
+        self.marked = self.comment = False
         self.parts: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def marks(tag: str, rest: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is no part of an article by its tag, role or being hidden, and whether a class or id says so.
+def marks(tag: str, rest: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is no part of an article by its tag, role or being hidden, whether a class or id says so, and whether one names reader comments.
 
-    A class or the id says so if all words of a whole name do: cookie-notice does, with-sidebar does not.
+    A class or the id says so if all words of a whole name do: cookie-notice does,
+    with-sidebar does not. Names of comments begin or end with that word:
+    user-comments does, with-comments and comments-open do not.
     """
     if tag in OUT_TAGS or tag == "header" and not in_article:
-        return True, False
+        return True, False, False
     if tag in KEPT_TAGS or not rest:
-        return False, False
-    marked = False
+        return False, False, False
+    marked = comment = False
     for name, a, b, c in ATTRIBUTE.findall(rest):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
             for token in value.split():
-                words = {w.lower() for w in WORD.findall(token)}
-                marked |= bool(words) and words <= (OUT_WORDS if in_article else OUT_WORDS | HEADER_WORDS)
+                words = [w.lower() for w in WORD.findall(token)]
+                marked |= bool(words) and OUT_WORDS.union(() if in_article else HEADER_WORDS).issuperset(words)
+                comment |= bool(words) and not COMMENT_WORDS.isdisjoint((words[0], words[-1])) and OF_ANOTHER.isdisjoint((words[0], words[-1]))
         elif name == "role" and value.lower() in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True, False
+            return True, False, False
         elif name == "style" and HIDDEN.search(value):
-            return True, False
-    return False, marked
+            return True, False, False
+    return False, marked, comment
 
 
 class Path:
@@ -176,21 +184,60 @@ class Path:
             self.leave(first)
 
 
+class Ends:
+    """Where the tags of a page end. Quotes that lead to no end are remembered, so none is followed twice."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {mark: html.rfind(mark) for mark in ">\"'"}
+        self.astray: set[int] = set()
+
+    def of(self, place: int) -> int:
+        """The place of the ``>`` that ends the tag whose attributes begin at ``place``, or -1.
+
+        A ``>`` in quotes is none, unless that leaves the tag without an end.
+        """
+        html, at, met = self.html, place, []
+        if place > self.last[">"]:
+            return -1
+        while (at := PLAIN.match(html, at).end()) < len(html):
+            mark = html[at]
+            if mark == ">":
+                return at
+            met.append(at)
+            if at in self.astray or at >= self.last[mark]:
+                break
+            at = html.index(mark, at + 1) + 1
+        self.astray.update(met)
+        return html.find(">", place)
+
+
 def tree(html: str) -> Node:
     """The elements of a page below one root; text and elements in order. Linear in the page."""
     root = Node("html", None)
-    path, place = Path(root), 0
+    path, place, ends = Path(root), 0, Ends(html)
     while (m := TOKEN.search(html, place)) is not None:
+        tag, end = m["tag"], m.end()
+        if tag is not None:
+            end = ends.of(end)
+        elif m[0] in ("<!", "<?"):
+            end = html.find(">", end) if end <= ends.last[">"] else -1
+        if end < 0:
+            # no tag ends from here on: all is text, up to a comment or a section of characters
+            end = min((k for k in (html.find(x, m.start()) for x in ("<!--", "<![CDATA[")) if k >= 0), default=len(html))
+            path.at.parts.append(html[place:end])
+            place = end
+            continue
         if m.start() > place:
             path.at.parts.append(html[place : m.start()])
-        place = m.end()
-        tag = m["tag"] or m["tag2"]
+        rest = html[m.end() : end]
+        place = end + (tag is not None or m[0] in ("<!", "<?"))
         if tag is None:
             if m[0].startswith("<![CDATA["):
                 path.at.parts.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
-        if m["close"] or m["close2"]:
+        if m["close"]:
             path.close(tag)
             continue
         if tag == "html" or tag == "body" and path.at.tag == "html":
@@ -199,7 +246,6 @@ def tree(html: str) -> Node:
                 path.at.parts.append(body)
                 path.enter(body)
             continue
-        rest = m["rest"] if m["tag"] else m["rest2"]
         if tag in RAW:
             if not rest.endswith("/"):
                 end = RAW_ENDS[tag].search(html, place)
@@ -210,7 +256,7 @@ def tree(html: str) -> Node:
             continue
         path.make_room(tag)
         child = Node(tag, path.at)
-        child.out, child.marked = marks(tag, rest, path.last("article") > 0 or path.last("main") > 0)
+        child.out, child.marked, child.comment = marks(tag, rest, path.last("article") > 0 or path.last("main") > 0)
         path.at.parts.append(child)
         path.enter(child)
     if place < len(html):
@@ -258,27 +304,54 @@ def densest(nodes: list[Node], root: Node) -> Node:
     return max((n for n in reversed(nodes) if n.tag in CONTAINERS), key=lambda n: n.sum, default=root)
 
 
+def densest_child(node: Node) -> float:
+    """The density of a node's densest element."""
+    return max((x.density for x in node.parts if isinstance(x, Node) and not x.out), default=0.0)
+
+
+def clear(nodes: list[Node]) -> None:
+    """Forget what ``weigh`` found."""
+    for node in nodes:
+        node.chars = node.links = node.tags = node.link_tags = 0
+        node.density = node.sum = 0.0
+
+
 def spare(root: Node) -> None:
-    """Take marked elements out, but for those that hold an article or main element, a heading with paragraphs, or the core of the page."""
+    """Take marked elements out, but for those that hold an article or main element or a heading with paragraphs, and reader comments, but for those that hold an article or a first heading.
+
+    If the core of the page is in one that goes, and nothing else is like an
+    article (half as dense as the comments, or half the core's sum), it stays.
+    """
     nodes = in_order(root)
-    if not any(n.marked for n in nodes):
+    if not any(n.marked or n.comment for n in nodes):
         return
     weigh(root)
-    held: set[Node] = set()
-    node: Node | None = densest(nodes, root)
-    while node is not None:
-        held.add(node)
-        node = node.parent
-    holds: dict[Node, tuple[bool, bool, int]] = {}
+    core = densest(nodes, root)
+    dense, total = densest_child(core), core.sum
+    # (an article or main element, a first heading, any heading, paragraphs)
+    holds: dict[Node, tuple[bool, bool, bool, int]] = {}
     for node in reversed(nodes):
         own = [holds[x] for x in node.parts if isinstance(x, Node) and not x.out]
-        named, heading, paragraphs = any(x[0] for x in own), any(x[1] for x in own), sum(x[2] for x in own)
-        node.out = node.marked and not (named or node.tag == "article" or heading and paragraphs > 1 or node in held)
+        named, first, heading, paragraphs = any(x[0] for x in own), any(x[1] for x in own), any(x[2] for x in own), sum(x[3] for x in own)
+        if node.comment:
+            node.out = not (named or first)
+        elif node.marked:
+            node.out = not (named or node.tag == "article" or heading and paragraphs > 1)
         filled = node.chars > 0
-        holds[node] = (named or filled and node.tag in ("article", "main"), heading or filled and node.tag in HEADINGS, paragraphs + (filled and node.tag == "p"))
-    for node in nodes:
-        node.chars = node.links = node.tags = node.link_tags = 0
-        node.density = node.sum = 0.0
+        holds[node] = (
+            named or filled and node.tag in ("article", "main"),
+            first or filled and node.tag == "h1",
+            heading or filled and node.tag in HEADINGS,
+            paragraphs + (filled and node.tag == "p"),
+        )
+    clear(nodes)
+    plain = densest(weigh(root), root)
+    like_article, as_much = 2 * densest_child(plain) >= dense, 2 * plain.sum >= total
+    node: Node | None = core
+    while node is not None:
+        node.out = node.out and (like_article if node.comment else as_much)
+        node = node.parent
+    clear(nodes)
 
 
 def article(root: Node) -> list[Node]:

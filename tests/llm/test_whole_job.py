@@ -25,6 +25,51 @@ def test_articles_beside_the_core():
     assert main_text(f"<body><div><article>{STORY}</article><article>{STORY}<p>{P}</p></article></div></body>") == f"{TEXT}\n{TEXT}\n{P}"
 
 
+def test_reader_comments_are_no_article():
+    says = "".join(f"<p>I liked sentence {n} of this story very much, thank you.</p>" for n in range(30))
+    for attributes in ('class="comments"', 'id="comments-section"', 'class="comment-list"', 'class="user-comments"'):
+        for inner in (says, f"<h3>30 comments</h3>{says}", says[: says.index("3 of")] + "</p>", f'<article class="comment-body">{says}</article>'):
+            room = f"<section {attributes}>{inner}</section>"
+            assert main_text(f"<body><article><h1>T</h1>{STORY}</article>{room}</body>") == f"T\n{TEXT}", attributes
+            assert main_text(f"<body><article><h1>T</h1>{STORY}{room}</article></body>") == f"T\n{TEXT}", attributes
+    for name in ("with-comments", "comments-open", "no-comments"):
+        assert main_text(f'<body><article class="{name}">{STORY}</article></body>') == TEXT
+    assert main_text(f'<body><div class="comments">{STORY}</div><p>x</p></body>').startswith(TEXT)
+    assert main_text(f'<body><div class="comment-page"><h1>T</h1>{STORY}</div></body>') == f"T\n{TEXT}"
+
+
+def test_tags_without_an_end_take_linear_time():
+    import time
+
+    begin = time.perf_counter()
+    for piece in ("<a ", '<a "', "<a \"'", "<!", "<?", "<a<b", "<a '\"", "</a '"):
+        for end in ("", ">", "'>"):
+            main_text(piece * 200_000 + end)
+    assert time.perf_counter() - begin < 20
+    assert main_text("<p>a<b 'c<!-- d") == "a<b 'c"
+    assert main_text("<p title=\"it's\">x</p><p title='>y</p><p title=\"a>b\">z</p>") == "x\ny\nz"
+
+
+def test_a_hot_entity_meets_terms_by_the_words_of_its_texts(spark, monkeypatch):
+    """One address in 1,500 texts with 101 telling terms: each text meets the two terms that it has."""
+    texts = [f"a text about nothing {n}" for n in range(2000)] + [f"{n} desk@mail.example.com asks name{'abcdefghij'[n % 10]}{'abcdefghij'[n // 10 % 10]}" for n in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, real = [], pii.written
+
+    def counted(rows, name):
+        out = real(rows, name)
+        if name == "pii_terms":
+            met.extend(x.n for x in out.selectExpr("size(terms) AS n").collect())
+        return out
+
+    monkeypatch.setattr(pii, "written", counted)
+    for broadcast in (200_000, 0):
+        met.clear()
+        rows = pii.all_spans(df, broadcast_rows=broadcast).collect()
+        assert len(met) == 1500 and set(met) == {2}
+        assert all({s.value for s in x.term_spans} == set(texts[x.doc_id].split()[2:]) for x in rows if x.doc_id >= 2000)
+
+
 def test_all_places_of_an_entity_tell(spark):
     r = random.Random(6)
     filler = lambda n: " ".join(r.choices(["river", "stone", "cloud", "table", "green"], k=n))
