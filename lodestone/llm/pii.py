@@ -106,9 +106,9 @@ def terms_in(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), WORD_BREAK)), lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$"))
 
 
-def entity_of(span: str) -> Column:
+def entity_of(span: Column) -> Column:
     """The entity that a span names: its kind and its text in lower case."""
-    return F.concat_ws(":", F.col(f"{span}.kind").cast("string"), F.lower(f"{span}.value"))
+    return F.concat_ws(":", span["kind"].cast("string"), F.lower(span["value"]))
 
 
 def words_near(context: int) -> Column:
@@ -126,7 +126,7 @@ def telling_terms(documents: DataFrame, found: DataFrame, context: int, support:
     n = documents.count()
     held = found.where("key is not null").select("doc_id", "key", "text", F.explode("spans").alias("s"))
     # one row for each entity, text and term, of all places of the entity: copies are one text, and count as documents
-    held = held.select("key", entity_of("s").alias("entity"), F.explode_outer(terms_in(words_near(context))).alias("term"))
+    held = held.select("key", entity_of(F.col("s")).alias("entity"), F.explode_outer(terms_in(words_near(context))).alias("term"))
     each = written(held.distinct(), "pii_contexts")
     rows = found.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
     count = [F.sum("n_rows"), F.count(F.lit(1)).alias("texts")]
@@ -143,16 +143,23 @@ def telling_terms(documents: DataFrame, found: DataFrame, context: int, support:
 
 
 def term_spans(found: DataFrame, telling: DataFrame, broadcast_rows: int, salts: int = 16) -> DataFrame:
-    """(key, term_spans) of the texts in which terms tell of an entity that they hold."""
-    held = found.where("key is not null").select("key", F.explode("spans").alias("s")).select("key", entity_of("s").alias("entity")).distinct()
+    """(key, term_spans) of the texts in which terms tell of an entity that they hold.
+
+    A text meets terms by its own words and not by its entities, of which one may
+    have very many texts and terms. A term tells of few entities: each of them
+    stands beside a share of its occurrences, (n_e / n) ** (1 - disclosure) or more.
+    """
+    one = found.where("key is not null").groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
+    own = one.select("key", F.explode(terms_in(F.col("text"))).alias("term"))
     if telling.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        met = held.join(F.broadcast(telling), "entity")
+        told = own.join(F.broadcast(telling), "term")
     else:
-        # an entity that very many texts hold is dealt to as many tasks as there are salts
+        # a term that very many texts hold is dealt to as many tasks as there are salts
         salted = telling.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        met = held.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(salted, ["entity", "salt"])
+        told = own.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")).join(salted, ["term", "salt"])
+    held = one.select("key", F.explode(F.array_distinct(F.transform("spans", entity_of))).alias("entity"))
+    met = told.join(held, ["key", "entity"], "left_semi")
     terms = written(met.groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms")), "pii_terms")
-    one = found.where("key is not null").groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     hit = one.join(terms, "key").select("key", "spans", spans_of(F.col("text"), pattern, TERM, lambda m: F.lit(True)).alias("more"))
     apart = F.filter("more", lambda x: ~F.exists("spans", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
