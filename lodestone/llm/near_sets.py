@@ -8,9 +8,9 @@ all shingles have one order; two sets of n and m shingles with a Jaccard
 similarity of 4/5 have at least t = 4 (n + m) / 9 of them in common, and the
 first of these in the order is no later than place n - t of the one and m - t of
 the other. The order is free: shingles seen often come last, by counts that need
-not be exact, and the others by their hashes. Pairs whose two fingerprints differ
-far more than those of such sets can are left out; the others of both searches
-are verified on the complete sets, which travel to a grid of blocks, so that a
+not be exact, and the others by their hashes. Pairs of large sets whose two
+fingerprints differ by five deviations more than those of such sets do are left
+out; the others of both searches are verified on the complete sets, which travel to a grid of blocks, so that a
 set is sent once to each block of pairs and not once for each pair.
 
 Copies are one set, and only sets that are of different families are paired. A
@@ -40,7 +40,10 @@ from lodestone.llm.simhash import majority_bits, remixed, shingle_hashes
 #: Shingles that a slice of texts has in so many different sets are counted, and come last from so many in all, up to a bound.
 SEEN_IN_SLICE, OFTEN, MOST_OFTEN = 2, 8, 200_000
 #: Of the 128 bits of two fingerprints, 19 differ on average at a similarity of 4/5, with a deviation of 4: five deviations are left.
-FAR = 40
+#: Small sets deviate further, so the bound holds from so many shingles of both sets together on, and smaller ones are all verified.
+FAR, FAR_FROM = 40, 80
+#: A pair is met at its first common shingle, if the one before it is among so many shingles before this one in both.
+BEFORE = 8
 #: Verification: shingles and sets of one side of a block of pairs.
 BLOCK_SHINGLES, BLOCK_SETS, LEAST_BLOCKS = 1 << 20, 2000, 8
 #: So many fingerprints that look alike in a part are linked without pairs.
@@ -166,8 +169,10 @@ def families(sets: DataFrame, distance: int) -> DataFrame:
 
 
 #: The first common shingle of similar sets is so early in both that 4 (n + m) / 9 shingles can be common from there on.
+#: A pair that has another common shingle just before this one is met there, and is no row here.
 NEAR = f"""a_set < b_set AND a_root <> b_root AND 9 * least(a_n - a_place, b_n - b_place) >= 4 * (a_n + b_n)
-  AND bit_count(a_fp ^ b_fp) + bit_count(a_fp2 ^ b_fp2) <= {FAR}"""
+  AND (a_n + b_n < {FAR_FROM} OR bit_count(a_fp ^ b_fp) + bit_count(a_fp2 ^ b_fp2) <= {FAR})
+  AND NOT arrays_overlap(a_before, b_before)"""
 
 
 def crossing(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -176,12 +181,14 @@ def crossing(rows: DataFrame, sets: DataFrame) -> DataFrame:
     copied = sets.where("copies > 1").select("set", "first_doc")
     once = rows.join(copied, "set", "left").where("first_doc IS NULL OR doc_id <=> first_doc")
     # dealt once, for the shingles that are shared and for the join with them
-    keys = once.select("set", F.posexplode("prefix").alias("place", "shingle")).repartition("shingle")
+    placed = once.select("set", "prefix", F.posexplode("prefix").alias("place", "shingle"))
+    before = F.expr(f"slice(prefix, greatest(place - {BEFORE}, 0) + 1, least(place, {BEFORE}))")
+    keys = placed.select("set", "place", "shingle", before.alias("before")).repartition("shingle")
     several = keys.groupBy("shingle").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least < most").select("shingle")
     shared = written(keys.join(several, "shingle"), "shared_shingles")
     fields = ["set", "root", "n", "fp", "fp2"]
     known = written(shared.join(sets.select(*fields), "set"), "shingles_of_sets")
-    side = lambda c: known.select("shingle", *[F.col(x).alias(f"{c}_{x}") for x in (*fields, "place")])
+    side = lambda c: known.select("shingle", *[F.col(x).alias(f"{c}_{x}") for x in (*fields, "place", "before")])
     return side("a").join(side("b"), "shingle").where(NEAR).select(F.col("a_set").alias("a"), F.col("b_set").alias("b")).distinct()
 
 

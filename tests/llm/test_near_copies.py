@@ -72,3 +72,26 @@ def test_a_large_group_of_near_copies(spark):
     want = exact_groups(texts, 5)
     got = near_sets.near_copy_groups(docs_of(spark, texts), 5).collect()
     assert {x.doc_id: x.component_id for x in got} == dict(enumerate(want)) and len(set(want)) < 30
+
+
+def test_short_texts_at_the_stated_similarity_are_found(spark):
+    """4 of 5 shingles: fingerprints of so small sets differ widely, and none of 4,000 pairs is lost."""
+    texts = []
+    for n in range(4000):
+        words = [f"w{n}x{k}" for k in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    got = near_sets.near_copy_groups(docs_of(spark, texts), 5).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_a_crowd_below_the_threshold_is_met_once(spark, monkeypatch):
+    """Pairs with many common shingles are few rows of the join, and none is lost, however few shingles are looked back at."""
+    r = random.Random(3)
+    base = [f"w{n}" for n in range(200)]
+    texts = [" ".join(f"x{r.randrange(10**6)}" if r.random() < 0.03 else w for w in base) for _ in range(150)]
+    want = dict(enumerate(exact_groups(texts, 5)))
+    assert 20 < len(set(want.values()))
+    for before in (1, 8):
+        monkeypatch.setattr(near_sets, "BEFORE", before)
+        got = near_sets.near_copy_groups(docs_of(spark, texts), 5).collect()
+        assert {x.doc_id: x.component_id for x in got} == want
