@@ -52,6 +52,8 @@ from lodestone.llm.simhash import shingle_hashes
 
 #: One in so many columns, by hash, has its rows counted: more columns than a head has, so that heads hold rare ones, see ``shared_columns``.
 COUNTED = 3
+#: A pair is met at its first common column, if the one before it is among so many head columns before this one in both rows.
+BEFORE = 8
 #: Names of the columns of a set's parities.
 PARITIES = ("odd0", "odd1", "odd2", "odd3")
 #: One side of a block of the product: shingles and rows; blocks at least; column blocks of each.
@@ -184,14 +186,17 @@ def crossing(entries: DataFrame, roots: DataFrame, like: Similarity) -> DataFram
 
     A group of columns of which two sets have an even and an odd number has a
     column of one set alone, so the sets differ in as many columns at least as
-    there are such groups.
+    there are such groups. A pair that has another common column just before this
+    one is met there too, at places that allow no less, and is no row here.
     """
-    known = entries.select("shingle", "set", "n", "place").join(roots, "set")
-    side = lambda c: known.select("shingle", *[F.col(x).alias(f"{c}_{x}") for x in ("set", "n", "place", "root", *PARITIES)])
+    # of the windows of places, set by set, the join before them has made the exchange
+    before = F.collect_list("shingle").over(Window.partitionBy("set").orderBy("place").rowsBetween(-BEFORE, -1))
+    known = entries.select("shingle", "set", "n", "place").join(roots, "set").withColumn("before", before)
+    side = lambda c: known.select("shingle", *[F.col(x).alias(f"{c}_{x}") for x in ("set", "n", "place", "before", "root", *PARITIES)])
     close = like.reached("least(a_n - a_place, b_n - b_place)", "a_n + b_n")
     apart = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in PARITIES)
     alike = f"{100 + like.percent} * (a_n + b_n - ({apart})) >= {2 * like.percent} * (a_n + b_n)"
-    pairs = side("a").join(side("b"), "shingle").where(f"a_set < b_set AND a_root <> b_root AND {close} AND {alike}")
+    pairs = side("a").join(side("b"), "shingle").where(f"a_set < b_set AND a_root <> b_root AND {close} AND {alike} AND NOT arrays_overlap(a_before, b_before)")
     return pairs.select(F.col("a_set").alias("a"), F.col("b_set").alias("b")).distinct()
 
 
