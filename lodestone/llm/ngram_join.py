@@ -160,10 +160,11 @@ def shared_columns(rows: DataFrame, sets: DataFrame, like: Similarity, broadcast
     once = one_row_each(rows, sets, broadcast_rows)
     counted = once.select("set", F.explode("counted").alias("shingle"), F.lit(None).cast("int").alias("behind"))
     filler = once.where("size(filler) > 0").select("set", F.posexplode("filler").alias("behind", "shingle"))
-    # dealt once: the number of rows and the join with it both read all three columns of one exchange
-    dealt = counted.unionByName(filler.select(*counted.columns)).repartition("shingle")
-    several = dealt.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("set").alias("least"), F.max("set").alias("most"), F.max("behind").isNotNull().alias("last")).where("least < most")
-    repeated = dealt.join(several.select("shingle", "rows", "last"), "shingle")
+    # dealt once: the number of a column's rows is found beside them, in a window that spills, not joined to a second exchange
+    column = Window.partitionBy("shingle")
+    several = {"rows": F.count(F.lit(1)), "least": F.min("set"), "most": F.max("set"), "behind_most": F.max("behind")}
+    dealt = counted.unionByName(filler.select(*counted.columns)).withColumns({c: f.over(column) for c, f in several.items()})
+    repeated = dealt.where("least < most").withColumn("last", F.col("behind_most").isNotNull()).drop("least", "most", "behind_most")
     sizes = once.select("set", "n", F.size("counted").alias("all"))
     own = F.count(F.when(~F.col("last"), 1)).over(Window.partitionBy("set"))
     number = F.row_number().over(Window.partitionBy("set").orderBy("last", "rows", "shingle"))
