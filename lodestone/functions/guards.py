@@ -147,10 +147,12 @@ def groundedness(answer: Column, passages: Column, least_words: int = 4, least_o
     return F.when(F.size(found) == 0, 1.0).otherwise(F.size(good) / F.size(found))
 
 
-def groundedness_guard(answer: Column, passages: Column, action: str = "flag", least: float = 0.7) -> Column:
+def groundedness_guard(answer: Column, passages: Column, action: str = "flag", least: float = 0.7, answered: Column | None = None) -> Column:
+    """An answer needs enough supported claims. One that is not ``answered`` (abstained, or blocked by another guard) makes none, and is let through."""
     kept = F.array_join(F.filter(claims(answer), lambda c: supported(c, passages)), " ")
     share = groundedness(answer, passages)
-    return result("groundedness", share < least, action, "too few claims are supported", share.cast("string"), kept)
+    failed = share < least if answered is None else F.coalesce(answered, F.lit(True)) & (share < least)
+    return result("groundedness", failed, action, "too few claims are supported", share.cast("string"), kept)
 
 
 def degradations(results: list[Column]) -> Column:

@@ -6,13 +6,13 @@ over a query's hits. Their number is bounded by the top-k before it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.ids import text_hash
-from lodestone.functions.tokens import estimate, estimate_tokens
-
-ORDERINGS = ("relevance", "document_order", "relevance_with_edges")
+from lodestone.functions.tokens import estimate_tokens
 
 
 def item_text(key: Column, source: Column, text: Column) -> Column:
@@ -20,23 +20,24 @@ def item_text(key: Column, source: Column, text: Column) -> Column:
     return F.concat(head, F.lit("\n"), text)
 
 
-def packed(hits: DataFrame, budget: int = 4000, preamble: str = "", deduplicate: bool = True, compatibility: bool = True) -> DataFrame:
+def packed(hits: DataFrame, budget: int = 4000, preamble: str = "", deduplicate: bool = True, compatibility: bool = True, measure: Callable[[Column], Column] = estimate_tokens) -> DataFrame:
     """(query_id, id, score, source, text, ...) with dropped: null, duplicate or token_budget; detail; and cost.
 
     By score, then id: an item that does not fit is passed over, not the end; a
-    text equals those taken, not those passed over.
+    text equals those taken, not those passed over. ``measure``: tokens of a text, see ``tokens.measured``.
     """
     if budget <= 0:
         raise ValueError("the budget must be positive")
-    cost = estimate_tokens(item_text(F.lit("0"), F.col("source"), F.col("text")))
+    cost = measure(item_text(F.lit("0"), F.col("source"), F.col("text")))
     rows = hits.withColumns({"cost": cost, "_hash": text_hash(F.col("text"), compatibility)})
     names = [c for c in rows.columns if c != "query_id"]
+    rows = rows.withColumn("_preamble", measure(F.lit(preamble)))
 
     def by_score(x: Column, y: Column) -> Column:
         return F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)
 
     start = F.struct(
-        F.lit(estimate(preamble)).alias("used"),
+        F.col("_preamble").alias("used"),
         F.array().cast("array<string>").alias("seen"),
         F.array().cast("array<struct<dropped:string,left:int>>").alias("out"),
     )
@@ -52,7 +53,7 @@ def packed(hits: DataFrame, budget: int = 4000, preamble: str = "", deduplicate:
         )
 
     # the whole hit goes through the fold, so a repeated id is met once for each hit
-    sorted_hits = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*names)), by_score).alias("items"))
+    sorted_hits = rows.groupBy("query_id").agg(F.first("_preamble").alias("_preamble"), F.array_sort(F.collect_list(F.struct(*names)), by_score).alias("items"))
     fates = sorted_hits.withColumn("fates", F.aggregate("items", start, take, lambda acc: acc["out"]))
     both = F.zip_with("items", "fates", lambda x, f: F.struct(*[x[n].alias(n) for n in names], f["dropped"].alias("dropped"), f["left"].alias("left")))
     out = fates.select("query_id", F.inline(both))

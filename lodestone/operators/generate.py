@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: How templates name variables and roles.
-VARIABLE = re.compile(r"\{\{\s*([A-Za-z_]\w*)\s*\}\}")
+VARIABLE = re.compile(r"\{\{\s*([a-zA-Z_][a-zA-Z0-9_]*)\s*\}\}")
 ROLE = re.compile(r"^---\s*(system|user|assistant)\s*---\s*$", re.M | re.I)
 ABSTENTION = "I could not find an answer in the sources."
 

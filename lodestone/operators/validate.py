@@ -34,13 +34,25 @@ def rule_of(text: Column, tokens: Column, limits: Limits = Limits()) -> Column:
     )
 
 
+def reason_of(rule: Column, tokens: Column, limits: Limits = Limits()) -> Column:
+    """What is wrong with a chunk, in words."""
+    n = tokens.cast("string")
+    return (
+        F.when(rule == "empty", "no text but white space")
+        .when(rule == "too_long", F.concat(n, F.lit(f" tokens, at most {limits.most_tokens} fit")))
+        .when(rule == "too_short", F.concat(n, F.lit(f" tokens, at least {limits.least_tokens} are wanted")))
+        .when(rule == "boilerplate", f"under {limits.least_alphanumeric:g} of the characters are letters or digits")
+        .when(rule == "duplicate", "an earlier chunk of the document has the same text")
+    )
+
+
 def excerpt(text: Column) -> Column:
     flat = collapse(text)
     return F.when(F.length(flat) > 120, F.concat(F.substring(flat, 1, 120), F.lit("..."))).otherwise(flat)
 
 
 def validated(chunks: DataFrame, limits: Limits = Limits(), compatibility: bool = True) -> DataFrame:
-    """(document_id, index, text, ...) with rule (null: accepted), disposition, quarantined (of the document) and excerpt.
+    """(document_id, index, text, ...) with rule (null: accepted), disposition, quarantined (of the document), reason and excerpt.
 
     A chunk that is too long puts its whole document into quarantine; other
     failures drop the chunk. Rows are shuffled once, by document; both windows use that.
@@ -52,7 +64,7 @@ def validated(chunks: DataFrame, limits: Limits = Limits(), compatibility: bool
     rows = rows.withColumn("rule", F.when(F.col("rule").isNull() & (F.row_number().over(same) > 1), "duplicate").otherwise(F.col("rule")))
     disposition = F.when(F.col("rule") == "too_long", "quarantine_document").when(F.col("rule").isNotNull(), "drop")
     document = Window.partitionBy("document_id")
-    return rows.withColumns({"disposition": disposition, "quarantined": F.bool_or(F.coalesce(F.col("rule") == "too_long", F.lit(False))).over(document), "excerpt": F.when(F.col("rule").isNotNull(), excerpt(F.col("text")))})
+    return rows.withColumns({"disposition": disposition, "quarantined": F.bool_or(F.coalesce(F.col("rule") == "too_long", F.lit(False))).over(document), "reason": reason_of(F.col("rule"), tokens, limits), "excerpt": F.when(F.col("rule").isNotNull(), excerpt(F.col("text")))})
 
 
 def accepted(validation: DataFrame) -> DataFrame:
@@ -60,4 +72,6 @@ def accepted(validation: DataFrame) -> DataFrame:
 
 
 def rejections(validation: DataFrame) -> DataFrame:
-    return validation.where(F.col("rule").isNotNull()).select("document_id", "index", "rule", "disposition", "excerpt")
+    """Why chunks were dropped; chunk_id and source_uri where the chunks have them."""
+    known = [c for c in ("chunk_id", "source_uri") if c in validation.columns]
+    return validation.where(F.col("rule").isNotNull()).select("document_id", *known, "index", "rule", "disposition", "reason", "excerpt")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import guards, ids, tokens, vectors
 from lodestone.functions.filters import Field, all_of, any_of, compiled
 from lodestone.operators import chunk, context, evaluate, parse, retrieve, sync, usage, validate
-from lodestone.plans import answer
+from lodestone.plans import answer, cache
 from lodestone.sources import files, tables
 
 QUERIES: dict = {}
@@ -790,3 +790,43 @@ def recorded_chunks(spark, sf_dir):
     """The chunk manifest after a sync of every fifth document."""
     chunks, known = chunk_manifests(spark, sf_dir)
     return sync.recorded(known.select("document_id", "chunk_id"), chunks.where("document_id % 5 = 0").select("document_id", "chunk_id"))
+
+
+# --- caches and measures in the path --------------------------------------------------------------
+
+
+def word_tokens(text: str) -> int:
+    """A tokenizer that knows words only, and fails on every third length."""
+    if len(text) % 3 == 0:
+        raise ValueError("unknown characters")
+    return len(text.split(" "))
+
+
+MEASURED_SQL = "CASE WHEN (length(text) + 16) % 3 = 0 THEN CAST(ceil((length(text) + 16) / 4.0) AS INTEGER) ELSE CAST(len(string_split('[0] source: doc' || chr(10) || text, ' ')) AS INTEGER) END AS cost"
+
+
+@query(PACK_SQL.replace("CAST(ceil((length(text) + 16) / 4.0) AS INTEGER) AS cost", MEASURED_SQL).replace("> 4000", "> 900") + " SELECT query_id, id, dropped FROM f WHERE n > 0")
+def budget_pack_measured(spark, sf_dir):
+    """Greedy packing by a tokenizer that fails on some texts, which are estimated."""
+    return context.packed(hits(spark, sf_dir), 900, measure=tokens.measured(word_tokens)).select("query_id", "id", "dropped")
+
+
+CACHED_SQL = f"""WITH b AS ({BATCH_SQL}), q AS (SELECT DISTINCT query_id, query_id % 300 = 0 AS known FROM b)
+SELECT query_id, b.vec_id, CASE WHEN known THEN round(-score, 6) ELSE score END AS score, rank, known FROM b JOIN q USING (query_id)"""
+
+
+@query(CACHED_SQL)
+def cached_search(spark, sf_dir):
+    """Searches of which a cache knows some: its entries are marked by negative scores, those of every other query have expired."""
+    rows = records(spark, sf_dir)
+    asked = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector", F.concat(F.lit("retr:"), F.col("id").cast("string")).alias("key"))
+    search = lambda df: retrieve.batch_top_k(rows, df.select(F.col("key").alias("query_id"), "vector"), 10).withColumnRenamed("query_id", "key")
+    marked = search(asked.where("query_id % 200 = 0 OR query_id % 300 = 0")).withColumn("score", -F.col("score"))
+    entries = cache.entries_of(asked.where("query_id % 200 = 0 OR query_id % 300 = 0"), marked, None)
+    number = F.substring("key", 6, 20).cast("bigint")
+    entries = entries.withColumn("expires_at", F.when(number % 300 != 0, 10.0))
+    known, missed = cache.split(asked, entries, 50.0)
+    computed = cache.entries_of(missed, search(cache.once_each(missed)), None)
+    part = lambda df, values, flag: cache.opened(df, values).withColumn("known", F.lit(flag))
+    both = part(known, entries, True).unionByName(part(missed, computed, False))
+    return both.select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank", "known")

@@ -31,6 +31,22 @@ def write_quarantine(rows: DataFrame, path: str) -> None:
     rows.select(*sorted(rows.columns)).write.mode("overwrite").json(path)
 
 
+def write_baseline(suite: str, k: int, metrics: DataFrame, cases: DataFrame, path: str) -> None:
+    """A suite's metrics (metric, value), and those of its cases (query_id, metric, value), as one object, which grows with the suite's cases."""
+    own = metrics.select(F.lit(None).cast("string").alias("case"), "metric", "value")
+    rows = own.unionByName(cases.select(F.col("query_id").cast("string").alias("case"), "metric", "value"))
+    maps = rows.groupBy("case").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("own"))
+    listed = F.collect_list(F.when(F.col("case").isNotNull(), F.struct("case", "own")))
+    whole = maps.agg(F.any_value(F.when(F.col("case").isNull(), F.col("own")), True).alias("metrics"), F.map_from_entries(listed).alias("cases"))
+    whole.select(F.lit(suite).alias("suite"), F.lit(k).alias("k"), "metrics", "cases").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_case_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, metric, baseline) rows of a baseline file."""
+    whole = spark.read.schema("cases MAP<STRING,MAP<STRING,DOUBLE>>").json(path, multiLine=True)
+    return whole.select(F.explode("cases").alias("query_id", "own")).select("query_id", F.explode("own").alias("metric", "baseline"))
+
+
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     """(metric, baseline) rows of a baseline file."""
     whole = spark.read.schema("suite STRING, k INT, metrics MAP<STRING,DOUBLE>").json(path, multiLine=True)
