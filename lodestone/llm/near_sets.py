@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +42,7 @@ SEEN_IN_SLICE, OFTEN, MOST_OFTEN = 2, 8, 200_000
 #: Of the 128 bits of two fingerprints, 19 differ on average at a similarity of 4/5, with a deviation of 4: five deviations are left.
 #: Small sets deviate further, so the bound holds from so many shingles of both sets together on, and smaller ones are all verified.
 FAR, FAR_FROM = 40, 80
-#: A pair is met at its first common shingle, if the one before it is among so many shingles before this one in both.
+#: A pair is met at its first common shingle, if the one before it is among so many shared shingles before this one in both.
 BEFORE = 8
 #: Verification: shingles and sets of one side of a block of pairs.
 BLOCK_SHINGLES, BLOCK_SETS, LEAST_BLOCKS = 1 << 20, 2000, 8
@@ -180,14 +180,16 @@ def crossing(rows: DataFrame, sets: DataFrame) -> DataFrame:
     by an equi-join of the prefixes of ``rows``."""
     copied = sets.where("copies > 1").select("set", "first_doc")
     once = rows.join(copied, "set", "left").where("first_doc IS NULL OR doc_id <=> first_doc")
-    # dealt once, for the shingles that are shared and for the join with them
-    placed = once.select("set", "prefix", F.posexplode("prefix").alias("place", "shingle"))
-    before = F.expr(f"slice(prefix, greatest(place - {BEFORE}, 0) + 1, least(place, {BEFORE}))")
-    keys = placed.select("set", "place", "shingle", before.alias("before")).repartition("shingle")
-    several = keys.groupBy("shingle").agg(F.min("set").alias("least"), F.max("set").alias("most")).where("least < most").select("shingle")
-    shared = written(keys.join(several, "shingle"), "shared_shingles")
+    # one exchange of narrow rows: a shingle's sets are told apart in a window, and what is before it is looked up for shared ones only
+    placed = once.select("set", F.posexplode("prefix").alias("place", "shingle"))
+    same = Window.partitionBy("shingle")
+    counted = placed.withColumn("least", F.min("set").over(same)).withColumn("most", F.max("set").over(same))
+    shared = written(counted.where("least < most").select("set", "place", "shingle"), "shared_shingles")
     fields = ["set", "root", "n", "fp", "fp2"]
-    known = written(shared.join(sets.select(*fields), "set"), "shingles_of_sets")
+    own = shared.groupBy("set").agg(F.array_sort(F.collect_set(F.struct("place", "shingle"))).alias("own"))
+    before = F.expr(f"""flatten(transform(array(own.shingle), s -> transform(own, (x, i) -> named_struct('place', x.place, 'shingle', x.shingle,
+      'before', slice(s, greatest(i - {BEFORE}, 0) + 1, least(i, {BEFORE}))))))""")
+    known = written(own.join(sets.select(*fields), "set").select(*fields, F.inline(before)), "shingles_of_sets")
     side = lambda c: known.select("shingle", *[F.col(x).alias(f"{c}_{x}") for x in (*fields, "place", "before")])
     return side("a").join(side("b"), "shingle").where(NEAR).select(F.col("a_set").alias("a"), F.col("b_set").alias("b")).distinct()
 

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 
-from lodestone.llm import near_sets
+from lodestone.llm import near_sets, shared
 from tests.llm.test_text_operators import docs_of
 
 
@@ -95,3 +95,19 @@ def test_a_crowd_below_the_threshold_is_met_once(spark, monkeypatch):
         monkeypatch.setattr(near_sets, "BEFORE", before)
         got = near_sets.near_copy_groups(docs_of(spark, texts), 5).collect()
         assert {x.doc_id: x.component_id for x in got} == want
+
+
+def test_shingles_that_one_set_has_are_dealt_once_and_narrow(spark, monkeypatch):
+    """Most shingles are of one set only: what is before them in the order is not sent along, nor are they sent twice."""
+    plans = {}
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return shared.written(df, name)
+
+    monkeypatch.setattr(near_sets, "written", written)
+    texts = varied(random.Random(8), lambda r: 4, 5, 3)
+    got = near_sets.near_copy_groups(docs_of(spark, texts), 5).collect()
+    assert {x.doc_id: x.component_id for x in got} == dict(enumerate(exact_groups(texts, 5)))
+    plan = plans["shared_shingles"]
+    assert plan.count("Exchange hashpartitioning(shingle") == 1 and "slice(" not in plan
