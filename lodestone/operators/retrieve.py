@@ -51,6 +51,23 @@ def matrix_of(vectors: pa.Array, width: int | None = None) -> np.ndarray:
     return out
 
 
+def units(vectors: np.ndarray, norms: np.ndarray) -> np.ndarray | None:
+    """Unit vectors (or zeros) in single precision; None if some vector has no finite length, or an extreme one."""
+    if not ((norms == 0) & ~vectors.any(axis=1) | (norms > 1e-100) & (norms < 1e100)).all():
+        return None
+    return np.divide(vectors, norms[:, None], out=np.zeros_like(vectors), where=norms[:, None] > 0).astype(np.float32)
+
+
+def first_of_equal(records: np.ndarray, ids: pa.Array, k: int) -> np.ndarray:
+    """Places of the records, without those for which k of the same vector have smaller ids."""
+    rows = np.ascontiguousarray(records).view(np.dtype((np.void, records.dtype.itemsize * records.shape[1]))).ravel()
+    _, group = np.unique(rows, return_inverse=True)
+    places = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+    order = np.lexsort((places, group))
+    number = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+    return np.sort(order[number < k])
+
+
 class Best:
     """The k best records of each of some queries, from blocks of records that come one after another.
 
@@ -58,13 +75,14 @@ class Best:
     query the number of the bit that a record must have set to be seen by it.
     """
 
-    #: Records that are scored at once.
-    CHUNK = 1024
+    #: Scores of a block of records that are made at once; single ones that are made anew; records of the first screened block.
+    SCORES, PAIRS, FIRST = 1 << 22, 1 << 16, 256
 
     def __init__(self, queries: np.ndarray, empty: np.ndarray, bits: np.ndarray | None, metric: str, k: int, min_score: float | None, ids: pa.DataType):
         self.queries, self.empty, self.bits, self.metric, self.k = queries, empty, bits, metric, k
         self.norms = np.linalg.norm(queries, axis=1)
         self.least = np.full(len(queries), -np.inf if min_score is None else min_score)
+        self.unit = units(queries, self.norms) if metric == "cosine" and bits is None and queries.shape[1] else None
         # query, score and record of what is best so far, by query
         self.query, self.score, self.ids = np.zeros(0, np.int64), np.zeros(0), pa.array([], ids)
 
@@ -84,9 +102,12 @@ class Best:
         records = matrix_of(vectors, self.queries.shape[1] or None)
         missing = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == 0
         norms = np.linalg.norm(records, axis=1)
+        if self.unit is not None and records.shape[1] and (unit := units(records, norms)) is not None:
+            return self._screened(ids, records, norms, unit)
         by_norm = np.argsort(-norms, kind="stable")  # chunks of like norms have narrow bounds
-        for begin in range(0, len(records), self.CHUNK):
-            own = by_norm[begin : begin + self.CHUNK]
+        chunk = max(64, self.SCORES // max(1, len(self.norms)))
+        for begin in range(0, len(records), chunk):
+            own = by_norm[begin : begin + chunk]
             asked = np.flatnonzero(self._bounds(norms[own]) >= self.least)
             if not len(asked):
                 continue
@@ -104,6 +125,33 @@ class Best:
             q, r = np.nonzero(seen)
             self._keep(asked[q], scores[q, r], ids.take(pa.array(own[r])))
 
+    def _screened(self, ids: pa.Array, records: np.ndarray, norms: np.ndarray, unit: np.ndarray) -> None:
+        """Cosines in single precision tell which records may be among the best; only these are scored in full.
+
+        ``slack`` is over twice what single precision can be off for unit vectors. Of records
+        that have the same vector only the k first by id are looked at: the others come after them.
+        """
+        slack = (records.shape[1] + 16) * 2.0**-23
+        kept = first_of_equal(records, ids, self.k)
+        ids, records, norms, unit = ids.take(pa.array(kept)), records[kept], norms[kept], unit[kept]
+        begin, most = 0, max(self.FIRST, 4 * self.SCORES // max(1, len(self.norms)))
+        while begin < len(records):
+            end = min(begin + min(max(begin, self.FIRST), most), len(records))
+            near = self.unit @ unit[begin:end].T
+            least = self.least - slack
+            if near.shape[1] > self.k and len(open_ := np.flatnonzero(self.least == -np.inf)):
+                at = near.shape[1] - self.k
+                least[open_] = np.partition(near[open_], at, axis=1)[:, at] - 2 * slack
+            found = np.flatnonzero(near >= least.astype(np.float32)[:, None])
+            for part in np.split(found, range(self.PAIRS, len(found), self.PAIRS)):
+                q, r = np.divmod(part, near.shape[1])
+                r += begin
+                both = norms[r] * self.norms[q]
+                scores = np.divide(np.einsum("ij,ij->i", records[r], self.queries[q]), both, out=np.zeros(len(part)), where=both > 0)
+                good = scores >= self.least[q]
+                self._keep(q[good], scores[good], ids.take(pa.array(r[good])))
+            begin = end
+
     def _keep(self, query: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
         query, score, ids = np.concatenate([self.query, query]), np.concatenate([self.score, score]), pa.concat_arrays([self.ids, ids])
         places = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
@@ -119,7 +167,9 @@ class Best:
 
 
 #: Up to so many queries are broadcast; more are met with the records in a grid. Queries and records of a cell.
-MOST_BROADCAST, CELL_QUERIES, CELL_RECORDS = 1024, 4096, 16_384
+MOST_BROADCAST, CELL_QUERIES, CELL_RECORDS = 1024, 16_384, 65_536
+#: So many blocks of queries and of records at least, of so many rows or more, and tasks at most.
+LEAST_QUERIES, LEAST_RECORDS, LEAST_ROWS, MOST_TASKS = 12, 4, 1024, 2000
 
 
 def batch_top_k(records: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", min_score: float | None = None, most_broadcast: int = MOST_BROADCAST, cell: tuple[int, int] = (CELL_QUERIES, CELL_RECORDS), bits: bool = False) -> DataFrame:
@@ -139,9 +189,11 @@ def batch_top_k(records: DataFrame, queries: DataFrame, k: int = 10, metric: str
         raise ValueError(f"unknown metric {metric!r}")
     kind, plain_id = to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(records.schema["id"].dataType)
     types = T.StructType([queries.schema["query_id"], records.schema["id"], T.StructField("score", T.DoubleType())])
-    vector = F.col("vector").cast("array<double>").alias("vector")
-    there = records.select("id", vector, F.col("bits").cast("array<bigint>").alias("bits") if bits else F.lit(None).cast("array<bigint>").alias("bits"))
-    asked = queries.select("query_id", vector, F.col("bit").cast("int").alias("bit") if bits else F.lit(0).alias("bit"))
+    # floats are sent as they are, and made doubles where they are scored
+    single = T.ArrayType(T.FloatType())
+    vector = lambda df: F.col("vector").cast(single if df.schema["vector"].dataType.simpleString() == single.simpleString() else "array<double>").alias("vector")
+    there = records.select("id", vector(records), F.col("bits").cast("array<bigint>").alias("bits") if bits else F.lit(None).cast("array<bigint>").alias("bits"))
+    asked = queries.select("query_id", vector(queries), F.col("bit").cast("int").alias("bit") if bits else F.lit(0).alias("bit"))
 
     def best_of(names: pa.Array, vectors: pa.Array, bit: np.ndarray) -> Best:
         empty = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == 0
@@ -168,12 +220,13 @@ def batch_top_k(records: DataFrame, queries: DataFrame, k: int = 10, metric: str
 
         parts = there.mapInArrow(nearest, types)
     else:
-        many = lambda n, size: max(1, -(-n // size))
-        across, down = many(asked.count(), cell[0]), many(there.count(), cell[1])
+        many = lambda n, size, least: max(1, -(-n // size), min(least, n // LEAST_ROWS))
+        across, down = many(asked.count(), cell[0], LEAST_QUERIES), many(there.count(), cell[1], LEAST_RECORDS)
+        tasks = min(across * down, MOST_TASKS)
         own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = asked.withColumn("i", own("query_id", across)).withColumn("j", every(down))
-        right = there.withColumn("j", own("id", down)).withColumn("i", every(across))
+        left = asked.withColumn("i", own("query_id", across)).withColumn("j", every(down)).repartition(tasks, "i", "j")
+        right = there.withColumn("j", own("id", down)).withColumn("i", every(across)).repartition(tasks, "i", "j")
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
             names = left.column("query_id").combine_chunks()

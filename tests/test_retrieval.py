@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,28 @@ def test_widths(spark):
     records = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id int, vector array<double>")
     with pytest.raises(Exception, match="different widths"):
         retrieve.batch_top_k(records, spark.createDataFrame([(1, [1.0, 1.0])], "query_id int, vector array<double>")).collect()
+
+
+def test_screened_cosines_are_exact(monkeypatch):
+    """Few pairs are scored in full, and the best are those of all scores, with ties by id, copies and empty vectors."""
+    r = np.random.default_rng(7)
+    base = r.normal(size=(1500, 16))
+    records = np.concatenate([base, base[:700] + 1e-3 * r.normal(size=(700, 16)), np.repeat(base[:1], 900, axis=0), np.zeros((3, 16))])
+    names = r.permutation(len(records))
+    queries = np.concatenate([records[:1100], np.zeros((1, 16))])
+    best = retrieve.Best(queries, np.zeros(len(queries), bool), None, "cosine", 4, None, pa.int64())
+    scored, divide = [], np.einsum
+    monkeypatch.setattr(retrieve.np, "einsum", lambda *a: scored.append(len(a[1])) or divide(*a))
+    for part in (slice(0, 2000), slice(2000, None)):
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(records[part]) * 16 + 1, 16), pa.int32()), pa.array(records[part].ravel()))
+        best.add(pa.array(names[part]), vectors)
+    norms = np.linalg.norm(records, axis=1)
+    for q in range(len(queries)):
+        both = norms * np.linalg.norm(queries[q])
+        scores = np.divide(divide("ij,j->i", records, queries[q]), both, out=np.zeros(len(both)), where=both > 0)
+        want = np.lexsort((names, -scores.round(13)))[:4]
+        own = best.query == q
+        assert np.allclose(best.score[own], scores[want], rtol=0, atol=1e-13)
+        if q == 0 or q == len(queries) - 1:
+            assert best.ids.to_numpy()[own].tolist() == names[want].tolist()
+    assert 0 < sum(scored) < len(queries) * len(records) / 20
